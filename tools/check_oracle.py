@@ -92,8 +92,8 @@ def main():
             print(f"DIFF {name}: spark {len(srows)} rows {sorted(scols)} | duck {len(drows)} rows {sorted(dcols)}")
             sd = [x for x in ls if x not in set(ld)][:3]
             dd = [x for x in ld if x not in set(ls)][:3]
-            print("   spark-only:", sd)
-            print("   duck-only: ", dd)
+            print("   spark-only:", [x[:300] for x in sd])
+            print("   duck-only: ", [x[:300] for x in dd])
     print(f"ok={ok} bad={bad}")
 
 
