@@ -46,6 +46,30 @@ _SANE = ("sane", r"""
     AND NOT contains(coalesce(title, ''), '�')
     AND NOT regexp_matches(coalesce(title, ''), '^[\d./\s]+$')""")
 _CLEAN = [_REQ, _COERCED, _SANE]
+_SPLIT = "list_filter(string_split(coalesce(genres_parsed, ''), '|'), lambda x: x <> '')"
+
+
+_WS = """round(coalesce(vote_count, 0) / (coalesce(vote_count, 0) + m) * coalesce(vote_average, c)
+             + m / (coalesce(vote_count, 0) + m) * c, 9)"""
+# the cleaned catalog as one CTE chain (weighted score rounded to 9 places for ordering)
+CATALOG_CTES = [*_CLEAN, ("sc", """
+  SELECT avg(vote_average) AS c, quantile_cont(vote_count, 0.9) AS m FROM sane WHERE vote_count > 0"""),
+    ("cat", f"""
+  SELECT id, load_seq, title, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title_norm,
+         CAST(release_year AS INTEGER) AS release_year,
+         CAST(floor(release_year / 1) * 1 AS INTEGER) AS release_decade,
+         vote_average, vote_count, runtime, budget, revenue,
+         CASE WHEN primary_genre IN ({_vocab_sql}) THEN primary_genre END AS primary_genre,
+         list_filter({_SPLIT}, lambda g: g IN ({_vocab_sql})) AS genres_list,
+         {_WS} AS weighted_score
+  FROM sane, sc""")]
+
+
+def clean_film_catalog(spark, d):
+    """The cleaned film catalog used by the browse queries."""
+    df = C.clean_catalog(_dirty(spark, d), VOCAB, bucket_years=1)
+    return df.withColumn("weighted_score", F.round("weighted_score", 9)).withColumn(
+        "release_year", F.col("release_year").cast("int"))
 
 
 @register("drop_empty_columns", with_views(["dirty_film"], final="SELECT * FROM dirty_film"))
@@ -115,7 +139,6 @@ def q_title_link_norm(spark, d):
     return view(spark, d, "film").select("id", title_link_norm("title").alias("title_link_norm"))
 
 
-_SPLIT = "list_filter(string_split(coalesce(genres_parsed, ''), '|'), lambda x: x <> '')"
 
 
 @register("split_list", with_views(["dirty_film"], final=f"""
