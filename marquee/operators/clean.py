@@ -301,12 +301,14 @@ def overview_stats(ratings: DataFrame) -> DataFrame:
 
 
 def presence_counts(df: DataFrame) -> DataFrame:
-    """Rows with both financials > 0 and rows with an asset."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if((F.col("budget") > 0) & (F.col("revenue") > 0)).alias("n_financial"),
-        F.count_if(F.col("poster_url").isNotNull()).alias("n_with_asset"),
-    )
+    """Rows, rows with both financials > 0, rows with an asset (each
+    counter only when its columns exist)."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    if "budget" in df.columns and "revenue" in df.columns:
+        aggs.append(F.count_if((F.col("budget") > 0) & (F.col("revenue") > 0)).alias("n_financial"))
+    if "poster_url" in df.columns:
+        aggs.append(F.count_if(F.col("poster_url").isNotNull()).alias("n_with_asset"))
+    return df.agg(*aggs)
 
 
 __all__ = ["Column", "Window", "col"]

@@ -92,7 +92,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("item_id"),
         F.when(F.col("p_size") <= 40, F.col("p_partkey")).alias("catalog_id"),
-        F.lpad((F.col("p_partkey") * 37 + 11).cast("string"), 7, "0").alias("ext_id"),
+        (F.col("p_partkey") * 5003 + 11).cast("string").alias("ext_id"),
     )
 
 
@@ -215,7 +215,7 @@ VIEW_SQL = {
     "bridge": """
   SELECT p_partkey AS item_id,
          CASE WHEN p_size <= 40 THEN p_partkey END AS catalog_id,
-         lpad(CAST(p_partkey * 37 + 11 AS VARCHAR), 7, '0') AS ext_id
+         CAST(p_partkey * 5003 + 11 AS VARCHAR) AS ext_id
   FROM part""",
     "catalog": """
   SELECT p_partkey AS id, p_name AS title, [p_type, p_brand] AS genres, p_size AS size
