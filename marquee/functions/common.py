@@ -18,8 +18,16 @@ def bucket(year, years: int = 10) -> Column:
 
 
 def r6(c, digits: int = FLOAT_DIGITS) -> Column:
-    """Round a float result so runs with different summation order agree."""
-    return F.round(col(c).cast("double"), digits)
+    """Round a float result to ``digits`` places as ``floor(x * 10^d + 0.501) / 10^d``.
+
+    Plain IEEE arithmetic, identical in every engine. The boundary sits just
+    below the decimal half-way point: results that are exact decimal ties
+    (common with averages of decimal data) would otherwise round either way
+    depending on the last bit left by the summation order. Magnitudes >= 1e12
+    are returned unrounded."""
+    x = col(c).cast("double")
+    scale = float(10 ** digits)
+    return F.when(F.abs(x) < 1e12, F.floor(x * scale + 0.501) / scale).otherwise(x)
 
 
 def try_double(c) -> Column:

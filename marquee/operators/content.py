@@ -296,3 +296,42 @@ def genre_similarity_range(items: DataFrame, genres: str = "genres") -> DataFram
     mn = F.when(F.col("self_one").isNotNull(), F.least(mn, F.lit(1.0))).otherwise(mn)
     mx = F.greatest(F.coalesce("max_ov", F.lit(0.0)), F.coalesce("self_one", F.lit(0.0)))
     return j.select(r6(mn).alias("min_sim"), r6(mx).alias("max_sim"), "n_sets")
+
+
+# ---------------------------------------------------------------- T9
+def genre_svd_embeddings(items: DataFrame, k: int = 10, genres: str = "genres"):
+    """Rank-k SVD of the one-hot genre matrix through its genre x genre
+    Gram (co-occurrence counts, one aggregate over per-item genre pairs), an
+    eigen-decomposition of that small matrix on the driver, then item
+    embeddings = sum of their genres' rows of V. Returns the (id, vec) table
+    and the explained-variance ratio of the k components (column variances
+    as in the decomposition of the uncentred matrix)."""
+    it = genre_sets(items, genres)
+    pairs = it.select(F.explode("gset").alias("a"), "gset").select(
+        "a", F.explode("gset").alias("b"))
+    co = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    n_items = it.count()
+    vocab = sorted({r["a"] for r in co})
+    if not vocab:
+        raise ValueError("no genres")
+    pos = {g: i for i, g in enumerate(vocab)}
+    gm = np.zeros((len(vocab), len(vocab)))
+    for r in co:
+        gm[pos[r["a"]], pos[r["b"]]] = r["n"]
+    k = max(1, min(k, len(vocab) - 1))
+    lam, w = np.linalg.eigh(gm)
+    order = np.argsort(-lam)[:k]
+    v = w[:, order]
+    mean = np.diag(gm) / n_items
+    proj_var = np.array([v[:, i] @ gm @ v[:, i] / n_items - (mean @ v[:, i]) ** 2 for i in range(k)])
+    total = float(np.sum(np.diag(gm) / n_items - mean ** 2))
+    ratio = float(proj_var.sum() / total) if total > 0 else 0.0
+    spark = items.sparkSession
+    vt = spark.createDataFrame([(g, [float(x) for x in v[pos[g]]]) for g in vocab],
+                               "g string, gv array<double>")
+    # vt has one row per genre (the vocabulary): a bounded broadcast
+    ex = it.select("id", F.explode("gset").alias("g")).join(F.broadcast(vt), "g")
+    emb = ex.groupBy("id").agg(*[F.sum(F.col("gv")[i]).alias(f"_e{i}") for i in range(k)])
+    emb = emb.select("id", F.array(*[F.col(f"_e{i}") for i in range(k)]).alias("vec"))
+    empty = it.where(F.col("gsize") == 0).select("id", F.array_repeat(F.lit(0.0), k).alias("vec"))
+    return emb.unionByName(empty), ratio

@@ -1 +1,405 @@
-"""Registered queries."""
+"""Registered collaborative-filtering, hybrid and evaluation queries
+(R1-R15, W4, W5, A29, A30, U1-U4, T9).
+
+Ratings are customers rating parts (``rating`` view), bridged to catalog
+ids through ``bridge``. Liked lists and prediction requests come from the
+``nation`` table (one request per nation row). Numerical operators (SVD and
+everything scored with it) have no SQL oracle; pytest checks them against
+numpy.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from marquee.functions.common import r6
+from marquee.operators import collab as CF
+from marquee.operators import content as T
+from marquee.plans.content_queries import tfidf
+from marquee.plans.fixtures import view, with_views
+from marquee.plans.linkage_queries import _FIX_SQL, _V, _bridged
+from marquee.plans.registry import register
+from marquee.sources.tables import read_table
+
+K = 50
+_MODELS: dict = {}
+
+
+def _cached(spark, key, build):
+    k = (id(spark), key)
+    if k not in _MODELS:
+        _MODELS[k] = build()
+    return _MODELS[k]
+
+
+def bridged(spark, d):
+    return _bridged(spark, d).select("user_id", F.col("catalog_id").alias("item_id"), "rating", "ts")
+
+
+def model(spark, d):
+    """Centred SVD over all bridged ratings (memoised per session and input)."""
+    def build():
+        m, means = CF.rating_matrix(bridged(spark, d), item="item_id")
+        svd = CF.truncated_svd(m, K)
+        uf, itf = CF.factor_tables(svd, means)
+        mu = bridged(spark, d).agg(F.avg("rating")).first()[0]
+        return {"svd": svd, "users": uf, "items": itf, "mu": float(mu), "k": svd["k"]}
+    return _cached(spark, ("svd", d), build)
+
+
+def liked_lists(spark, d):
+    n = read_table(spark, d, "nation", "n_nationkey")
+    k = F.col("n_nationkey")
+    ids = F.array((k * 61).cast("bigint"), (k * 61 + 5).cast("bigint"), (k * 13 + 1000).cast("bigint"),
+                  (k * 61).cast("bigint"))
+    return n.select(k.cast("bigint").alias("request_id"), F.explode(ids).alias("item_id")).distinct()
+
+
+# -------------------------------------------------------- R1 / W4 / A29 / A30
+_MU_SQL = ("mu", "SELECT user_id, avg(rating) AS mu, count(*) AS n FROM bridged GROUP BY user_id")
+
+
+@register("rating_matrix", with_views(_V, *_FIX_SQL, _MU_SQL, final="""
+SELECT b.user_id, b.catalog_id AS item_id, round(sum(b.rating - m.mu), 6) AS value
+FROM bridged b JOIN mu m USING (user_id) GROUP BY 1, 2"""))
+def q_rating_matrix(spark, d):
+    m, _ = CF.rating_matrix(bridged(spark, d), item="item_id")
+    return m.select("user_id", "item_id", r6("value").alias("value"))
+
+
+@register("center_ratings", with_views(_V, *_FIX_SQL, _MU_SQL, final="""
+SELECT b.user_id, b.catalog_id AS item_id, b.ts, round(b.rating - m.mu, 6) AS centered
+FROM bridged b JOIN mu m USING (user_id)"""))
+def q_center_ratings(spark, d):
+    b = bridged(spark, d)
+    means = b.groupBy("user_id").agg(F.avg("rating").alias("mu"))
+    return b.join(means, "user_id").select("user_id", "item_id", "ts",
+                                           r6(F.col("rating") - F.col("mu")).alias("centered"))
+
+
+@register("user_means", with_views(_V, *_FIX_SQL, _MU_SQL, final="""
+SELECT user_id, round(mu, 6) AS mu, n, round((SELECT avg(rating) FROM bridged), 6) AS global_mean FROM mu"""))
+def q_user_means(spark, d):
+    b = bridged(spark, d)
+    g = b.agg(F.avg("rating").alias("global_mean"))
+    means = b.groupBy("user_id").agg(F.avg("rating").alias("mu"), F.count(F.lit(1)).alias("n"))
+    out = means.join(F.broadcast(g), how="inner", on=F.lit(True))
+    return out.select("user_id", r6("mu").alias("mu"), "n", r6("global_mean").alias("global_mean"))
+
+
+@register("matrix_status", with_views(_V, *_FIX_SQL, ("e", "SELECT DISTINCT user_id, catalog_id FROM bridged"),
+                                      final="""
+SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT catalog_id) AS n_items, count(*) AS nnz,
+       round(1 - count(*) / (count(DISTINCT user_id) * count(DISTINCT catalog_id)), 6) AS sparsity FROM e"""))
+def q_matrix_status(spark, d):
+    m, _ = CF.rating_matrix(bridged(spark, d), item="item_id")
+    return CF.matrix_status(m)
+
+
+@register("minmax_norm", with_views(["film"], final="""
+SELECT id, round(CASE WHEN mx > mn THEN (budget - mn) / (mx - mn) ELSE 0 END, 6) AS norm
+FROM film, (SELECT min(budget) AS mn, max(budget) AS mx FROM film)"""))
+def q_minmax_norm(spark, d):
+    return CF.minmax_norm(view(spark, d, "film"), "budget").select("id", r6("norm").alias("norm"))
+
+
+# ------------------------------------------------------------ R2 - R6
+@register("svd_item_factors")
+def q_svd_item_factors(spark, d):
+    m = model(spark, d)
+    return m["items"].select("item_id", F.size("v").alias("k"),
+                             F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@register("svd_user_factors")
+def q_svd_user_factors(spark, d):
+    m = model(spark, d)
+    return m["users"].select("user_id", r6("mu").alias("mu"), F.size("us").alias("k"))
+
+
+@register("svd_singular_values")
+def q_svd_singular_values(spark, d):
+    s = model(spark, d)["svd"]["sigma"]
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "idx int, sigma double")
+
+
+def predict_requests(spark, d):
+    n = read_table(spark, d, "nation", "n_nationkey")
+    k = F.col("n_nationkey")
+    return n.select(k.cast("bigint").alias("request_id"), (k * 53).cast("bigint").alias("user_id"),
+                    (k * 71).cast("bigint").alias("item_id"))
+
+
+@register("predict_rating")
+def q_predict_rating(spark, d):
+    m = model(spark, d)
+    return CF.predict_rating(m["users"], m["items"], predict_requests(spark, d))
+
+
+def rec_users(spark, d):
+    return read_table(spark, d, "customer", "c_custkey", "c_nationkey").where(
+        F.col("c_nationkey") == 1).select(F.col("c_custkey").alias("user_id"))
+
+
+@register("recommend_users")
+def q_recommend_users(spark, d):
+    m = model(spark, d)
+    seen = bridged(spark, d).select("user_id", "item_id").distinct()
+    return CF.recommend_users(m["users"], m["items"], rec_users(spark, d), seen, 10)
+
+
+@register("fold_in_scores")
+def q_fold_in_scores(spark, d):
+    m = model(spark, d)
+    return CF.fold_in_scores(m["items"], liked_lists(spark, d), m["mu"], m["k"])
+
+
+def _catalog_ids(spark, d):
+    return view(spark, d, "catalog").select("id")
+
+
+def _cf(spark, d):
+    m = model(spark, d)
+    return CF.cf_scores(m["items"], liked_lists(spark, d), _catalog_ids(spark, d), m["mu"], m["k"])
+
+
+def _content(spark, d):
+    w = tfidf(spark, d)["weights"]
+    return T.content_scores(w, liked_lists(spark, d), _catalog_ids(spark, d))
+
+
+@register("cf_scores")
+def q_cf_scores(spark, d):
+    return _cf(spark, d)
+
+
+# ------------------------------------------------------------ R7 - R9, U1-U4
+@register("hybrid_recommend")
+def q_hybrid_recommend(spark, d):
+    return CF.hybrid_recommend(_content(spark, d), _cf(spark, d), liked_lists(spark, d),
+                               _catalog_ids(spark, d), 0.5, 20)
+
+
+_LIKED_SQL = ("liked", """
+  SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS request_id, unnest([CAST(n_nationkey * 61 AS BIGINT),
+         CAST(n_nationkey * 61 + 5 AS BIGINT), CAST(n_nationkey * 13 + 1000 AS BIGINT)]) AS item_id
+  FROM nation""")
+
+
+def _hybrid_content_sql():
+    from marquee.plans.content_queries import _TFIDF_SQL, _W_SQL
+    return [*_TFIDF_SQL, *_W_SQL, _LIKED_SQL, ("ss", """
+  SELECT s.request_id, s.item_id AS seed_id, b.id AS item_id, sum(a.w * b.w) AS sim
+  FROM liked s JOIN w a ON a.id = s.item_id JOIN w b ON a.term = b.term
+  GROUP BY 1, 2, 3 HAVING b.id <> s.item_id"""), ("raw", """
+  SELECT request_id, item_id, sum(sim) AS raw FROM ss
+  WHERE sim > 0 AND item_id IN (SELECT id FROM catalog) GROUP BY 1, 2"""), ("per", """
+  SELECT request_id, CASE WHEN count(*) < (SELECT count(*) FROM catalog) THEN 0.0 ELSE min(raw) END AS lo,
+         max(raw) AS hi FROM raw GROUP BY request_id"""), ("cs", """
+  SELECT r.request_id, r.item_id, CASE WHEN p.hi > p.lo THEN (r.raw - p.lo) / (p.hi - p.lo) ELSE 0 END AS score
+  FROM raw r JOIN per p USING (request_id)""")]
+
+
+@register("hybrid_content_only", with_views(["doc", "catalog"], *_hybrid_content_sql(), final="""
+SELECT request_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, item_id) AS rank
+  FROM cs WHERE score > 0 AND (request_id, item_id) NOT IN (SELECT request_id, item_id FROM liked))
+WHERE rank <= 20"""))
+def q_hybrid_content_only(spark, d):
+    c = _content(spark, d)
+    empty_cf = c.limit(0).select("request_id", "item_id", F.col("norm"), F.col("zero_norm"))
+    h = CF.hybrid_recommend(c, empty_cf, liked_lists(spark, d), _catalog_ids(spark, d), 0.0, 20)
+    return h.select("request_id", "item_id", r6("score").alias("score"), "rank")
+
+
+def _content_index(spark, d):
+    return view(spark, d, "doc").where(F.col("original_language") == "en").select("id")
+
+
+def _cf_index(spark, d):
+    return bridged(spark, d).select(F.col("item_id").alias("id")).distinct()
+
+
+_INDEX_SQL = [("ci", "SELECT DISTINCT id FROM doc WHERE original_language = 'en'"),
+              ("fi", "SELECT DISTINCT catalog_id AS id FROM bridged")]
+
+
+@register("seed_coverage", with_views(["doc", *_V], *_FIX_SQL, _LIKED_SQL, *_INDEX_SQL, final="""
+SELECT l.request_id, l.item_id, ci.id IS NOT NULL AS in_content, fi.id IS NOT NULL AS in_cf,
+       CASE WHEN ci.id IS NOT NULL OR fi.id IS NOT NULL THEN 'used' ELSE 'ignored' END AS status
+FROM liked l LEFT JOIN ci ON l.item_id = ci.id LEFT JOIN fi ON l.item_id = fi.id"""))
+def q_seed_coverage(spark, d):
+    return CF.seed_coverage(liked_lists(spark, d), _content_index(spark, d), _cf_index(spark, d))
+
+
+@register("engine_coverage", with_views(["doc", *_V], *_FIX_SQL, *_INDEX_SQL, final="""
+SELECT (SELECT count(*) FROM ci) AS n_content, (SELECT count(*) FROM fi) AS n_cf,
+       (SELECT count(*) FROM (SELECT id FROM ci UNION SELECT id FROM fi)) AS n_union,
+       (SELECT count(*) FROM ci JOIN fi USING (id)) AS n_overlap"""))
+def q_engine_coverage(spark, d):
+    return CF.engine_coverage(_content_index(spark, d), _cf_index(spark, d))
+
+
+@register("hybrid_status")
+def q_hybrid_status(spark, d):
+    content, cf = _content(spark, d), _cf(spark, d)
+    recs = CF.hybrid_recommend(content, cf, liked_lists(spark, d), _catalog_ids(spark, d), 0.5, 20)
+    cov = CF.seed_coverage(liked_lists(spark, d), _content_index(spark, d), _cf_index(spark, d))
+    return CF.hybrid_status(cov, content, cf, recs, 0.5)
+
+
+@register("explain_recs")
+def q_explain_recs(spark, d):
+    content, cf = _content(spark, d), _cf(spark, d)
+    liked = liked_lists(spark, d)
+    recs = CF.hybrid_recommend(content, cf, liked, _catalog_ids(spark, d), 0.5, 20)
+    sims = T.seed_scores(tfidf(spark, d)["weights"], liked)
+    used = liked.join(_content_index(spark, d).select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    return CF.explain_recs(recs, sims, used, view(spark, d, "doc").select(
+        "id", F.substring("overview", 1, 40).alias("title")))
+
+
+# ------------------------------------------------------------ R11 - R15
+def split(spark, d):
+    return CF.split_flag(bridged(spark, d), ["user_id", "item_id", "ts", "rating"], 42, 20)
+
+
+_SPLIT_SQL = [("sp", """
+  SELECT user_id, catalog_id AS item_id, rating, ts,
+         ('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR) || ':' || CAST(catalog_id AS VARCHAR) || ':'
+                 || strftime(ts, '%Y-%m-%d %H:%M:%S') || ':' || CAST(rating AS VARCHAR)), 1, 8))::BIGINT % 100 < 20
+           AS is_test
+  FROM bridged"""),
+    ("train", "SELECT * FROM sp WHERE NOT is_test"), ("test", "SELECT * FROM sp WHERE is_test"),
+    ("serv", """SELECT * FROM test WHERE user_id IN (SELECT user_id FROM train)
+                AND item_id IN (SELECT item_id FROM train)""")]
+
+
+@register("split_counts", with_views(_V, *_FIX_SQL, *_SPLIT_SQL, final="""
+SELECT is_test, count(*) AS n FROM sp GROUP BY is_test"""))
+def q_split_counts(spark, d):
+    return split(spark, d).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("servable_rate", with_views(_V, *_FIX_SQL, *_SPLIT_SQL, final="""
+SELECT (SELECT count(*) FROM test) AS n_test, (SELECT count(*) FROM serv) AS n_servable,
+       round((SELECT count(*) FROM serv) / (SELECT count(*) FROM test), 6) AS rate"""))
+def q_servable_rate(spark, d):
+    s = split(spark, d)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    sv = CF.servable(test, train)
+    a = test.agg(F.count(F.lit(1)).alias("n_test"))
+    b = sv.agg(F.count(F.lit(1)).alias("n_servable"))
+    j = a.join(b, how="inner", on=F.lit(True))
+    return j.select("n_test", "n_servable", r6(F.col("n_servable") / F.col("n_test")).alias("rate"))
+
+
+@register("rating_error", with_views(_V, *_FIX_SQL, *_SPLIT_SQL, ("um", """
+  SELECT user_id, avg(rating) AS mu FROM train GROUP BY user_id"""), final="""
+SELECT count(*) AS n, round(sqrt(avg((m.mu - s.rating) * (m.mu - s.rating))), 6) AS rmse,
+       round(avg(abs(m.mu - s.rating)), 6) AS mae
+FROM serv s JOIN um m USING (user_id)"""))
+def q_rating_error(spark, d):
+    s = split(spark, d)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    um = train.groupBy("user_id").agg(F.avg("rating").alias("predicted"))
+    e = CF.rating_error(CF.servable(test, train).join(um, "user_id"))
+    return e.select("n", r6("rmse").alias("rmse"), r6("mae").alias("mae"))
+
+
+def _eval_model(spark, d):
+    def build():
+        s = split(spark, d)
+        train = s.where(~F.col("is_test"))
+        m, means = CF.rating_matrix(train, item="item_id")
+        svd = CF.truncated_svd(m, K)
+        uf, itf = CF.factor_tables(svd, means)
+        return {"users": uf, "items": itf, "train": train, "test": s.where(F.col("is_test"))}
+    return _cached(spark, ("eval", d), build)
+
+
+@register("rating_error_svd")
+def q_rating_error_svd(spark, d):
+    m = _eval_model(spark, d)
+    sv = CF.servable(m["test"], m["train"]).withColumn("request_id", F.monotonically_increasing_id())
+    p = CF.predict_rating(m["users"], m["items"], sv.select("request_id", "user_id", "item_id"))
+    j = p.join(sv.select("request_id", "rating"), "request_id")
+    return CF.rating_error(j)
+
+
+@register("precision_at_k", with_views(_V, *_FIX_SQL, *_SPLIT_SQL,
+                                       ("lk", "SELECT DISTINCT user_id, item_id FROM serv WHERE rating >= 4.0"),
+                                       ("elig", "SELECT user_id FROM lk GROUP BY user_id HAVING count(*) >= 5"),
+                                       ("pop", """SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS pr
+                                                  FROM train GROUP BY item_id"""),
+                                       ("seen", "SELECT DISTINCT user_id, item_id FROM train"),
+                                       ("recs", """
+  SELECT user_id, item_id FROM (
+    SELECT e.user_id, p.item_id, row_number() OVER (PARTITION BY e.user_id ORDER BY p.pr) AS rk
+    FROM elig e CROSS JOIN pop p
+    WHERE (e.user_id, p.item_id) NOT IN (SELECT user_id, item_id FROM seen)) WHERE rk <= 10"""),
+                                       ("hits", """
+  SELECT e.user_id, count(l.item_id) AS hits FROM elig e
+  LEFT JOIN (SELECT r.user_id, r.item_id FROM recs r JOIN lk USING (user_id, item_id)) l USING (user_id)
+  GROUP BY e.user_id"""), final="""
+SELECT count(*) AS n_users, round(avg(hits / 10), 6) AS precision, sum(hits) AS total_hits FROM hits"""))
+def q_precision_at_k(spark, d):
+    s = split(spark, d)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    sv = CF.servable(test, train)
+    users = sv.where(F.col("rating") >= 4.0).select("user_id").distinct()
+    recs = CF.popularity_recs(train, users, 10)
+    p = CF.precision_at_k(recs, sv, 10)
+    return p.select("n_users", r6("precision").alias("precision"), "total_hits")
+
+
+@register("precision_at_k_svd")
+def q_precision_at_k_svd(spark, d):
+    m = _eval_model(spark, d)
+    sv = CF.servable(m["test"], m["train"])
+    users = sv.where(F.col("rating") >= 4.0).select("user_id").distinct()
+    seen = m["train"].select("user_id", "item_id").distinct()
+    recs = CF.recommend_users(m["users"], m["items"], users, seen, 10)
+    return CF.precision_at_k(recs, sv, 10)
+
+
+@register("random_precision", with_views(_V, *_FIX_SQL, *_SPLIT_SQL,
+                                         ("lk", "SELECT DISTINCT user_id, item_id FROM serv WHERE rating >= 4.0"),
+                                         ("elig", "SELECT user_id, count(*) AS l FROM lk GROUP BY user_id HAVING count(*) >= 5"),
+                                         ("seen", "SELECT user_id, count(DISTINCT item_id) AS s FROM train GROUP BY user_id"),
+                                         final="""
+SELECT count(*) AS n_users,
+       round(avg(e.l / ((SELECT count(DISTINCT item_id) FROM train) - s.s)), 6) AS random_precision
+FROM elig e JOIN seen s USING (user_id)"""))
+def q_random_precision(spark, d):
+    s = split(spark, d)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    r = CF.random_precision(train, CF.servable(test, train))
+    return r.select("n_users", r6("random_precision").alias("random_precision"))
+
+
+# ------------------------------------------------------------ R10 / T9
+@register("svd_uncentered")
+def q_svd_uncentered(spark, d):
+    def build():
+        b = bridged(spark, d).where((F.col("rating") > 0) & (F.col("ts") <= F.lit("1998-07-19")))
+        b = CF.split_flag(b, ["user_id", "item_id", "ts", "rating"], 42, 5).where("is_test").drop("is_test")
+        m, means = CF.rating_matrix(b, item="item_id", center=False)
+        svd = CF.truncated_svd(m, K)
+        uf, itf = CF.factor_tables(svd, means.withColumn("mu", F.lit(0.0)))
+        return {"users": uf, "items": itf, "seen": b.select("user_id", "item_id").distinct()}
+    mm = _cached(spark, ("uncentered", d), build)
+    users = mm["seen"].select("user_id").distinct()
+    return CF.recommend_users(mm["users"], mm["items"], users, mm["seen"], 10, lo=-np.inf, hi=np.inf)
+
+
+@register("genre_svd_similarity")
+def q_genre_svd_similarity(spark, d):
+    from marquee.operators.content import genre_svd_embeddings
+    items = view(spark, d, "catalog")
+    emb, _ = genre_svd_embeddings(items, 10)
+    n = read_table(spark, d, "nation", "n_nationkey")
+    req = n.select(F.col("n_nationkey").cast("long").alias("request_id"),
+                   (F.col("n_nationkey") * 79).cast("long").alias("item_id"))
+    return T.embedding_knn(emb, req, 5, id_col="id", vec_col="vec")
