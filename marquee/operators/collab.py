@@ -58,7 +58,7 @@ def matrix_status(entries: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ R2
 def truncated_svd(entries: DataFrame, k: int = K_FACTORS, oversample: int = 10,
-                  n_iter: int = 4, seed: int = 42) -> dict:
+                  n_iter: int = 3, seed: int = 42) -> dict:
     """R2: rank-k SVD ``A ~ U diag(s) V^T`` of the (user, item, value) matrix.
 
     Returns ``sigma`` (numpy, descending), ``users`` (key, vec = U row) and
@@ -76,12 +76,13 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, oversample: int = 10,
     l = min(k + oversample, min(shape["u"], shape["i"]))
     a = entries.select("user_id", "item_id", "value").checkpoint(eager=True)
     y = LA.sketch(a, "user_id", "item_id", l, seed).checkpoint(eager=True)
-    q = LA.orthonormalize(y, l).checkpoint(eager=True)
-    for _ in range(n_iter):
-        z = LA.multiply(a, q, "item_id", "user_id", l).checkpoint(eager=True)   # A^T Q
-        z = LA.orthonormalize(z, l).checkpoint(eager=True)
+    q = LA.orthonormalize(y, l, passes=1 if n_iter else 2).checkpoint(eager=True)
+    for it in range(n_iter):
+        last = it == n_iter - 1
+        z = LA.multiply(a, q, "item_id", "user_id", l)                           # A^T Q
+        z = LA.orthonormalize(z.checkpoint(eager=True), l, passes=1).checkpoint(eager=True)
         y = LA.multiply(a, z, "user_id", "item_id", l).checkpoint(eager=True)   # A Z
-        q = LA.orthonormalize(y, l).checkpoint(eager=True)
+        q = LA.orthonormalize(y, l, passes=2 if last else 1).checkpoint(eager=True)
     bt = LA.multiply(a, q, "item_id", "user_id", l).checkpoint(eager=True)      # B^T = A^T Q
     g = LA.gram(bt, l)                                                           # B B^T
     lam, w = np.linalg.eigh((g + g.T) / 2)
