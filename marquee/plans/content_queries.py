@@ -195,3 +195,11 @@ SELECT round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim,
        (SELECT count(DISTINCT gset) FROM it) AS n_sets FROM p"""))
 def q_genre_similarity_range(spark, d):
     return T.genre_similarity_range(view(spark, d, "catalog"))
+
+
+@register("director_token", with_views(["film"], final="""
+SELECT id, coalesce(replace(lower(trim(string_split(coalesce(director, ''), '|')[1])), ' ', '_'), '') AS token
+FROM film"""))
+def q_director_token(spark, d):
+    from marquee.functions.text import director_token
+    return view(spark, d, "film").select("id", director_token("director").alias("token"))

@@ -382,3 +382,15 @@ def q_curated_profiles(spark, d):
     return t.select(F.col("user_id").alias("id"), F.concat("genre", F.lit(" fan")).alias("label"),
                     F.col("genre").alias("top_genre"), F.col("total").alias("n_ratings"),
                     F.round("share", 2).alias("genre_share"))
+
+
+@register("parse_nested_names", """
+SELECT event_id,
+       array_to_string(list_transform(from_json('[' || props || ']', '[{"id": "BIGINT", "k": "VARCHAR"}]'),
+                                      lambda x: x.k), ',') AS names
+FROM events""")
+def q_parse_nested_names(spark, d):
+    from marquee.sources.files import parse_nested_names
+    ev = read_table(spark, d, "events", "event_id", "props")
+    names = parse_nested_names(F.concat(F.lit("["), F.col("props"), F.lit("]")), field="k")
+    return ev.select("event_id", F.array_join(names, ",").alias("names"))
