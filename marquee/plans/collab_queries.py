@@ -343,7 +343,7 @@ def q_rating_error_svd(spark, d):
   SELECT e.user_id, count(l.item_id) AS hits FROM elig e
   LEFT JOIN (SELECT r.user_id, r.item_id FROM recs r JOIN lk USING (user_id, item_id)) l USING (user_id)
   GROUP BY e.user_id"""), final="""
-SELECT count(*) AS n_users, round(avg(hits / 10), 6) AS precision, sum(hits) AS total_hits FROM hits"""))
+SELECT count(*) AS n_users, round(avg(hits / 10), 6) AS precision, CAST(sum(hits) AS BIGINT) AS total_hits FROM hits"""))
 def q_precision_at_k(spark, d):
     s = split(spark, d)
     train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))

@@ -50,7 +50,7 @@ _TFIDF_SQL = [
     ("tok", f"SELECT id, unnest(regexp_extract_all(lower(doc), '{_PAT_SQL}')) AS term FROM d"),
     ("tf", f"SELECT id, term, count(*) AS tf FROM tok WHERE term NOT IN ({_sw_sql}) GROUP BY id, term"),
     ("nd", "SELECT count(*) AS n FROM d"),
-    ("st", "SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term"),
+    ("st", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term"),
 ]
 
 

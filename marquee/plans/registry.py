@@ -49,11 +49,29 @@ def round6_sql(sql: str) -> str:
         i = k
 
 
+def bigint_counts_sql(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; cast it to BIGINT like Spark's."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = bigint_counts_sql(sql[j + len(key):k - 1])
+        out.append(sql[i:j])
+        out.append(f"CAST(count_if({inner}) AS BIGINT)")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, round6_sql(sql) if sql else None)
+        REGISTRY[name] = (fn, bigint_counts_sql(round6_sql(sql)) if sql else None)
         return fn
     return deco
 
