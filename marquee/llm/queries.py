@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.sources.tables import read_table
@@ -42,3 +42,28 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm import topk
     vectors = topk.quantise(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
     return topk.top_k(vectors.where(F.col("id") % 20 == 0), vectors, k=20)
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file (the operators take any path)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_register("op7_token_store")
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into binary shards, then found again through the
+    index by its key; start, length and CRC-32 as read from the files."""
+    from marquee.llm import token_store
+    from marquee.session import scratch_path
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    path = token_store.write(docs, scratch_path(spark, "tokens"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    stored = token_store.digests(spark, path)
+    same_key = Window.partitionBy("key").orderBy(F.lit(1))
+    keys = docs.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").select(
+        "key", (F.row_number().over(same_key) - 1).alias("copy"))
+    places = token_store.lookup(keys, path)
+    by_key = places.join(stored.drop("n", "key"), ["part", "seq", "offset"]).select("key", "start", "n", "crc")
+    without = stored.where("key IS NULL").select("key", "start", "n", "crc")
+    return by_key.unionByName(without).select(
+        F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
