@@ -67,3 +67,13 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     without = stored.where("key IS NULL").select("key", "start", "n", "crc")
     return by_key.unionByName(without).select(
         F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+@_register("op2_bestfit_packing")
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 4096 tokens and their place in a sequence."""
+    from marquee.llm import packing
+    from marquee.session import written
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    cut = written(packing.pieces(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, with_ids=False), "pieces")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
