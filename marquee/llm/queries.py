@@ -77,3 +77,14 @@ def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     cut = written(packing.pieces(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, with_ids=False), "pieces")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_register("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by byte-level BPE ranks and decoded again."""
+    import public_tokenizers
+
+    from marquee.llm import bpe
+    ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern)
+    return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("key", "doc_id")
