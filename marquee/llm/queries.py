@@ -88,3 +88,52 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern)
     return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("key", "doc_id")
+
+
+#: Shards of the placement query; their number is the only thing the data does not give.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+@_register("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to its shard's folder and read back from there."""
+    from marquee.llm import sharding
+    from marquee.session import scratch_path
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    path = sharding.write_shards(docs, scratch_path(spark, "shards"), SHARDS)
+    stored = sharding.read_shards(spark, path, "doc_id long, text string, slot long, shard string")
+    return stored.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"),
+                         F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+@_register("op10_line_dedup", """
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d
+), f AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM l WHERE translate(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12), '') <> ''
+), w AS (
+  SELECT a.doc_id, a.j, a.line AS l1, b.line AS l2, c.line AS l3
+  FROM f a JOIN f b ON b.doc_id = a.doc_id AND b.j = a.j + 1 JOIN f c ON c.doc_id = a.doc_id AND c.j = a.j + 2
+), later AS (
+  SELECT doc_id, j FROM (
+    SELECT doc_id, j, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, j) AS n FROM w) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT f.doc_id, f.i FROM later JOIN f ON f.doc_id = later.doc_id AND f.j BETWEEN later.j AND later.j + 2
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text,
+         count(*) AS n_lines, count(gone.i) AS n_removed
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept
+""")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated three-line passages."""
+    from marquee.llm import line_dedup
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    kept = line_dedup.remove_repeats(docs)
+    return kept.select("doc_id", F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.col("n_lines")).cast("long")
+                       .alias("n_lines"), "n_removed",
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
