@@ -5,15 +5,19 @@ used here, whatever stands before it, so a text is the sequence of its parts
 between such spaces and its ids are the ids of the parts in that order. Parts
 repeat, so each distinct part is encoded once per worker and looked up after
 that; the store of parts is emptied when it is full, which costs time, not results.
+A part met for the first time is put together from smaller ones where that is safe.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 #: A space that does not begin a pre-token of its own with what follows.
 _INNER = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 def parts(text: str) -> list[str]:
@@ -35,11 +39,38 @@ class PartEncoder:
 
     @staticmethod
     def _bytes(ids) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        out = array("I", ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
+
+    @staticmethod
+    def _atoms(part: str, prefix: str) -> list[tuple[str, str]]:
+        """The part as pre-tokens that surely stand alone: lines, and letters before
+        closing punctuation; each with the prefix it has. Anything else stays whole."""
+        lines = part.split("\n") if "\n" in part and _LINES.fullmatch(part) else [part]
+        out = []
+        for n, line in enumerate(lines):
+            if n:
+                out.append(("", "\n"))
+                prefix = ""
+            head = line.rstrip(".,;:!?")
+            if head and head != line and head.isalpha() and (
+                    head.isascii() or max(head) < "\u0250" and "\u0130" not in head):
+                out += [(prefix, head), ("", line[len(head):])]
+            else:
+                out.append((prefix, line))
+        return out
 
     def _learn(self, store: dict, prefix: str, missing: list[str]) -> None:
-        for part, ids in zip(missing, self.encode_many([prefix + p for p in missing])):
-            store[part] = self._bytes(ids)
+        cut = {p: self._atoms(p, prefix) for p in missing}
+        stores = {self.prefix: self.later, "": self.first}
+        new = [a for a in dict.fromkeys(a for atoms in cut.values() for a in atoms) if a[1] not in stores[a[0]]]
+        for (own, atom), ids in zip(new, self.encode_many([own + atom for own, atom in new])):
+            stores[own][atom] = self._bytes(ids)
+        for part, atoms in cut.items():
+            if len(atoms) > 1:
+                store[part] = b"".join([stores[own][atom] for own, atom in atoms])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
