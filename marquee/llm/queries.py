@@ -137,3 +137,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.col("n_lines")).cast("long")
                        .alias("n_lines"), "n_removed",
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@_register("op4_minhash_neardup")
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates (2-word shingles, similarity 0.8) of every document."""
+    from marquee.llm import minhash
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash.near_duplicates(docs, width=2, percent=80).withColumnRenamed("key", "doc_id")
