@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.session import written
+
 _BLANK = " \t\r\x0b\x0c"
 WINDOW = 3
 
@@ -26,33 +28,38 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _filled(lines: Column) -> Column:
-    """Indexes of the lines that are not blank."""
-    return F.filter(F.transform(lines, lambda x, i: F.when(F.translate(x, _BLANK, "") != "", i)),
-                    lambda i: i.isNotNull())
-
-
-def _keyed(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"),
-                       _lines(text).alias("lines")).withColumn("filled", _filled(F.col("lines")))
+def _is_filled(line: Column) -> Column:
+    return F.translate(line, _BLANK, "") != ""
 
 
 def later_windows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, mark, at``: the windows (by number of their first line among the lines
     that are not blank) that occurred before. ``mark`` is the hash of the text."""
-    keyed = _keyed(docs, key_col, text_col).where(F.size("filled") >= WINDOW)
-    line = lambda i, n: F.col("lines")[F.col("filled")[i + n]]
-    three = lambda i: [line(i, n) for n in range(WINDOW)]
-    found = F.transform(F.sequence(F.lit(0), F.size("filled") - WINDOW), lambda i: F.struct(
-        F.xxhash64(*three(i)).alias("h1"), F.xxhash64(F.lit("second"), *three(i)).alias("h2"), i.alias("at")))
-    windows = keyed.select("key", "mark", F.explode(found).alias("w")).select("key", "mark", "w.*")
+    text = F.col(text_col).cast("string")
+    keyed = (docs.where(text.isNotNull()).select(
+        F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"),
+        F.filter(_lines(text), _is_filled).alias("filled")).where(F.size("filled") >= WINDOW))
+    # a line is hashed once, its windows from the lines' hashes
+    hashed = keyed.select("key", "mark", F.transform("filled", lambda x: F.struct(
+        F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"))).alias("m"))
+    three = lambda i, f: [F.col("m")[i + n][f] for n in range(WINDOW)]
+    found = F.transform(F.sequence(F.lit(0), F.size("m") - WINDOW), lambda i: F.struct(
+        F.xxhash64(*three(i, "a")).alias("h1"), F.xxhash64(*three(i, "b")).alias("h2"), i.alias("at")))
+    windows = written(hashed.select("key", "mark", F.explode(found).alias("w")).select("key", "mark", "w.*"), "windows")
     place = F.struct("key", "mark", "at")
     first = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where(F.col("first") != F.col("last")).select("h1", "h2", "first"))
     return windows.join(first, ["h1", "h2"]).where(place != F.col("first")).select("key", "mark", "at")
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines joined again without those whose numbers among the filled ones are gone."""
+    filled = F.filter(F.transform(lines, lambda x, i: F.when(_is_filled(x), i)), lambda i: i.isNotNull())
+    out = F.transform(F.array(filled), lambda f: F.transform(gone, lambda j: f[j]))[0]
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+    return F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
+
+
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns and rows of ``docs`` with the kept lines as text, and ``n_lines``,
     ``n_removed`` (longs; columns of these names in the input are replaced).
@@ -63,20 +70,18 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     in order of a hash of their texts.
     """
     base = docs.drop("n_lines", "n_removed")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.col(text_col).cast("string")
     gone = later_windows(docs, key_col, text_col).groupBy("key", "mark").agg(F.collect_set("at").alias("later"))
     gone = gone.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("later").alias("_later"))
     joined = base.join(gone, F.col(key_col).cast("long").eqNullSafe(F.col("_key"))
                        & (F.xxhash64(text) == F.col("_mark")), "left")
-    lined = joined.withColumn("_lines", _lines(text)).withColumn("_filled", F.when(
-        F.col("_later").isNotNull(), _filled(F.col("_lines"))))
-    covered = F.array_distinct(F.flatten(F.transform("_later", lambda j: F.sequence(j, j + WINDOW - 1))))
-    lined = lined.withColumn("_out", F.transform(covered, lambda j: F.col("_filled")[j]))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
-    new = F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n")
-    out = lined.withColumn(text_col, F.when(F.col("_out").isNotNull(), new).otherwise(F.col(text_col)))
-    columns = [F.col(c) for c in base.columns]
-    return out.select(*columns, F.when(F.col(text_col).isNull() & F.col("_out").isNull(), F.lit(0))
-                      .otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-                      F.coalesce(F.when(F.col("_out").isNotNull(), F.size("_out")), F.lit(0)).cast("long")
-                      .alias("n_removed"))
+    out = F.array_distinct(F.flatten(F.transform("_later", lambda j: F.sequence(j, j + WINDOW - 1))))
+    # a one-element transform binds what is used more than once
+    new = F.transform(F.array(_lines(text)), lambda lines: F.transform(
+        F.array(out), lambda gone: _without(lines, gone))[0])[0]
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    columns = [F.when(F.col("_later").isNotNull(), new).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
+               for c in base.columns]
+    return joined.select(*columns, F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+                         F.when(F.col("_later").isNotNull(), F.size(out)).otherwise(F.lit(0)).cast("long")
+                         .alias("n_removed"))
