@@ -145,3 +145,11 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm import minhash
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return minhash.near_duplicates(docs, width=2, percent=80).withColumnRenamed("key", "doc_id")
+
+
+@_register("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a repeated 200-byte string covers."""
+    from marquee.llm import suffix_dedup
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=200, with_text=False)
