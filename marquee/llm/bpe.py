@@ -17,8 +17,9 @@ shuffle; only longer ones are dealt out by (row, chunk).
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ class _Coder:
     """Scans, encodes and decodes by a rank file and a pattern; pre-tokens met before
     are looked up (the store is emptied when full)."""
 
-    def __init__(self, ranks_path: str, pattern: str, max_parts: int = 1_000_000):
+    def __init__(self, ranks_path: str, pattern: str, max_parts: int = 300_000):
         import base64
 
         import regex
@@ -41,22 +42,26 @@ class _Coder:
         self.raw = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.max_parts = max_parts
 
     def boundaries(self, text: str) -> list[int]:
         """Where pre-tokens begin, and the end."""
         return [m.start() for m in self.pattern.finditer(text)] + [len(text)]
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
         known = self.known
         if len(known) > self.max_parts:
             known.clear()
         found = self.pattern.findall(text)
         for p in found:
             if p not in known:
-                known[p] = self.encoding.encode_ordinary(p)
-        return list(chain.from_iterable([known[p] for p in found]))
+                own = array("I", self.encoding.encode_ordinary(p))
+                if sys.byteorder != "little":
+                    own.byteswap()
+                known[p] = own.tobytes()
+        return b"".join([known[p] for p in found])
 
     def decode(self, ids) -> bytes:
         return b"".join([self.raw[i] for i in ids])
@@ -107,18 +112,11 @@ def _scanner(ranks_path: str, pattern: str, chunk: int, overlap: int):
 
 def _encoder(ranks_path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import array
-        import sys
         c = coder(ranks_path, pattern)
         for batch in batches:
             texts, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
             for at in range(0, batch.num_rows, 256):
-                out = []
-                for t in texts.slice(at, 256).to_pylist():
-                    ids = array.array("I", c.ids(t))
-                    if sys.byteorder != "little":
-                        ids.byteswap()
-                    out.append(ids.tobytes())
+                out = [c.ids(t) for t in texts.slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([x.slice(at, 256) for x in rest] + [pa.array(out, pa.binary())],
                                                  names=batch.schema.names[:-1] + ["ids"])
 
@@ -186,26 +184,30 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("key", "ids").mapInArrow(_decoder(ranks_path, pattern), "key long, ids binary, bytes binary")
 
 
-def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    import numpy as np
-    words = [str(i) for i in range(1 << 17)]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            n, ids_sha, raw_sha = [], [], []
-            for ids, raw in zip(*(batch.column(x).slice(at, 256).to_pylist() for x in ("ids", "bytes"))):
-                own = np.frombuffer(ids, "<u4").tolist()
-                n.append(len(own))
-                text = " ".join([words[i] if i < len(words) else str(i) for i in own])
-                ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").slice(at, 256), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(raw_sha, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
+def _digester(ranks_path: str, pattern: str):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``key, n_tokens`` and SHA-256 of the decimal ids joined by one space and of the decoded bytes."""
-    return decoded.select("key", "ids", "bytes").mapInArrow(
-        _digester, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        import numpy as np
+        c = coder(ranks_path, pattern)
+        words = {i: str(i) for i in c.raw}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                n, ids_sha, raw_sha = [], [], []
+                for ids in batch.column("ids").slice(at, 256):
+                    own = np.frombuffer(ids.as_buffer(), "<u4").tolist()
+                    n.append(len(own))
+                    ids_sha.append(hashlib.sha256(" ".join([words[i] for i in own]).encode()).hexdigest())
+                    raw_sha.append(hashlib.sha256(c.decode(own)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").slice(at, 256), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
+                     pa.array(raw_sha, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
+def digests(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``key, n_tokens`` and SHA-256 of the decimal ids joined by one space and of the
+    bytes that the ids decode to."""
+    return encoded.select("key", "ids").mapInArrow(
+        _digester(ranks_path, pattern), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")

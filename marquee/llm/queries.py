@@ -87,7 +87,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm import bpe
     ranks, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern)
-    return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("key", "doc_id")
+    return bpe.digests(encoded, ranks, pattern).withColumnRenamed("key", "doc_id")
 
 
 #: Shards of the placement query; their number is the only thing the data does not give.
