@@ -153,3 +153,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm import suffix_dedup
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return suffix_dedup.remove_repeats(docs, length=200, with_text=False)
+
+
+@_register("op5_quality_mcd")
+def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the robust outlier verdict of every document."""
+    from marquee.llm import quality
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                        "base_failed", "kept", "distance")
