@@ -162,3 +162,14 @@ def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                         "base_failed", "kept", "distance")
+
+
+@_register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by dictionaries of labelled ones outside the held-out fold."""
+    from marquee.llm import toxicity
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model, with_text=False)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
