@@ -119,9 +119,17 @@ def train_dictionaries(texts: list[str], labels: list[int], size: int = 24_000,
     usual = ranked(frequent[0])[:common]
 
     def telling(y: int) -> list[str]:
-        rate = lambda s, z: (len(holders[z].get(s, ())) + 0.5) / (n[z] + 1)
-        chosen = {s for s, f in holders[y].items()
-                  if len(f) >= max(4, 0.01 * n[y]) and rate(s, y) >= 8 * rate(s, 1 - y)}
+        def surprise(a: int, b: int) -> float:
+            """Likelihood ratio of a families of this class and b of the other against chance."""
+            even = (a + b) * np.array([n[y], n[1 - y]]) / (n[0] + n[1])
+            return 2 * sum(k * math.log(k / e) for k, e in zip((a, b), even) if k)
+
+        chosen = set()
+        for s, f in holders[y].items():
+            a, b = len(f), len(holders[1 - y].get(s, ()))
+            # 20: by chance one segment in 10^5
+            if (a + 0.5) * (n[1 - y] + 1) >= 8 * (b + 0.5) * (n[y] + 1) and surprise(a, b) >= 20:
+                chosen.add(s)
         out, used = [], 0
         for w in ranked(frequent[y]):
             if chosen & _segments(w):
