@@ -1,69 +1,62 @@
-"""Distributed positions and exact quantiles.
-
-``positions`` gives every row its 0-based position inside its key group under
-a sort order without ever moving a group into a single task:
-
-1. range-partition on (keys, order) and sort inside each partition, so each
-   partition holds a contiguous slice of the global order;
-2. number rows inside each partition per key (one Arrow-batched pass that
-   keeps only a running counter per key);
-3. count rows per (partition, key) -- a table of at most
-   #partitions + #keys rows -- and turn it into start offsets with a running
-   sum per key;
-4. position = offset of (partition, key) + local number.
-
-A global ``row_number()`` (no ``partitionBy``) or a per-group window would put
-a whole group -- possibly a third of the data -- into one task; this never
-does. The range shuffle is reused by both branches of step 3/4.
-
-``grouped_quantiles`` builds exact linear-interpolation quantiles (the
-``quantile_cont`` / numpy default) on top: it keeps only the rows at the two
-positions bracketing each requested probability.
+"""Distributed positions and exact quantiles, in JVM operators only.
+
+``running_totals`` gives every row the sum of a weight over the rows before it in its
+key group, without ever moving a group into one task:
+
+1. the rows are range-partitioned on (keys, order) once and *written* with their
+   partition number, so every later step sees one and the same partitioning (a second
+   use of a range shuffle would sample its own bounds);
+2. per (partition, key) totals - at most #partitions + #keys rows - become offsets by
+   a running sum per key;
+3. within a (partition, key) the running sum is a window over a bounded slice.
+
+A global ``row_number()`` or a per-group window would put a whole group, possibly a
+third of the data, into one task.
+
+``positions`` is that with weight 1. ``grouped_quantiles`` counts equal values first
+(map-side combined, so a value that most rows have is one row), then finds the distinct
+values that bracket each requested probability: the exact linear-interpolation quantile
+(``quantile_cont`` / the numpy default).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from marquee.session import written
 
 PID = "_pid"
-LPOS = "_lpos"
 POS = "_pos"
 
 
-def _key_tuple(row) -> tuple:
-    return tuple(None if (isinstance(x, float) and x != x) else x for x in row)
+def _join_by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Inner join on equal keys (null equals null) and plain columns ``also``."""
+    renamed = {k: f"_r{i}" for i, k in enumerate((*keys, *also))}
+    right = right.withColumnsRenamed(renamed)
+    on = [F.col(k).eqNullSafe(F.col(renamed[k])) for k in keys] + [F.col(k) == F.col(renamed[k]) for k in also]
+    return left.join(right, reduce(lambda x, y: x & y, on, F.lit(True))).drop(*renamed.values())
 
 
-def _local_numbering(keys: Sequence[str]):
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weight: Column,
+                   out: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``out``: the weight before each row within ``keys`` under ``order``."""
     keys = list(keys)
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        running: dict = {}
-        for pdf in batches:
-            if keys and len(pdf):
-                grp = pdf.groupby(keys, sort=False, dropna=False)
-                gid = grp.ngroup().to_numpy()
-                within = grp.cumcount().to_numpy()
-                firsts = [_key_tuple(t) for t in
-                          pdf[keys].drop_duplicates().itertuples(index=False, name=None)]
-                starts = np.array([running.get(k, 0) for k in firsts], dtype="int64")
-                sizes = np.bincount(gid, minlength=len(firsts))
-                for k, n in zip(firsts, sizes):
-                    running[k] = running.get(k, 0) + int(n)
-                lpos = starts[gid] + within
-            else:
-                n0 = running.get((), 0)
-                lpos = np.arange(n0, n0 + len(pdf), dtype="int64")
-                running[()] = n0 + len(pdf)
-            yield pdf.assign(**{LPOS: lpos.astype("int64")})
-
-    return number
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    sort_cols = [F.col(k) for k in keys] + order_cols
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols))
+    placed = written(ranged.withColumn("_w", weight.cast("bigint")).withColumn(PID, F.spark_partition_id()), "ranged")
+    totals = placed.groupBy(PID, *keys).agg(F.sum("_w").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(PID, *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(PID, *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+    return _join_by_keys(local, offsets, keys, [PID]).select(
+        *df.columns, (F.col("_off") + F.col("_local")).alias(out))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -71,65 +64,37 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     """``df`` plus ``_pos``: 0-based position within ``keys`` under ``order``.
 
     ``order`` must be a total order inside each key group (append a unique
-    column as the last tie-break) for the result to be deterministic.
+    column as the last tie-break) for the result to be deterministic. A null key is a
+    group of its own.
     """
-    keys = list(keys)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    sort_cols = [F.col(k) for k in keys] + order_cols
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *sort_cols)
-    else:
-        ranged = df.repartitionByRange(*sort_cols)
-    ranged = ranged.sortWithinPartitions(*sort_cols).withColumn(PID, F.spark_partition_id())
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField(LPOS, T.LongType(), False)])
-    local = ranged.mapInPandas(_local_numbering(keys), out_schema)
-
-    counts = local.groupBy(PID, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(PID) if keys else Window.orderBy(PID)
-    offsets = counts.select(
-        PID, *keys,
-        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_n")).alias("_off"),
-    )
-    joined = local.join(offsets, [PID, *keys]) if keys else local.join(offsets, PID)
-    return joined.withColumn(POS, F.col("_off") + F.col(LPOS)).drop(PID, LPOS, "_off")
+    return running_totals(df, keys, order, F.lit(1), POS, num_partitions)
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                      probs: Iterable[float], names: Sequence[str] | None = None,
-                      tie: str | None = None) -> DataFrame:
+                      probs: Iterable[float], names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``value`` per ``keys``.
 
     Returns ``keys`` + ``n`` + one column per probability (named ``names`` or
     ``q0, q1, ...``). Null values are ignored; groups with no value are absent,
-    and so are rows whose key is null (filter or fill them first).
+    and a null key is a group of its own.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    order = ["_v"] + ([tie] if tie else [])
-    if tie:
-        base = df.select(*keys, v.cast("double").alias("_v"), F.col(tie)).where(
-            F.col("_v").isNotNull())
-    ranked = positions(base, keys, order)
-
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    wanted_items = []
-    for i, p in enumerate(probs):
+    counted = (df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    before = running_totals(counted, keys, ["_v"], F.col("_c"), "_before")
+    before = before.withColumnRenamed("_c", "_times")
+    sizes = before.groupBy(*keys).agg(F.sum("_times").alias("n"))
+    joined = _join_by_keys(before, sizes, keys)
+    covers = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_times"))
+    aggs = []
+    for p, name in zip(probs, names):
         h = (F.col("n") - 1) * F.lit(p)
-        lo = F.floor(h)
-        frac = h - lo
-        wanted_items.append(F.struct(F.lit(i).alias("qi"), lo.cast("bigint").alias(POS),
-                                     (1 - frac).alias("wt")))
-        wanted_items.append(F.struct(F.lit(i).alias("qi"), F.ceil(h).cast("bigint").alias(POS),
-                                     frac.alias("wt")))
-    wanted = sizes.select(*keys, "n", F.explode(F.array(*wanted_items)).alias("w")).select(
-        *keys, "n", "w.qi", F.col(f"w.{POS}").alias(POS), "w.wt")
-    hits = ranked.select(*keys, POS, "_v").join(wanted, [*keys, POS])
-    aggs = [F.sum(F.when(F.col("qi") == i, F.col("_v") * F.col("wt"))).alias(nm)
-            for i, nm in enumerate(names)]
-    if keys:
-        return hits.groupBy(*keys).agg(F.first("n").alias("n"), *aggs)
-    return hits.groupBy().agg(F.first("n").alias("n"), *aggs)
+        lo, hi = F.floor(h), F.ceil(h)
+        low = F.max(F.when(covers(lo), F.col("_v")))
+        high = F.max(F.when(covers(hi), F.col("_v")))
+        share = F.max(h - lo)
+        aggs.append((low * (1 - share) + high * share).alias(name))
+    return joined.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)

@@ -48,3 +48,33 @@ def test_global_median_and_single_value(spark):
     assert r["q0"] == 2.0 and r["n"] == 3
     one = spark.createDataFrame([(5.0,)], "v double")
     assert grouped_quantiles(one, [], "v", [0.1, 0.9]).first()["q1"] == 5.0
+
+
+def test_same_under_any_plan_settings(spark):
+    """Exchange reuse and adaptive plans must not change a position or a quantile."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    big = 2 ** 53
+    rows = [(i, None if i % 7 == 0 else big + i, float(rng.integers(0, 5)) if rng.random() < 0.6 else float(rng.normal()),
+             None if i % 11 == 0 else "hot" if i % 3 else "b") for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, wide long, v double, k string").repartition(16)
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    want = {r[0]: (p, r[1]) for p, r in enumerate(order)}
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    try:
+        for reuse in ("true", "false"):
+            for adaptive in ("true", "false"):
+                spark.conf.set("spark.sql.exchange.reuse", reuse)
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+                out = positions(df, [], ["v", "id"], 16)
+                plan = out._jdf.queryExecution().toString()
+                assert "MapInPandas" not in plan and "Python" not in plan
+                assert {r["id"]: (r[POS], r["wide"]) for r in out.collect()} == want
+                q = grouped_quantiles(df, ["k"], "v", [0.1, 0.5, 0.77]).collect()
+                assert len(q) == 3
+                for r in q:
+                    exp = np.quantile([x[2] for x in rows if x[3] == r["k"]], [0.1, 0.5, 0.77])
+                    assert np.allclose([r["q0"], r["q1"], r["q2"]], exp, atol=1e-12)
+    finally:
+        for c, value in keep.items():
+            spark.conf.set(c, value)
