@@ -14,13 +14,16 @@ with 60 x 8 that is 1.6e-5, at 0.85 3e-9, before other links of its group count.
 
 *Verification* is exact, on the full sets, in two passes. Equal sets are one class from
 the start (a 64-bit sum of mixed hashes, checked by a second one). In the first pass
-each class meets the leader of its buckets; in the second, every pair of a bucket that
-is still in different components and has not been compared meets too. So copies and
-near copies cost a line per member, not pairs, and no link that banding found is lost.
+each class meets the leader of its buckets. What is still in different components though
+in one bucket meets in the second pass: such classes are laid in an order that puts bucket
+mates together and cut into blocks; of each two blocks that a bucket spans, all sets are
+compared by one matrix product, and the links that join components come out, at most
+one per class. So no pairs are written, and no link that banding found is lost.
 
 Scale: a map task sends a class's bands once, so a group of copies of any size adds a
 row per task and bucket; comparisons go to groups of at most ``group_rows`` members of
-a leader, the leader's set repeated. Links, components and texts never reach the driver.
+a leader, the leader's set repeated, and to blocks of about ``block_shingles`` shingles.
+Links, components and texts never reach the driver.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.positions import running_totals
 from marquee.llm.components import components
 from marquee.llm.hashing import Prefix, mix, text_slices
 from marquee.session import written
@@ -145,9 +149,9 @@ def _router(width: int, seed: int):
                 node = batch.column("node").slice(row, n).to_pylist()
                 same = [_set_hash(s, 100 + 2 * seed) == h for s, h in zip(sets, node)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(row, n) for c in ("node", "a", "salt")]
+                    [batch.column(c).slice(row, n) for c in ("node", "a", "b", "root")]
                     + [pa.array([s.tobytes() if ok else None for s, ok in zip(sets, same)], pa.binary())],
-                    names=["node", "a", "salt", "shingles"])
+                    names=["node", "a", "b", "root", "shingles"])
 
     return route
 
@@ -169,25 +173,85 @@ def _verifier(percent: int):
     return verify
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, seed: int, percent: int,
-            group_rows: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough, as ``(u, v)``."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("salts"))
-    members = pairs.join(sizes, "a").select(F.col("b").alias("node"), "a",
-                                            F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    leaders = sizes.select(F.col("a").alias("node"), "a",
-                           F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asked = members.unionByName(leaders).join(classes.select(F.col("h1").alias("node"), "place"), "node")
-    asked = asked.select("node", "a", "salt", F.col("place.key").alias("_k"), F.col("place.mark").alias("_m"))
-    sent = (texts.join(asked, texts["mark"].eqNullSafe(asked["_m"]) & texts["key"].eqNullSafe(asked["_k"]))
-            .select("node", "a", "salt", "text")
-            .mapInArrow(_router(width, seed), "node long, a long, salt int, shingles binary"))
-    return sent.groupBy("a", "salt").applyInArrow(_verifier(percent), "u long, v long")
+def _joiner(percent: int):
+    """Links between components within a cell, as a spanning set of them."""
+    def join(table: pa.Table) -> pa.Table:
+        sets, root = {}, {}
+        for n, r, raw in zip(*(table[c].to_pylist() for c in ("node", "root", "shingles"))):
+            if raw is not None:
+                sets[n], root[n] = np.frombuffer(raw, dtype=np.uint64), r
+        nodes, u, v = list(sets), [], []
+        if len(set(root.values())) > 1:
+            size = np.array([len(sets[n]) for n in nodes])
+            owner = np.repeat(np.arange(len(nodes)), size)
+            _, column, times = np.unique(np.concatenate([sets[n] for n in nodes]), return_inverse=True,
+                                         return_counts=True)
+            shared = times[column] > 1
+            number = np.cumsum(times > 1) - 1
+            owner, column = owner[shared], number[column[shared]]
+            order = np.argsort(column, kind="stable")
+            owner, column = owner[order], column[order]
+            both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)  # counts, exact below 2^24
+            for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+                i, j = np.searchsorted(column, (start, start + 2048))
+                has = np.zeros((len(nodes), 2048), dtype=np.float32)
+                has[owner[i:j], column[i:j] - start] = 1
+                both += has @ has.T
+            alike = 100.0 * both >= percent * (size[:, None] + size[None, :] - both).astype(np.float64)
+            top = {r: r for r in root.values()}
+
+            def find(r):
+                while top[r] != r:
+                    top[r] = top[top[r]]
+                    r = top[r]
+                return r
+
+            for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+                x, y = find(root[nodes[i]]), find(root[nodes[j]])
+                if x != y:
+                    top[x] = y
+                    u.append(nodes[i])
+                    v.append(nodes[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return join
+
+
+def _sent(asked: DataFrame, classes: DataFrame, texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """The sets of the asked classes ``node`` at the groups ``(a, b)`` that ask for them."""
+    asked = asked.join(classes.select(F.col("h1").alias("node"), "place"), "node").select(
+        "node", "a", "b", "root", F.col("place.key").alias("_k"), F.col("place.mark").alias("_m"))
+    return (texts.join(asked, texts["mark"].eqNullSafe(asked["_m"]) & texts["key"].eqNullSafe(asked["_k"]))
+            .select("node", "a", "b", "root", "text")
+            .mapInArrow(_router(width, seed), "node long, a long, b long, root long, shingles binary"))
+
+
+def _with_leaders(pairs: DataFrame, group_rows: int) -> DataFrame:
+    """Requests of the pairs (leader a, member b): each leader in as many groups as its members need."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("salts"))
+    members = pairs.join(sizes, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("b"))
+    leaders = sizes.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("b"))
+    return members.unionByName(leaders).withColumn("root", F.col("node"))
+
+
+def _cells(apart: DataFrame, block_shingles: int) -> DataFrame:
+    """Requests of the rows ``(bucket, h1, n, root)``: the classes of every two blocks with a bucket in common."""
+    near = Window.partitionBy("bucket")
+    nodes = (apart.withColumn("near", F.min("h1").over(near)).groupBy("h1")
+             .agg(F.min("n").alias("n"), F.min("root").alias("root"), F.min("near").alias("near")))
+    laid = running_totals(nodes, [], ["near", "root", "h1"], F.col("n"), "before")
+    blocks = written(laid.select("h1", "root", F.floor(F.col("before") / block_shingles).alias("block")), "blocks")
+    spans = (apart.join(blocks.select("h1", "block"), "h1").groupBy("bucket")
+             .agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct())
+    pairs = (spans.select(F.explode("blocks").alias("a"), "blocks").select("a", F.explode("blocks").alias("b"))
+             .where("a <= b").distinct())
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return sides.join(blocks, "block").select(F.col("h1").alias("node"), "a", "b", "root")
 
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
-                    seed: int = 0) -> DataFrame:
+                    block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
     """Per row of ``docs``: ``key, n_shingles, component_id, kept``.
 
     Sets are linked where 100 * intersection >= percent * union; ``component_id`` is the
@@ -207,7 +271,8 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
         F.min("key").alias("first"), F.min(F.struct("key", "mark")).alias("place"), F.min("n").alias("n"),
         F.min("h2").alias("lo"), F.max("h2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets of one 64-bit hash
-        return near_duplicates(docs, key_col, text_col, width, percent, bands, rows, group_rows, seed + 1)
+        return near_duplicates(docs, key_col, text_col, width, percent, bands, rows, group_rows,
+                               block_shingles, seed + 1)
 
     in_bucket = Window.partitionBy("bucket")
     met = written(full.select(F.explode("bands").alias("bucket"), "h1", "n")
@@ -217,23 +282,19 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     alike = lambda a, b: (5 * F.least(a, b) * 20 >= percent * F.greatest(a, b))
     stars = written(met.where(F.col("h1") != F.col("lead.h1")).where(alike(F.col("n"), F.col("lead.n")))
                     .select(F.col("lead.h1").alias("a"), F.col("h1").alias("b")).distinct(), "stars")
-    links = written(_linked(stars, classes, texts, width, seed, percent, group_rows), "star-links")
+    links = written(_sent(_with_leaders(stars, group_rows), classes, texts, width, seed)
+                    .groupBy("a", "b").applyInArrow(_verifier(percent), "u long, v long"), "star-links")
     roots = written(components(links), "roots")
 
     placed = met.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
         "bucket", "h1", "n", F.coalesce("root", "h1").alias("root"))
-    spread = Window.partitionBy("bucket")
-    apart = (placed.withColumn("lo", F.min("root").over(spread)).withColumn("hi", F.max("root").over(spread))
-             .where("lo <> hi").select("bucket", "h1", "n", "root"))
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.h1") < F.col("y.h1"))
-                   & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
-            .select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    rest = written(rest, "rest")
-    if rest.limit(1).count():
-        more = written(_linked(rest, classes, texts, width, seed, percent, group_rows), "rest-links")
-        roots = written(components(links.unionByName(more)), "roots")
+    apart = written(placed.withColumn("lo", F.min("root").over(in_bucket)).withColumn("hi", F.max("root").over(in_bucket))
+                    .where("lo <> hi").select("bucket", "h1", "n", "root"), "apart")
+    if apart.limit(1).count():
+        more = written(_sent(_cells(apart, block_shingles), classes, texts, width, seed)
+                       .groupBy("a", "b").applyInArrow(_joiner(percent), "u long, v long"), "cell-links")
+        if more.limit(1).count():
+            roots = written(components(links.unionByName(more)), "roots")
 
     named = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
         "h1", "first", F.coalesce("root", "h1").alias("root"))

@@ -70,8 +70,14 @@ def test_edge_rows_and_chains(spark, make_docs, edge_texts):
     texts += ["Same words HERE now", "same words here now", "same  words\there\x0bnow"]
     ids = list(range(len(texts)))
     ids[2] = ids[20] = None
+    base = [word() for _ in range(60)]
+    for _ in range(40):  # a group whose members are linked to some of the others only
+        texts.append(" ".join(w if rng.random() > 0.11 else word() for w in base))
+    ids += range(len(ids), len(texts))
     for width in (1, 2, 5):
-        assert run(make_docs(texts, ids, parts=3), width=width, group_rows=2) == brute(texts, ids, width)
+        for block in (100, 60_000):
+            assert run(make_docs(texts, ids, parts=3), width=width, group_rows=2,
+                       block_shingles=block) == brute(texts, ids, width)
 
 
 def test_empty_table(spark, make_docs):
