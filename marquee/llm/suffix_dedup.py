@@ -16,13 +16,15 @@ are reused and never touched again. Three things keep that linear in the input:
 * *What is left* - rows alone in their run's bucket but not in their q-gram's, at the
   ends of repeated passages - is refined position by position: by the pair of buckets
   at offsets 0 and q (fingerprints of q-gram and of the rest of the string), together
-  with one row of each decided run of the same q-gram.
+  with one row of each decided run of the same q-gram. That takes place within the
+  q-gram's bucket; one of more than ``group_runs`` runs goes string by string through
+  an aggregate instead.
 
 Scale: a map task sends equal runs once (with a count), the other copies' places are
 known to repeat at once, so a passage that a third of all documents hold is one row
 per task; buckets are counted by aggregates with map-side combine and joined back,
-nothing is gathered by bucket. Places are gathered per document, no more than its own
-runs. Texts are shuffled by document, twice at most. Fingerprints have 64 bits each and
+no bucket of more than ``group_runs`` rows is gathered. Places are gathered per document,
+no more than its own runs. Texts are shuffled by document, twice at most. Fingerprints have 64 bits each and
 are compared in pairs (q-gram and run, or q-gram and rest), so 128 bits decide.
 """
 
@@ -105,10 +107,11 @@ def _run_finder(length: int, q: int, most: int):
             count = np.bincount(group)
             n = np.zeros(len(b), dtype=np.int64)  # 0: repeats a row of this task, which stands for it
             n[order[new]] = count
+            again = n == 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64(), mask=~known), pa.array(mark, pa.int64()), pa.array(lo, pa.int32()),
-                 pa.array(hi, pa.int32()), pa.array(bucket, pa.int64()), pa.array(run, pa.int64()),
-                 pa.array(n, pa.int64())], names=names)
+                 pa.array(hi, pa.int32()), pa.array(bucket, pa.int64(), mask=again),
+                 pa.array(run, pa.int64(), mask=again), pa.array(n, pa.int64())], names=names)
 
         size = 0
         for batch in batches:
@@ -130,30 +133,72 @@ def _run_finder(length: int, q: int, most: int):
     return find
 
 
-def _position_finder(length: int, q: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _span_sender(length: int):
+    """Every asked run with its bytes, from its first position to the end of its last string."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                data = np.frombuffer(row.column("text")[0].as_buffer(), dtype=np.uint8)
-                lo, hi = (row.column(c).flatten().to_numpy() for c in ("lo", "hi"))
-                bucket = row.column("bucket").flatten().to_numpy()
-                own = row.column("open").flatten().to_numpy(zero_copy_only=False)
-                if not len(lo):
-                    continue
-                start, stop = int(lo.min()), int(hi.max()) + length
-                spans = Prefix(data[start:stop])
-                size = hi - lo + 1
-                run = np.repeat(np.arange(len(lo)), size)
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[run] - start
-                head = mix(spans.span(at, at + q), 1).view(np.int64)
-                rest = mix(spans.span(at + q, at + length), 4).view(np.int64)
-                n = len(at)
+                text = memoryview(row.column("text")[0].as_buffer())
+                lo, hi = (row.column(c).flatten() for c in ("lo", "hi"))
+                spans = [bytes(text[x:y + length]) for x, y in zip(lo.to_pylist(), hi.to_pylist())]
+                n = len(spans)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row.column("key")[0].as_py()] * n, pa.int64()),
-                     pa.array(np.full(n, row.column("mark")[0].as_py()), pa.int64()),
-                     pa.array(at + start, pa.int32()), pa.array(bucket[run], pa.int64()),
-                     pa.array(head, pa.int64()), pa.array(rest, pa.int64()), pa.array(own[run], pa.bool_())],
+                     pa.array([row.column("mark")[0].as_py()] * n, pa.int64()), lo, row.column("bucket").flatten(),
+                     row.column("runs").flatten(), row.column("open").flatten(), pa.array(spans, pa.binary())],
+                    names=["key", "mark", "lo", "bucket", "runs", "open", "span"])
+
+    return send
+
+
+def _strings(spans: list[bytes], length: int, q: int):
+    """(span, offset, head, rest) of every string of ``length`` bytes in the spans."""
+    size = np.array([len(x) for x in spans], dtype=np.int64)
+    starts = np.cumsum(size) - size
+    many = size - length + 1
+    own = np.repeat(np.arange(len(spans)), many)
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = starts[own] + offset
+    prefix = Prefix(np.frombuffer(b"".join(spans), dtype=np.uint8))
+    head = mix(prefix.span(at, at + q), 1).view(np.int64)
+    return own, offset, head, mix(prefix.span(at + q, at + length), 4).view(np.int64)
+
+
+def _bucket_resolver(length: int, q: int):
+    def resolve(table: pa.Table) -> pa.Table:
+        own, offset, head, rest = _strings(table["span"].to_pylist(), length, q)
+        order = np.lexsort((rest, head))
+        same = (head[order][1:] == head[order][:-1]) & (rest[order][1:] == rest[order][:-1])
+        twice = np.zeros(len(own), dtype=bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        open_ = table["open"].combine_chunks().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(twice & open_[own])  # in order of run and offset
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) > 1) | (np.diff(own[at]) > 0)
+        first, last = at[new], at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])] if len(at) else at
+        who = own[first]
+        start = table["lo"].combine_chunks().to_numpy(zero_copy_only=False)[who]
+        return pa.table({"key": table["key"].combine_chunks().take(pa.array(who)),
+                         "mark": table["mark"].combine_chunks().take(pa.array(who)),
+                         "lo": pa.array(start + offset[first], pa.int32()),
+                         "hi": pa.array(start + offset[last], pa.int32())})
+
+    return resolve
+
+
+def _position_finder(length: int, q: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                own, offset, head, rest = _strings(rows.column("span").to_pylist(), length, q)
+                who = pa.array(own)
+                lo = rows.column("lo").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("key").take(who), rows.column("mark").take(who), pa.array(lo[own] + offset, pa.int32()),
+                     rows.column("bucket").take(who), pa.array(head), pa.array(rest), rows.column("open").take(who)],
                     names=["key", "mark", "at", "bucket", "head", "rest", "open"])
 
     return find
@@ -170,7 +215,7 @@ def _same(a, b):
 
 
 def repeated_starts(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                    q: int = 50, slice_bytes: int = 1 << 20) -> DataFrame:
+                    q: int = 40, slice_bytes: int = 1 << 20, group_runs: int = 20_000) -> DataFrame:
     """``key, mark, lo, hi``: ranges of byte positions where a string of ``length`` bytes
     starts that starts elsewhere too. ``mark`` is the hash of the text.
 
@@ -181,31 +226,38 @@ def repeated_starts(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     runs = written(texts.where(F.octet_length("text") >= length)
                    .mapInArrow(_run_finder(length, q, slice_bytes), RUNS), "runs")
     first = runs.where("n > 0")
-    classes = written(first.groupBy("bucket", "run").agg(
+    repeated = first.groupBy("bucket").agg(F.sum("n").alias("t")).where("t > 1").select("bucket")
+    live = written(first.join(repeated, "bucket", "left_semi"), "live")
+    classes = written(live.groupBy("bucket", "run").agg(
         F.sum("n").alias("n"), F.min(F.struct("key", "mark", "lo", "hi")).alias("place")), "classes")
-    # buckets with more than one run, one of which at least is alone
-    mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where(
-        "runs > 1 AND least = 1").select("bucket")
     again = runs.where("n <> 1").select("key", "mark", "lo", "hi")  # repeated within a task
-    alone = first.where("n = 1").select("bucket", "run", "key", "mark", "lo", "hi")
     known = classes.where("n > 1").select("bucket", "run")
-    decided = again.unionByName(alone.join(known, ["bucket", "run"], "left_semi").select("key", "mark", "lo", "hi"))
-
-    asked = (classes.join(mixed, "bucket", "left_semi")
-             .select("bucket", "place.*", (F.col("n") == 1).alias("open"))
-             .groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "bucket", "open")).alias("runs")))
-    spread = texts.join(asked, _same(texts, asked)).select(
-        texts["key"], texts["mark"], F.col("text").cast("binary").alias("text"), F.col("runs.lo").alias("lo"),
-        F.col("runs.hi").alias("hi"), F.col("runs.bucket").alias("bucket"), F.col("runs.open").alias("open"))
+    decided = again.unionByName(live.where("n = 1").join(known, ["bucket", "run"], "left_semi")
+                                .select("key", "mark", "lo", "hi"))
+
+    # buckets with more than one run, one of which at least is alone
+    mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where(
+        "runs > 1 AND least = 1").select("bucket", "runs")
+    asked = (classes.join(mixed, "bucket")
+             .select("bucket", "runs", "place.*", (F.col("n") == 1).alias("open"))
+             .groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "bucket", "runs", "open")).alias("r")))
     # equal rows of documents meet the same request, but have no run that is alone
-    places = written(spread.mapInArrow(
+    spans = written(texts.join(asked, _same(texts, asked)).select(
+        texts["key"], texts["mark"], F.col("text").cast("binary").alias("text"),
+        *[F.col(f"r.{c}").alias(c) for c in ("lo", "hi", "bucket", "runs", "open")]).mapInArrow(
+        _span_sender(length),
+        "key long, mark long, lo int, bucket long, runs long, open boolean, span binary"), "spans")
+    late = (spans.where(F.col("runs") <= group_runs).groupBy("bucket")
+            .applyInArrow(_bucket_resolver(length, q), "key long, mark long, lo int, hi int"))
+    # a bucket of very many runs is counted string by string, with map-side combine
+    places = spans.where(F.col("runs") > group_runs).mapInArrow(
         _position_finder(length, q),
-        "key long, mark long, at int, bucket long, head long, rest long, open boolean"), "positions")
+        "key long, mark long, at int, bucket long, head long, rest long, open boolean")
     string = ["bucket", "head", "rest"]
     twice = places.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*string)
-    late = places.where("open").join(twice, string, "left_semi").select(
+    hot = places.where("open").join(twice, string, "left_semi").select(
         "key", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return decided.unionByName(late)
+    return decided.unionByName(late).unionByName(hot)
 
 
 def _cutter(length: int, with_text: bool):
@@ -270,7 +322,8 @@ def _characters(text: bytes, edges: list[int]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                   q: int = 50, with_text: bool = True, slice_bytes: int = 1 << 20) -> DataFrame:
+                   q: int = 40, with_text: bool = True, slice_bytes: int = 1 << 20,
+                   group_runs: int = 20_000) -> DataFrame:
     """Every row of ``docs`` without its text, with ``n_bytes, n_removed, n_spans`` (maximal
     removed runs), ``kept_sha256`` (of the remaining bytes) and, if asked for,
     ``kept_text``: the remaining text, where a character that a removed run only touches
@@ -282,7 +335,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     as that many documents, so two equal rows of ``length`` bytes or more lose all.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-    found = repeated_starts(docs, key_col, text_col, length, q, slice_bytes)
+    found = repeated_starts(docs, key_col, text_col, length, q, slice_bytes, group_runs)
     ranges = found.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     ranges = ranges.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "r")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -42,9 +42,9 @@ def test_edge_rows_overlaps_and_long_texts(spark, make_docs, edge_texts):
     ids = list(range(len(texts)))
     ids[4] = None
     ids[8] = ids[9]  # two equal rows
-    for length, q, slice_bytes in ((24, 6, 1 << 20), (24, 8, 64), (9, 2, 50), (200, 50, 400)):
+    for length, q, slice_bytes, group in ((24, 6, 1 << 20, 9), (24, 8, 64, 2), (9, 2, 50, 20_000)):
         got = suffix_dedup.remove_repeats(make_docs(texts, ids, parts=3).withColumn("row", F.col("text")), length=length,
-                                          q=q, slice_bytes=slice_bytes).collect()
+                                          q=q, slice_bytes=slice_bytes, group_runs=group).collect()
         want = {(i, t): w for i, t, w in zip(ids, texts, brute(texts, length))}
         assert len(got) == len(texts)
         for r in got:
