@@ -2,9 +2,8 @@
 
 A sparse matrix is a table ``(row, col, value)``; a dense factor is a table
 ``(key, vec array<double>)``. Products are joins + keyed aggregates (one sum
-per factor component, partial aggregation map-side). Small ``l x l`` Gram
-matrices are summed from per-partition numpy partials, and only they reach
-the driver (for Cholesky / eigen-decompositions of size ``l``).
+per factor component, partial aggregation map-side). Small Gram matrices are
+summed from per-partition numpy partials, and only they reach the driver.
 """
 
 from __future__ import annotations
@@ -27,66 +26,55 @@ def rademacher(key: Column, j: int, seed: int) -> Column:
     return F.when(F.pmod(h, F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def pack(df: DataFrame, key: str, prefix: str, n: int) -> DataFrame:
-    return df.select(key, F.array(*[F.col(f"{prefix}{j}") for j in range(n)]).alias(VEC))
+def random_block(keys: DataFrame, key: str, width: int, seed: int) -> DataFrame:
+    return keys.select(F.col(key).alias("key"),
+                       F.array(*[rademacher(F.col(key), j, seed) for j in range(width)]).alias(VEC))
 
 
-def sketch(entries: DataFrame, row: str, col: str, l: int, seed: int) -> DataFrame:
-    """``A @ Omega`` with a +-1 test matrix generated from the column key."""
-    aggs = [F.sum(F.col("value") * rademacher(F.col(col), j, seed)).alias(f"_y{j}") for j in range(l)]
-    return pack(entries.groupBy(row).agg(*aggs), row, "_y", l).withColumnRenamed(row, "key")
-
-
-def multiply(entries: DataFrame, factor: DataFrame, row: str, col: str, l: int) -> DataFrame:
+def multiply(entries: DataFrame, factor: DataFrame, row: str, col: str, width: int) -> DataFrame:
     """``A @ M``: ``entries`` (row, col, value) times ``factor`` (key=col, vec)."""
     j = entries.join(factor.withColumnRenamed("key", col), col)
-    aggs = [F.sum(F.col("value") * F.col(VEC)[i]).alias(f"_m{i}") for i in range(l)]
-    return pack(j.groupBy(row).agg(*aggs), row, "_m", l).withColumnRenamed(row, "key")
+    aggs = [F.sum(F.col("value") * F.col(VEC)[i]).alias(f"_m{i}") for i in range(width)]
+    return j.groupBy(row).agg(*aggs).select(
+        F.col(row).alias("key"), F.array(*[F.col(f"_m{i}") for i in range(width)]).alias(VEC))
 
 
-def gram(factor: DataFrame, l: int) -> np.ndarray:
-    """``M^T M`` (l x l): numpy partials per partition, summed by entry."""
+def cross_gram(rows: DataFrame, left: str, right: str, shape: tuple[int, int]) -> np.ndarray:
+    """``L^T R`` of two vector columns: numpy partials per partition, summed by entry."""
     schema = T.StructType([T.StructField("ij", T.IntegerType()), T.StructField("g", T.DoubleType())])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((l, l))
+        acc = np.zeros(shape)
         for pdf in batches:
             if len(pdf):
-                m = np.stack(pdf[VEC].to_numpy()).astype(np.float64)
-                acc += m.T @ m
-        yield pd.DataFrame({"ij": np.arange(l * l, dtype=np.int32), "g": acc.ravel()})
-
-    rows = (factor.select(VEC).mapInPandas(partial, schema)
-            .groupBy("ij").agg(F.sum("g").alias("g")).collect())
-    g = np.zeros(l * l)
-    for r in rows:
+                acc += np.stack(pdf.iloc[:, 0].to_numpy()).T @ np.stack(pdf.iloc[:, 1].to_numpy())
+        yield pd.DataFrame({"ij": np.arange(acc.size, dtype=np.int32), "g": acc.ravel()})
+
+    found = (rows.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInPandas(partial, schema)
+             .groupBy("ij").agg(F.sum("g").alias("g")).collect())
+    g = np.zeros(shape[0] * shape[1])
+    for r in found:
         g[r["ij"]] = r["g"]
-    return g.reshape(l, l)
+    return g.reshape(shape)
 
 
-def transform(factor: DataFrame, mat: np.ndarray) -> DataFrame:
-    """``M @ mat`` row by row (an Arrow-batched numpy product)."""
-    mat = np.asarray(mat, dtype=np.float64)
-    spark = factor.sparkSession
-    bm = spark.sparkContext.broadcast(mat)
+def gram(factor: DataFrame, width: int) -> np.ndarray:
+    return cross_gram(factor, VEC, VEC, (width, width))
+
+
+def combine(columns: list[Column], matrices: list[np.ndarray]) -> Column:
+    """``sum of column @ matrix`` row by row (an Arrow-batched numpy product)."""
+    mats = [np.asarray(m, dtype=np.float64) for m in matrices]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
+    def apply(*vs: pd.Series) -> pd.Series:
+        if len(vs[0]) == 0:
             return pd.Series([], dtype=object)
-        m = np.stack(v.to_numpy()).astype(np.float64) @ bm.value
-        return pd.Series(list(m))
-
-    return factor.select("key", apply(F.col(VEC)).alias(VEC))
-
-
-def orthonormalize(factor: DataFrame, l: int, passes: int = 2) -> DataFrame:
-    """CholeskyQR2: ``Q = M R^-1`` with ``R`` from the Cholesky factor of
-    ``M^T M``; repeated once for numerical orthogonality."""
-    q = factor
-    for _ in range(passes):
-        g = gram(q, l)
-        g = (g + g.T) / 2 + np.eye(l) * 1e-12 * max(1.0, np.trace(g))
-        r = np.linalg.cholesky(g).T
-        q = transform(q, np.linalg.inv(r))
-    return q
+        return pd.Series(list(sum(np.stack(v.to_numpy()) @ m for v, m in zip(vs, mats))))
+
+    return apply(*columns)
+
+
+def transform(factor: DataFrame, mat: np.ndarray) -> DataFrame:
+    """``M @ mat`` row by row."""
+    return factor.select("key", combine([F.col(VEC)], [mat]).alias(VEC))

@@ -98,3 +98,18 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         share = F.max(h - lo)
         aggs.append((low * (1 - share) + high * share).alias(name))
     return joined.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+
+
+def first_free(taken: DataFrame, groups: DataFrame, group: str, n: int, total: int) -> DataFrame:
+    """Per row of ``groups`` the first ``n`` places of 0 .. total - 1 that the group has not
+    taken, as ``group, _pos``; ``taken`` holds ``group, _pos``. Only the gaps between a
+    group's taken places are looked at, so n rows come out, however many are taken."""
+    ends = groups.select(group).distinct().withColumn(POS, F.lit(total).cast("bigint"))
+    rows = taken.select(group, F.col(POS).cast("bigint").alias(POS)).distinct().join(
+        groups.select(group).distinct(), group, "left_semi").unionByName(ends)
+    w = Window.partitionBy(group).orderBy(POS)
+    gaps = rows.select(group, POS, (F.lag(POS, 1, -1).over(w) + 1).alias("_start"),
+                       (F.row_number().over(w) - 1).alias("_taken"))
+    gaps = gaps.withColumn("_some", F.least(F.col(POS) - F.col("_start"), F.lit(n) - (F.col("_start") - F.col("_taken"))))
+    return gaps.where("_some > 0").select(
+        group, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_some") - 1)).alias(POS))

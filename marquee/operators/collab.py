@@ -1,31 +1,28 @@
 """Collaborative filtering: centred rating matrix, truncated SVD, fold-in,
 predictions, top-n for users, and the hybrid blend with explanations.
 
-Truncated SVD is randomized subspace iteration (Halko, Martinsson & Tropp
-2011): every pass is a join + keyed aggregate over the rating entries, so its
-cost is linear in the number of ratings and a user with a third of all
-ratings is just a large partial aggregate; only ``l x l`` matrices
-(``l = k + oversample``) reach the driver. Factor tables are checkpointed into
-the cluster's ``spark.checkpoint.dir`` after each pass, so lost executors
-recompute at most one pass.
-
-Scoring "every item for each request" (top-n for users, fold-in) runs as an
-Arrow-batched numpy product inside each task against the request vectors
-(size-bounded per pass), never as a join that pairs rows.
+Truncated SVD is a block Krylov (Lanczos) iteration with full
+reorthogonalization, stopped by the residual of the k leading vectors: every pass
+is a join + keyed aggregate over the rating entries, so its cost is linear in the
+number of ratings and a user with a third of all ratings is just a large partial
+aggregate; only matrices of the size of the basis reach the driver. The tables of a
+step are written to the shared folder, so lost executors recompute at most one pass.
+
+Scoring every item for each request (top-n for users, fold-in) is a product of
+blocks of requests with blocks of items: one group per pair of blocks, numpy inside
+the task, seen items masked and the best n kept there. Nothing is collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marquee.functions import linalg as LA
-from marquee.session import checkpoint_dir
+from marquee.functions.positions import POS, first_free, positions
+from marquee.session import written
 
 K_FACTORS = 50
 
@@ -57,41 +54,65 @@ def matrix_status(entries: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ R2
-def truncated_svd(entries: DataFrame, k: int = K_FACTORS, oversample: int = 10,
-                  n_iter: int = 3, seed: int = 42) -> dict:
+def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, extra: int = 10,
+                  max_steps: int = 500, seed: int = 42) -> dict:
     """R2: rank-k SVD ``A ~ U diag(s) V^T`` of the (user, item, value) matrix.
 
     Returns ``sigma`` (numpy, descending), ``users`` (key, vec = U row) and
     ``items`` (key, vec = V row) factor tables. ``k`` is capped at
-    ``min(shape) - 1``; with ``k + oversample >= min(shape)`` the result is
-    exact up to rounding.
+    ``min(shape) - 1``. Blocks of ``k + extra`` vectors are added to the basis until
+    ``|A^T A v - s^2 v| <= tol * s_1^2`` for all k vectors, or the basis is closed under
+    ``A^T A`` (then the result is exact up to rounding). Not converging raises.
     """
-    spark = entries.sparkSession
-    checkpoint_dir(spark)
     shape = entries.agg(F.count_distinct("user_id").alias("u"),
                         F.count_distinct("item_id").alias("i")).first()
     if not shape["u"] or not shape["i"]:
         raise ValueError("empty rating matrix")
     k = max(1, min(k, min(shape["u"], shape["i"]) - 1))
-    l = min(k + oversample, min(shape["u"], shape["i"]))
-    a = entries.select("user_id", "item_id", "value").checkpoint(eager=True)
-    y = LA.sketch(a, "user_id", "item_id", l, seed).checkpoint(eager=True)
-    q = LA.orthonormalize(y, l, passes=1 if n_iter else 2).checkpoint(eager=True)
-    for it in range(n_iter):
-        last = it == n_iter - 1
-        z = LA.multiply(a, q, "item_id", "user_id", l)                           # A^T Q
-        z = LA.orthonormalize(z.checkpoint(eager=True), l, passes=1).checkpoint(eager=True)
-        y = LA.multiply(a, z, "user_id", "item_id", l).checkpoint(eager=True)   # A Z
-        q = LA.orthonormalize(y, l, passes=2 if last else 1).checkpoint(eager=True)
-    bt = LA.multiply(a, q, "item_id", "user_id", l).checkpoint(eager=True)      # B^T = A^T Q
-    g = LA.gram(bt, l)                                                           # B B^T
-    lam, w = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(-lam)[:k]
-    lam, w = np.clip(lam[order], 0.0, None), w[:, order]
-    sigma = np.sqrt(lam)
-    inv = np.where(sigma > 1e-12, 1.0 / np.maximum(sigma, 1e-300), 0.0)
-    items = LA.transform(bt, w * inv[None, :]).checkpoint(eager=True)            # V = B^T W / s
-    users = LA.transform(q, w).checkpoint(eager=True)                            # U = Q W
+    width = min(k + extra, shape["i"])
+    a = written(entries.select("user_id", "item_id", "value"), "entries")
+    start = written(LA.random_block(a.select("item_id").distinct(), "item_id", width, seed), "start")
+    lam, u = np.linalg.eigh(LA.gram(start, width))
+    good = lam > 1e-12 * lam[-1]
+    last = basis = written(LA.transform(start, u[:, good] / np.sqrt(lam[good])), "basis")
+    width = m = int(good.sum())
+    t = np.zeros((0, 0))
+    for _ in range(max_steps):
+        y = written(LA.multiply(a, last, "user_id", "item_id", width), "left")
+        w = written(LA.multiply(a, y, "item_id", "user_id", width), "right")
+        both = basis.join(w.withColumnRenamed(LA.VEC, "w"), "key")
+        h = LA.cross_gram(both, LA.VEC, "w", (m, width))
+        grown = np.zeros((m, m))
+        grown[:m - width, :m - width] = t
+        grown[:, m - width:] = h
+        grown[m - width:, :] = h.T
+        t = grown
+        rest = written(both.select("key", LA.VEC, LA.combine(
+            [F.col("w"), F.col(LA.VEC)], [np.eye(width), -h]).alias("w")), "rest")
+        h2 = LA.cross_gram(rest, LA.VEC, "w", (m, width))
+        g = LA.cross_gram(rest, "w", "w", (width, width)) - h2.T @ h2
+        theta, s = np.linalg.eigh((t + t.T) / 2)
+        theta, s = theta[::-1], s[:, ::-1]
+        lam, u = np.linalg.eigh((g + g.T) / 2)
+        good = lam > (1e-13 * max(theta[0], 1e-300)) ** 2
+        coupling = np.sqrt(lam[good])[:, None] * u[:, good].T
+        residual = np.linalg.norm(coupling @ s[m - width:, :k], axis=0) if good.any() else np.zeros(1)
+        if m >= k and residual.max(initial=0.0) <= tol * max(theta[0], 1e-300):
+            break
+        turn = u[:, good] / np.sqrt(lam[good])
+        grown = written(rest.select("key", LA.VEC, LA.combine(
+            [F.col("w"), F.col(LA.VEC)], [turn, -h2 @ turn]).alias("q")), "grown")
+        last = grown.select("key", F.col("q").alias(LA.VEC))
+        basis = grown.select("key", F.concat(LA.VEC, "q").alias(LA.VEC))
+        width = int(good.sum())
+        m += width
+    else:
+        raise RuntimeError("the singular vectors did not converge")
+    k = min(k, m)
+    sigma = np.sqrt(np.clip(theta[:k], 0.0, None))
+    inv = np.where(sigma > 1e-12 * max(sigma[0], 1e-300), 1.0 / np.maximum(sigma, 1e-300), 0.0)
+    items = written(LA.transform(basis, s[:, :k]), "items")
+    users = written(LA.transform(LA.multiply(a, items, "user_id", "item_id", k), np.diag(inv)), "users")
     return {"sigma": sigma, "users": users, "items": items, "k": k}
 
 
@@ -125,50 +146,63 @@ def predict_rating(user_factors: DataFrame, item_factors: DataFrame, requests: D
                     (pred * 2).alias("predicted_10"), reason.alias("reason"))
 
 
-# --------------------------------------------------- dense scoring kernel
-def score_requests(item_factors: DataFrame, req_vectors: DataFrame, vec_col: str,
-                   offset_col: str | None = None, scale: float = 1.0,
-                   max_requests_per_pass: int = 4096) -> DataFrame:
-    """(request_id, item_id, score = scale * q_r . v_i + offset_r) for every
-    item and request. Request vectors are shipped to the tasks in bounded
-    passes; items stream through in Arrow batches."""
-    spark = item_factors.sparkSession
-    cols = ["request_id", vec_col] + ([offset_col] if offset_col else [])
-    n = req_vectors.count()
-    schema = T.StructType([T.StructField("request_id", T.LongType()),
-                           T.StructField("item_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-    passes = max(1, -(-n // max_requests_per_pass))
-    outs = []
-    for p in range(passes):
-        part = req_vectors.where(F.pmod(F.xxhash64("request_id"), F.lit(passes)) == p) if passes > 1 \
-            else req_vectors
-        rows = part.select(*cols).collect()
-        if not rows:
-            continue
-        rid = np.array([r[0] for r in rows], dtype=np.int64)
-        qm = np.array([r[1] for r in rows], dtype=np.float64) * scale
-        off = np.array([r[2] for r in rows], dtype=np.float64) if offset_col else np.zeros(len(rows))
-        b = spark.sparkContext.broadcast((rid, qm, off))
-
-        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rid_, q, o = b.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                ids = pdf["item_id"].to_numpy(dtype=np.int64)
-                v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                s = q @ v.T + o[:, None]
-                yield pd.DataFrame({"request_id": np.repeat(rid_, len(ids)),
-                                    "item_id": np.tile(ids, len(rid_)), "score": s.ravel()})
-
-        outs.append(item_factors.select("item_id", "v").mapInPandas(kernel, schema))
-    if not outs:
-        return spark.createDataFrame([], schema)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+# --------------------------------------------------- dense scoring in blocks
+_SCORES = "request_id long, item_id long, score double"
+
+
+def _rows(column) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _cell(n: int | None, lo: float, hi: float):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            ids = right["item_id"].combine_chunks().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], _rows(right["v"])[order]
+            s = np.clip(_rows(left["q"]) @ v.T + left["off"].combine_chunks().to_numpy()[:, None], lo, hi)
+            for request, row, seen in zip(left["request_id"].to_pylist(), s, left["seen"].to_pylist()):
+                free = np.ones(len(ids), dtype=bool)
+                if seen:
+                    free[np.flatnonzero(np.isin(ids, np.array(seen, dtype=np.int64)))] = False
+                at = np.flatnonzero(free)
+                if n is not None:  # best first, equal to nine places by id
+                    at = at[np.lexsort((ids[at], -np.round(row[at], 9)))[:n]]
+                out[0].append(np.full(len(at), request, dtype=np.int64))
+                out[1].append(ids[at])
+                out[2].append(row[at])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        return pa.table({"request_id": pa.array(join(out[0], "i8"), pa.int64()),
+                         "item_id": pa.array(join(out[1], "i8"), pa.int64()),
+                         "score": pa.array(join(out[2], "f8"), pa.float64())})
+
+    return score
+
+
+def score_requests(item_factors: DataFrame, req_vectors: DataFrame, vec_col: str, offset_col: str,
+                   n: int | None = None, seen: DataFrame | None = None, lo: float = -np.inf, hi: float = np.inf,
+                   block_items: int = 4096, block_requests: int | None = None) -> DataFrame:
+    """(request_id, item_id, score = q_r . v_i + offset_r, clipped) of the items a request
+    has not ``seen`` (request_id, item_id): all of them, or per request and block of items
+    the best ``n``. One group per pair of blocks; a seen list holds one block's items."""
+    block_requests = block_requests or (64 if n is None else 1024)
+    items_in = max(1, -(-item_factors.count() // block_items))
+    requests_in = max(1, -(-req_vectors.count() // block_requests))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = req_vectors.select("request_id", F.col(vec_col).alias("q"), F.col(offset_col).cast("double").alias("off"),
+                              block("request_id", requests_in).alias("rb"), every(items_in).alias("ib"))
+    if seen is None:
+        left = left.withColumn("seen", F.array().cast("array<bigint>"))
+    else:
+        lists = (seen.select("request_id", "item_id", block("item_id", items_in).alias("ib"))
+                 .groupBy("request_id", "ib").agg(F.collect_set(F.col("item_id").cast("bigint")).alias("seen")))
+        left = left.join(lists, ["request_id", "ib"], "left")
+    right = item_factors.select("item_id", "v", block("item_id", items_in).alias("ib"), every(requests_in).alias("rb"))
+    return (left.select("request_id", "q", "off", "seen", "rb", "ib").groupBy("rb", "ib")
+            .cogroup(right.groupBy("rb", "ib")).applyInArrow(_cell(n, lo, hi), _SCORES))
 
 
 # ------------------------------------------------------------------ R4
@@ -178,10 +212,8 @@ def recommend_users(user_factors: DataFrame, item_factors: DataFrame, users: Dat
     (clipped like the dense predicted matrix; ties by item id)."""
     req = users.select("user_id").distinct().join(user_factors, "user_id").select(
         F.col("user_id").alias("request_id"), "us", "mu")
-    s = score_requests(item_factors, req, "us", "mu")
-    s = s.withColumn("score", F.least(F.greatest("score", F.lit(lo)), F.lit(hi)))
-    s = s.join(seen.select(F.col("user_id").alias("request_id"), "item_id"),
-               ["request_id", "item_id"], "left_anti")
+    s = score_requests(item_factors, req, "us", "mu", n, seen.select(F.col("user_id").alias("request_id"), "item_id"),
+                       lo, hi)
     w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
     return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .withColumnRenamed("request_id", "user_id"))
@@ -253,23 +285,14 @@ def hybrid_recommend(content: DataFrame, cf: DataFrame, liked: DataFrame, catalo
     both = c.join(f, ["request_id", "item_id"], "full").join(z, "request_id")
     score = ((1 - alpha) * F.coalesce("cn", "zc") + alpha * F.coalesce("fn", "zf"))
     scored = both.select("request_id", "item_id", score.alias("score"))
-    # items covered by neither engine: one constant per request
-    const = z.select("request_id", ((1 - alpha) * F.col("zc") + alpha * F.col("zf")).alias("score"))
-    covered_any = c.select("item_id").unionByName(f.select("item_id")).distinct()
-    idle = catalog_ids.select(F.col("id").alias("item_id")).join(covered_any, "item_id", "left_anti")
-    from marquee.functions.positions import POS, positions
-    idle_pos = positions(idle, [], ["item_id"])
-    # per request, the first (n + its liked + its covered) idle ids suffice
-    need = (liked.groupBy("request_id").agg(F.count(F.lit(1)).alias("_l"))
-            .join(c.groupBy("request_id").agg(F.count(F.lit(1)).alias("_c")), "request_id", "left")
-            .join(f.groupBy("request_id").agg(F.count(F.lit(1)).alias("_f")), "request_id", "left")
-            .fillna(0).select("request_id", (F.lit(n) + F.col("_l") + F.col("_c") + F.col("_f")).alias("_m")))
-    pos_req = need.join(const.where(F.col("score") > 0), "request_id").select(
-        "request_id", "score", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias(POS))
-    idle_rows = pos_req.join(idle_pos, POS).select("request_id", "item_id", "score")
-    idle_rows = idle_rows.join(scored.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
-    allc = scored.unionByName(idle_rows)
-    allc = allc.join(catalog_ids.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    # items that neither engine covers for this request share one score: its first n such ids compete
+    const = z.select("request_id", ((1 - alpha) * F.col("zc") + alpha * F.col("zf")).alias("score")).where("score > 0")
+    ids = catalog_ids.select(F.col("id").alias("item_id")).distinct()
+    placed = positions(ids, [], ["item_id"])
+    own = scored.select("request_id", "item_id").unionByName(liked.select("request_id", "item_id"))
+    free = first_free(own.join(placed, "item_id"), const, "request_id", n, ids.count())
+    idle = free.join(placed, POS).join(const, "request_id").select("request_id", "item_id", "score")
+    allc = scored.unionByName(idle).join(ids, "item_id", "left_semi")
     allc = allc.join(liked.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
     allc = allc.where(F.col("score") > 0)
     w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
@@ -303,7 +326,7 @@ def hybrid_status(coverage: DataFrame, content: DataFrame, cf: DataFrame, recs:
     """Per request the outcome and hint of the hybrid call."""
     used = coverage.groupBy("request_id").agg(F.count_if(F.col("status") == "used").alias("n_used"),
                                               F.count_if(F.col("status") == "ignored").alias("n_ignored"))
-    ch = content.groupBy("request_id").agg((F.max("raw") > 0).alias("content_has"))
+    ch = content.groupBy("request_id").agg((F.max("norm") > 0).alias("content_has"))
     fh = cf.groupBy("request_id").agg((F.max("norm") > 0).alias("cf_has"))
     nr = recs.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_recs"))
     j = (used.join(ch, "request_id", "left").join(fh, "request_id", "left").join(nr, "request_id", "left")
@@ -372,18 +395,14 @@ def precision_at_k(recs: DataFrame, test_servable: DataFrame, k: int = 10, liked
 
 def popularity_recs(train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """Baseline recommender: the k most rated train items a user has not
-    rated. Each user only looks at the first k + (own ratings) items of the
-    popularity order (an equi-join on rank), so no user x item pairs arise."""
-    from marquee.functions.positions import POS, positions
+    rated, found as the first free places of the popularity order between the places
+    of the user's own items, so no user x item pairs arise."""
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = positions(pop, [], [F.desc("cnt"), F.asc("item_id")]).select("item_id", POS)
-    seen = train.select("user_id", "item_id").distinct()
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("s"))
-    u = users.select("user_id").distinct().join(n_seen, "user_id", "left").fillna(0, ["s"])
-    want = u.select("user_id", F.explode(F.sequence(F.lit(0), F.col("s") + k - 1)).alias(POS))
-    cand = want.join(ranked, POS).join(seen, ["user_id", "item_id"], "left_anti")
+    own = train.select("user_id", "item_id").distinct().join(ranked, "item_id")
+    free = first_free(own, users, "user_id", k, ranked.count()).join(ranked, POS)
     w = Window.partitionBy("user_id").orderBy(POS)
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop(POS)
+    return free.withColumn("rank", F.row_number().over(w)).select("user_id", "item_id", "rank")
 
 
 def random_precision(train: DataFrame, test_servable: DataFrame, liked: float = 4.0,

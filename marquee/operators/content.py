@@ -162,84 +162,33 @@ def content_scores(weights: DataFrame, seeds: DataFrame, catalog_ids: DataFrame)
 
 
 # ---------------------------------------------------------------- T7
-def _normalise(mat: np.ndarray) -> np.ndarray:
-    nrm = np.linalg.norm(mat, axis=1, keepdims=True)
-    nrm[nrm == 0] = 1.0
-    return mat / nrm
+def _unit(vec: str):
+    """The vector over its length (a zero vector stays)."""
+    v = F.transform(F.col(vec), lambda x: x.cast("double"))
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(F.lit(1.0)))
 
 
 def embedding_knn(vectors: DataFrame, requests: DataFrame, k: int = 5,
-                  id_col: str = "vec_id", vec_col: str = "embedding",
-                  max_requests_per_pass: int = 4096) -> DataFrame:
-    """Exact cosine top-k neighbours (self excluded) for each request id.
-
-    The request vectors (bounded per pass by ``max_requests_per_pass``) are
-    shipped to every task; each task multiplies its block of candidate
-    vectors with them in numpy and keeps only its local top-k per request,
-    so no pair table is ever materialised. A final per-request top-k over
-    (#partitions x k) rows finishes the job. Larger request sets run in
-    several passes over request-id ranges.
+                  id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Exact cosine top-k neighbours (self excluded) of every requested item, as
+    ``request_id, item_id, neighbor_id, sim, rank``.
+
+    Each distinct item is searched once, in blocks of requested items against blocks
+    of candidates (``score_requests``): a task keeps the best k of its block, so
+    neither a pair table nor a set of request vectors is ever gathered.
     """
-    spark = vectors.sparkSession
-    req = requests.select(F.col("request_id").cast("long"), F.col("item_id").cast("long"))
-    rv = req.join(vectors.select(F.col(id_col).alias("item_id"), F.col(vec_col).alias("v")), "item_id")
-    n_req = rv.count()
-    schema = T.StructType([T.StructField("request_id", T.LongType()),
-                           T.StructField("neighbor_id", T.LongType()),
-                           T.StructField("sim", T.DoubleType())])
-    results = []
-    bounds = [(None, None)]
-    if n_req > max_requests_per_pass:
-        n_pass = -(-n_req // max_requests_per_pass)
-        qs = rv.approxQuantile("request_id", [i / n_pass for i in range(1, n_pass)], 0.0)
-        edges = [None] + qs + [None]
-        bounds = list(zip(edges[:-1], edges[1:]))
-    for lo, hi in bounds:
-        part = rv
-        if lo is not None:
-            part = part.where(F.col("request_id") > lo)
-        if hi is not None:
-            part = part.where(F.col("request_id") <= hi)
-        rows = part.select("request_id", "item_id", "v").collect()
-        if not rows:
-            continue
-        rid = np.array([r[0] for r in rows], dtype=np.int64)
-        self_id = np.array([r[1] for r in rows], dtype=np.int64)
-        qmat = _normalise(np.array([r[2] for r in rows], dtype=np.float64))
-        bq = spark.sparkContext.broadcast((rid, self_id, qmat))
-
-        def local_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rid_, self_, q = bq.value
-            best_sim = np.full((len(rid_), 0), -np.inf)
-            best_id = np.zeros((len(rid_), 0), dtype=np.int64)
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                ids = pdf[id_col].to_numpy(dtype=np.int64)
-                c = _normalise(np.stack(pdf[vec_col].to_numpy()).astype(np.float64))
-                sims = q @ c.T
-                sims[self_[:, None] == ids[None, :]] = -np.inf
-                all_sim = np.concatenate([best_sim, sims], axis=1)
-                all_id = np.concatenate([best_id, np.broadcast_to(ids, sims.shape)], axis=1)
-                keep = min(k, all_sim.shape[1])
-                # order by sim desc then id asc; keep the k best per request
-                order = np.lexsort((all_id, -np.round(all_sim, 9)), axis=1)[:, :keep]
-                best_sim = np.take_along_axis(all_sim, order, axis=1)
-                best_id = np.take_along_axis(all_id, order, axis=1)
-            if best_sim.shape[1]:
-                ok = np.isfinite(best_sim)
-                yield pd.DataFrame({"request_id": np.repeat(rid_, best_sim.shape[1])[ok.ravel()],
-                                    "neighbor_id": best_id.ravel()[ok.ravel()],
-                                    "sim": best_sim.ravel()[ok.ravel()]})
-
-        results.append(vectors.select(id_col, vec_col).mapInPandas(local_topk, schema))
-    if not results:
-        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    w = Window.partitionBy("request_id").orderBy(F.desc(F.round("sim", 9)), F.asc("neighbor_id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from marquee.operators.collab import score_requests
+    req = requests.select(F.col("request_id").cast("long"), F.col("item_id").cast("long")).distinct()
+    unit = vectors.select(F.col(id_col).cast("long").alias("item_id"), _unit(vec_col).alias("v"))
+    asked = unit.join(req.select("item_id").distinct(), "item_id", "left_semi").select(
+        F.col("item_id").alias("request_id"), "v", F.lit(0.0).alias("off"))
+    own = asked.select("request_id", F.col("request_id").alias("item_id"))
+    out = score_requests(unit, asked, "v", "off", k, own)
+    w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
+    best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        F.col("request_id").alias("item_id"), F.col("item_id").alias("neighbor_id"), F.col("score").alias("sim"), "rank")
+    return req.join(best, "item_id").select("request_id", "item_id", "neighbor_id", "sim", "rank")
 
 
 # ---------------------------------------------------------------- T8

@@ -28,7 +28,7 @@ def _dense(rows, users, items):
 def test_svd_matches_numpy_when_sketch_covers_rank(spark):
     rows, df = _ratings(spark)
     m, means = CF.rating_matrix(df)
-    svd = CF.truncated_svd(m, k=5, oversample=10, n_iter=1)
+    svd = CF.truncated_svd(m, k=5)
     a, mu = _dense(rows, 30, 12)
     u, s, vt = np.linalg.svd(a)
     assert np.allclose(svd["sigma"], s[:5], atol=1e-8)
@@ -42,7 +42,7 @@ def test_svd_matches_numpy_when_sketch_covers_rank(spark):
 def test_predict_clip_and_reasons(spark):
     rows, df = _ratings(spark)
     m, means = CF.rating_matrix(df)
-    svd = CF.truncated_svd(m, k=4, oversample=10, n_iter=1)
+    svd = CF.truncated_svd(m, k=4)
     uf, itf = CF.factor_tables(svd, means)
     req = spark.createDataFrame([(1, 0, 0), (2, 999, 0), (3, 0, 999)], "request_id long, user_id long, item_id long")
     out = {r["request_id"]: r for r in CF.predict_rating(uf, itf, req).collect()}
@@ -54,7 +54,7 @@ def test_predict_clip_and_reasons(spark):
 def test_fold_in_is_r_v_vt_plus_mu(spark):
     rows, df = _ratings(spark)
     m, means = CF.rating_matrix(df)
-    svd = CF.truncated_svd(m, k=4, oversample=10, n_iter=1)
+    svd = CF.truncated_svd(m, k=4)
     _, itf = CF.factor_tables(svd, means)
     v = {r["item_id"]: np.array(r["v"]) for r in itf.collect()}
     mu = 3.0
@@ -68,7 +68,7 @@ def test_fold_in_is_r_v_vt_plus_mu(spark):
 def test_recommend_users_excludes_seen(spark):
     rows, df = _ratings(spark)
     m, means = CF.rating_matrix(df)
-    svd = CF.truncated_svd(m, k=4, oversample=10, n_iter=1)
+    svd = CF.truncated_svd(m, k=4)
     uf, itf = CF.factor_tables(svd, means)
     seen = df.select("user_id", F.col("catalog_id").alias("item_id")).distinct()
     recs = CF.recommend_users(uf, itf, df.select("user_id").distinct(), seen, 10)
@@ -101,3 +101,78 @@ def test_split_is_partitioning_independent(spark):
     a = CF.split_flag(df.coalesce(1), ["user_id", "catalog_id", "rating"]).where("is_test").count()
     b = CF.split_flag(df.repartition(8), ["user_id", "catalog_id", "rating"]).where("is_test").count()
     assert a == b
+
+
+def _planted(spark, spectrum, users=60, items=40, seed=5):
+    """A dense matrix with the given singular values."""
+    rng = np.random.default_rng(seed)
+    u = np.linalg.qr(rng.normal(size=(users, len(spectrum))))[0]
+    v = np.linalg.qr(rng.normal(size=(items, len(spectrum))))[0]
+    a = (u * spectrum) @ v.T
+    rows = [(i, j, float(a[i, j])) for i in range(users) for j in range(items)]
+    return a, spark.createDataFrame(rows, "user_id long, item_id long, value double")
+
+
+def test_truncated_svd_converges_below_the_rank(spark):
+    for spectrum in (np.linspace(10, 8, 30), 10 * 0.7 ** np.arange(30)):
+        a, df = _planted(spark, spectrum)
+        svd = CF.truncated_svd(df, k=8, extra=4)
+        u, s, vt = np.linalg.svd(a)
+        best = (u[:, :8] * s[:8]) @ vt[:8]
+        uu = {r["key"]: np.array(r["vec"]) for r in svd["users"].collect()}
+        vv = {r["key"]: np.array(r["vec"]) for r in svd["items"].collect()}
+        got = np.array([[uu[i] * svd["sigma"] @ vv[j] for j in range(40)] for i in range(60)])
+        assert np.linalg.norm(got - best) <= 1e-6 * np.linalg.norm(best)
+        assert np.allclose(svd["sigma"], s[:8], rtol=1e-8)
+
+
+def test_hybrid_is_complete_for_each_request(spark):
+    """Against a dense blend per request, where other requests cover other items."""
+    rng = np.random.default_rng(7)
+    cat, alpha, n = list(range(100, 160)), 0.4, 7
+    for zc, zf in ((0.1, 0.3), (0.0, 0.0)):
+        c = [(r, int(i), float(x), zc) for r in (1, 2, 3) for i, x in zip(rng.choice(cat, 20, False), rng.random(20))]
+        f = [(r, int(i), float(x), zf) for r in (1, 2) for i, x in zip(rng.choice(cat, 15, False), rng.random(15))]
+        liked = [(r, int(i)) for r in (1, 2, 3) for i in rng.choice(cat, 4, False)]
+        schema = "request_id long, item_id long, norm double, zero_norm double"
+        out = CF.hybrid_recommend(spark.createDataFrame(c, schema), spark.createDataFrame(f, schema),
+                                  spark.createDataFrame(liked, "request_id long, item_id long"),
+                                  spark.createDataFrame([(i,) for i in cat], "id long"), alpha, n).collect()
+        for r in (1, 2, 3):
+            cn = {i: x for q, i, x, _ in c if q == r}
+            fn = {i: x for q, i, x, _ in f if q == r}
+            zf_r = zf if fn else 0.0
+            dense = {i: (1 - alpha) * cn.get(i, zc) + alpha * fn.get(i, zf_r) for i in cat if (r, i) not in liked}
+            want = sorted(((-round(x, 9), i) for i, x in dense.items() if x > 0))[:n]
+            got = sorted((x["rank"], x["item_id"]) for x in out if x["request_id"] == r)
+            assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_knn_keeps_items_of_one_request_apart(spark):
+    from marquee.operators.content import embedding_knn
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(50, 6))
+    vec = spark.createDataFrame([(i, v[i].tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    req = spark.createDataFrame([(1, 3), (1, 8), (2, 3)], "request_id long, item_id long")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = embedding_knn(vec, req, 4).collect()
+    assert len(got) == 12
+    for request, item in ((1, 3), (1, 8), (2, 3)):
+        sims = unit @ unit[item]
+        want = [i for i in np.argsort(-sims) if i != item][:4]
+        assert [r["neighbor_id"] for r in sorted(got, key=lambda r: r["rank"])
+                if (r["request_id"], r["item_id"]) == (request, item)] == want
+
+
+def test_popularity_recs_equal_a_plain_ranking(spark):
+    rows, df = _ratings(spark, users=20, items=15, per=6)
+    train = df.select("user_id", F.col("catalog_id").alias("item_id"))
+    got = CF.popularity_recs(train, train.select("user_id").distinct(), 4).collect()
+    count, seen = {}, {}
+    for u, i, _ in rows:
+        count[i] = count.get(i, 0) + 1
+        seen.setdefault(u, set()).add(i)
+    order = sorted(count, key=lambda i: (-count[i], i))
+    for u in seen:
+        want = [i for i in order if i not in seen[u]][:4]
+        assert [r["item_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["user_id"] == u] == want
