@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOAT_DIGITS = 6
@@ -30,6 +30,11 @@ def r6(c, digits: int = FLOAT_DIGITS) -> Column:
     return F.when(F.abs(x) < 1e12, F.floor(x * scale + 0.501) / scale).otherwise(x)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Every double column by ``r6``: how queries state results. Operators return raw values."""
+    return df.select(*[r6(f"`{n}`").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 def try_double(c) -> Column:
     """Lenient numeric parse: junk -> null, NaN -> null, surrounding blanks ok."""
     v = F.trim(col(c).cast("string")).try_cast("double")
@@ -37,8 +42,8 @@ def try_double(c) -> Column:
 
 
 def try_long(c) -> Column:
-    """Integer parse through double (so '12.0' and '12.5' behave like pandas)."""
-    return F.floor(try_double(c)).cast("bigint")
+    """Integer parse through double, cut towards zero ('12.5' is 12, '-12.5' is -12)."""
+    return try_double(c).try_cast("bigint")
 
 
 def pearson(a, b) -> Column:

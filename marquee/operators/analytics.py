@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.common import bucket, pearson, r6
+from marquee.functions.common import bucket, col, pearson
 from marquee.functions.positions import grouped_quantiles
 
 FIN_VARS = ("budget", "revenue", "profit", "roi", "runtime")
@@ -90,7 +90,7 @@ def genre_matrix(df: DataFrame, top_n: int = 8, bucket_years: int = 10,
     share = F.when(F.col("decade_total") > 0, F.col("n_films") / F.col("decade_total")) \
         .otherwise(F.lit(0.0))
     return long.select("decade", "genre", "genre_rank", "n_films", "decade_total",
-                       r6(share).alias("share"))
+                       col(share).alias("share"))
 
 
 def genre_counts(df, top_n=8, bucket_years=10):
@@ -122,7 +122,7 @@ def crosstab_fixed(df: DataFrame, genres: Sequence[str], bucket_years: int = 10)
     return long.select(
         F.concat(F.col("decade").cast("string"), F.lit("s")).alias("decade_label"),
         "decade", "genre", "n_films",
-        r6(F.col("n_films") / F.col("decade_total")).alias("share"))
+        col(F.col("n_films") / F.col("decade_total")).alias("share"))
 
 
 # --------------------------------------------------------------- financials
@@ -146,12 +146,12 @@ def budget_revenue_fit(df: DataFrame, min_budget: float = 1000, max_points: int
     return out.select(
         "n_movies",
         F.least(F.col("n_movies"), F.lit(max_points)).alias("n_plotted"),
-        r6("median_ratio").alias("median_ratio"),
-        r6("slope").alias("slope"), r6("intercept").alias("intercept"),
-        r6(F.pow(F.lit(10.0), F.col("x_min"))).alias("line_x0"),
-        r6(F.pow(F.lit(10.0), F.col("x_max"))).alias("line_x1"),
-        r6(line(F.col("x_min"))).alias("line_y0"),
-        r6(line(F.col("x_max"))).alias("line_y1"),
+        col("median_ratio").alias("median_ratio"),
+        col("slope").alias("slope"), col("intercept").alias("intercept"),
+        col(F.pow(F.lit(10.0), F.col("x_min"))).alias("line_x0"),
+        col(F.pow(F.lit(10.0), F.col("x_max"))).alias("line_x1"),
+        col(line(F.col("x_min"))).alias("line_y0"),
+        col(line(F.col("x_max"))).alias("line_y1"),
     )
 
 
@@ -170,8 +170,8 @@ def budget_revenue_linear(df: DataFrame) -> DataFrame:
     sub = df.where(F.col("budget").isNotNull() & F.col("revenue").isNotNull()
                    & (F.col("budget") != 0) & (F.col("revenue") != 0))
     return sub.agg(F.count(F.lit(1)).alias("n_movies"),
-                   r6(F.regr_slope("revenue", "budget")).alias("slope"),
-                   r6(F.regr_intercept("revenue", "budget")).alias("intercept"))
+                   col(F.regr_slope("revenue", "budget")).alias("slope"),
+                   col(F.regr_intercept("revenue", "budget")).alias("intercept"))
 
 
 def _box(sub: DataFrame, value: str, genres_df: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _box(sub: DataFrame, value: str, genres_df: DataFrame) -> DataFrame:
         F.col("primary_genre").alias("genre"),
         F.row_number().over(w).alias("genre_order"),
         F.col("n").alias("n"),
-        r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
+        col("q1").alias("q1"), col("median").alias("median"), col("q3").alias("q3"),
         F.sum("n").over(Window.partitionBy(F.lit(1))).alias("n_movies"),
     )
 
@@ -207,7 +207,7 @@ def roi_by_genre(df: DataFrame, top_n: int = 8, roi_cap: float = 50.0,
 def roi_points(df, top_n=8, roi_cap=50.0, roi_min=1.0, min_budget=1000):
     """A12 raw values: (genre, id, roi) for every kept film."""
     sub, _ = roi_subset(df, top_n, roi_cap, roi_min, min_budget)
-    return sub.select(F.col("primary_genre").alias("genre"), "id", r6("roi").alias("roi"))
+    return sub.select(F.col("primary_genre").alias("genre"), "id", col("roi").alias("roi"))
 
 
 def roi_by_genre_fixed(df, genres: Sequence[str], roi_cap=50.0):
@@ -237,8 +237,8 @@ def rating_histogram(df: DataFrame, bin_width: float = 0.5, lo: float = 0.0,
            .join(n_rated.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"), "left"))
     return out.select(
         "bin",
-        r6(F.lit(lo) + F.col("bin") * bin_width).alias("bin_lo"),
-        r6(F.lit(lo) + (F.col("bin") + 1) * bin_width).alias("bin_hi"),
+        col(F.lit(lo) + F.col("bin") * bin_width).alias("bin_lo"),
+        col(F.lit(lo) + (F.col("bin") + 1) * bin_width).alias("bin_hi"),
         F.coalesce("n_films", F.lit(0)).cast("bigint").alias("n_films"),
         "n_rated")
 
@@ -248,8 +248,8 @@ def rating_summary(df: DataFrame) -> DataFrame:
     med = grouped_quantiles(df, [], "vote_average", [0.5], ["median"])
     mean = df.agg(F.avg("vote_average").alias("mean"))
     out = med.withColumn("_k", F.lit(1)).join(mean.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return out.select(F.col("n").alias("n_rated"), r6("median").alias("median"),
-                      r6("mean").alias("mean"))
+    return out.select(F.col("n").alias("n_rated"), col("median").alias("median"),
+                      col("mean").alias("mean"))
 
 
 def rating_trend(df: DataFrame, min_votes: int = 10, min_films: int = 20,
@@ -257,7 +257,7 @@ def rating_trend(df: DataFrame, min_votes: int = 10, min_films: int = 20,
     """Mean rating per decade over films with enough votes."""
     sub = df.where((F.col("vote_count") >= min_votes) & F.col("release_year").isNotNull())
     return (sub.groupBy(bucket("release_year", bucket_years).alias("decade"))
-            .agg(r6(F.avg("vote_average")).alias("avg_rating"),
+            .agg(col(F.avg("vote_average")).alias("avg_rating"),
                  F.count(F.lit(1)).alias("n_films"))
             .where(F.col("n_films") >= min_films))
 
@@ -279,7 +279,7 @@ def _corr_long(sub: DataFrame, cols: Sequence[str], pairwise: bool) -> DataFrame
                 both = ca.isNotNull() & cb.isNotNull()
                 ca, cb = F.when(both, ca), F.when(both, cb)
             aggs.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                                 r6(pearson(ca, cb)).alias("r"),
+                                 col(pearson(ca, cb)).alias("r"),
                                  F.count(ca).alias("n_pair")).alias(f"{a}__{b}"))
     one = sub.agg(*aggs)
     return one.select(F.explode(F.array(*[F.col(f"{a}__{b}") for a in cols for b in cols]))
@@ -316,10 +316,10 @@ def kpi_summary(df: DataFrame, min_budget: float = 1000) -> DataFrame:
            .join(k(disclosed), "_k", "left"))
     return out.select(
         "total_movies",
-        r6(F.coalesce("avg_rating", F.lit(0.0))).alias("avg_rating"),
+        col(F.coalesce("avg_rating", F.lit(0.0))).alias("avg_rating"),
         F.coalesce("top_genre", F.lit("—")).alias("top_genre"),
         F.coalesce("top_count", F.lit(0)).cast("bigint").alias("top_count"),
-        r6(F.coalesce("median_roi", F.lit(0.0))).alias("median_roi"),
+        col(F.coalesce("median_roi", F.lit(0.0))).alias("median_roi"),
         "disclosed_count")
 
 
@@ -337,8 +337,8 @@ def insight_share_growth(df, top_n=8, min_films=50, bucket_years=10):
     prev = F.lag("share").over(w)
     return m.select("genre", "decade", F.lag("decade").over(w).alias("prev_decade"),
                     prev.alias("prev_share"), "share",
-                    r6(F.col("share") - prev).alias("delta"),
-                    r6(F.try_divide(F.col("share") - prev, prev)).alias("growth")
+                    col(F.col("share") - prev).alias("delta"),
+                    col(F.try_divide(F.col("share") - prev, prev)).alias("growth")
                     ).where(F.col("prev_decade").isNotNull())
 
 

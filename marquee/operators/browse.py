@@ -43,21 +43,26 @@ def category_filter(df: DataFrame, genre: str | None) -> DataFrame:
     return df.where(F.array_contains("genres_list", genre))
 
 
+def _page_size(per_page) -> int:
+    if int(per_page) < 1:
+        raise ValueError("a page has at least one row")
+    return int(per_page)
+
+
 def browse_page(df: DataFrame, mode: str = "popular", page: int = 1, per_page: int = 24) -> DataFrame:
     """One page: sort and ``offset``/``limit`` (a bounded top-k)."""
-    page = max(1, int(page))
-    per_page = max(1, min(100, int(per_page)))
+    page, per_page = max(1, int(page)), _page_size(per_page)
     return df.orderBy(*sort_order(mode)).offset((page - 1) * per_page).limit(per_page)
 
 
 def browse_pages(df: DataFrame, mode: str = "popular", per_page: int = 24) -> DataFrame:
     """O2 for every row: position in the browse order and page number.
 
-    Positions come from a range-partitioned sort plus per-partition offsets
+    Positions come from written range partitions plus per-partition offsets
     (``marquee.functions.positions``), never a global single-task window; the
     result can be written partitioned by page.
     """
-    per_page = max(1, int(per_page))
+    per_page = _page_size(per_page)
     ranked = positions(df, [], sort_order(mode))
     return ranked.withColumn("position", F.col(POS) + 1).drop(POS).withColumn(
         "page", (F.floor((F.col("position") - 1) / per_page) + 1).cast("bigint"))
@@ -65,6 +70,7 @@ def browse_pages(df: DataFrame, mode: str = "popular", per_page: int = 24) -> Da
 
 def page_meta(df: DataFrame, per_page: int = 24) -> DataFrame:
     """O2 counters: total rows and ``max(1, ceil(total / per_page))`` pages."""
+    per_page = _page_size(per_page)
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("bigint")
         .alias("total_pages"))
@@ -132,12 +138,6 @@ def list_projection(df: DataFrame) -> DataFrame:
          else F.lit(None).cast("string")).alias("poster_url"))
 
 
-DETAIL_FIELDS = ("id", "title", "release_year", "release_decade", "primary_genre", "genres",
-                 "keywords", "overview", "vote_average", "vote_count", "director", "top_cast",
-                 "runtime", "budget", "revenue", "profit", "roi", "popularity",
-                 "original_language", "countries", "poster_url")
-
-
 def detail_projection(df: DataFrame) -> DataFrame:
     """The 21-field detail payload, null-safe (missing columns -> null,
     missing lists -> [], missing overview -> '')."""

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.common import bucket, col, r6, try_double, try_long
+from marquee.functions.common import bucket, col, try_double, try_long
 from marquee.functions.positions import grouped_quantiles
 from marquee.functions.text import split_list, title_norm, vocab_filter
 
@@ -248,7 +248,7 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
                       for i, c in enumerate(cols)])
     return one.select("_n", F.explode(cells).alias("c")).select(
         "c.column", "c.n_missing",
-        r6(F.when(F.col("_n") > 0, F.col("c.n_missing") * 100.0 / F.col("_n"))).alias("pct"))
+        col(F.when(F.col("_n") > 0, F.col("c.n_missing") * 100.0 / F.col("_n"))).alias("pct"))
 
 
 def zero_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -259,7 +259,7 @@ def zero_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                       for i, c in enumerate(cols)])
     return one.select("_n", F.explode(cells).alias("c")).select(
         "c.column", "c.n_zero",
-        r6(F.when(F.col("_n") > 0, F.col("c.n_zero") * 100.0 / F.col("_n"))).alias("pct"))
+        col(F.when(F.col("_n") > 0, F.col("c.n_zero") * 100.0 / F.col("_n"))).alias("pct"))
 
 
 def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -273,7 +273,7 @@ def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"))
     q = grouped_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     out = basic.join(q.drop("n"), "column")
-    return out.select("column", "count", *[r6(c).alias(c) for c in
+    return out.select("column", "count", *[col(c).alias(c) for c in
                                            ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
@@ -310,5 +310,3 @@ def presence_counts(df: DataFrame) -> DataFrame:
         aggs.append(F.count_if(F.col("poster_url").isNotNull()).alias("n_with_asset"))
     return df.agg(*aggs)
 
-
-__all__ = ["Column", "Window", "col"]

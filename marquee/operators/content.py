@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.functions.common import r6
+from marquee.functions.common import col
 from marquee.functions.text import director_token
 
 # Unicode word runs of two or more characters (the ``\b\w\w+\b`` token rule).
@@ -58,7 +58,7 @@ def empty_doc_rate(docs: DataFrame, warn_pct: float = 5.0) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"),
                     F.count_if(F.trim("doc") == "").alias("n_empty")).select(
         "n_docs", "n_empty",
-        r6(F.when(F.col("n_docs") > 0, F.col("n_empty") * 100.0 / F.col("n_docs"))
+        col(F.when(F.col("n_docs") > 0, F.col("n_empty") * 100.0 / F.col("n_docs"))
            .otherwise(0.0)).alias("pct_empty"),
         (F.col("n_empty") * 100.0 > F.col("n_docs") * warn_pct).alias("warn"))
 
@@ -244,7 +244,7 @@ def genre_similarity_range(items: DataFrame, genres: str = "genres") -> DataFram
     mn = F.when(F.col("n_overlap_pairs") < all_pairs, F.lit(0.0)).otherwise(F.col("min_ov"))
     mn = F.when(F.col("self_one").isNotNull(), F.least(mn, F.lit(1.0))).otherwise(mn)
     mx = F.greatest(F.coalesce("max_ov", F.lit(0.0)), F.coalesce("self_one", F.lit(0.0)))
-    return j.select(r6(mn).alias("min_sim"), r6(mx).alias("max_sim"), "n_sets")
+    return j.select(col(mn).alias("min_sim"), col(mx).alias("max_sim"), "n_sets")
 
 
 # ---------------------------------------------------------------- T9

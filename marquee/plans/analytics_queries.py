@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.common import r6
+from marquee.functions.common import r6, rounded
 from marquee.operators import analytics as A
 from marquee.plans.fixtures import view, with_views
 from marquee.plans.registry import register
@@ -50,7 +50,7 @@ def _matrix_ctes(min_films, y=Y, n=TOP):
         ("matrix", """
   SELECT d.decade, t.genre, t.genre_rank, CAST(coalesce(c.n, 0) AS BIGINT) AS n_films,
          CAST(d.total AS BIGINT) AS decade_total,
-         round(CASE WHEN d.total > 0 THEN coalesce(c.n, 0) / d.total ELSE 0 END, 6) AS share
+         CASE WHEN d.total > 0 THEN coalesce(c.n, 0) / d.total ELSE 0 END AS share
   FROM dec d CROSS JOIN top t LEFT JOIN cnt c ON c.decade = d.decade AND c.genre = t.genre"""),
     ]
 
@@ -60,44 +60,44 @@ def _matrix_ctes(min_films, y=Y, n=TOP):
 SELECT {_dec(10)} AS decade, count(*) AS n_films FROM film
 WHERE release_year IS NOT NULL GROUP BY 1"""))
 def q_production_trend(spark, d):
-    return A.production_trend(_film(spark, d), 10)
+    return rounded(A.production_trend(_film(spark, d), 10))
 
 
 @register("production_trend_yearly", with_views(["film"], final=f"""
 SELECT {_dec()} AS decade, count(*) AS n_films FROM film
 WHERE release_year IS NOT NULL GROUP BY 1"""))
 def q_production_trend_yearly(spark, d):
-    return A.production_trend(_film(spark, d), Y)
+    return rounded(A.production_trend(_film(spark, d), Y))
 
 
 @register("top_categories", with_views(["film"], _top_sql(n=4),
                                        final="SELECT genre AS primary_genre, n AS n_films, genre_rank AS rank FROM top"))
 def q_top_categories(spark, d):
-    return A.top_categories(_film(spark, d), "primary_genre", 4)
+    return rounded(A.top_categories(_film(spark, d), "primary_genre", 4))
 
 
 @register("genre_counts", with_views(["film"], *_matrix_ctes(0),
                                      final="SELECT decade, genre, genre_rank, n_films, decade_total FROM matrix"))
 def q_genre_counts(spark, d):
-    return A.genre_counts(_film(spark, d), TOP, Y)
+    return rounded(A.genre_counts(_film(spark, d), TOP, Y))
 
 
-@register("genre_evolution", with_views(["film"], *_matrix_ctes(MIN_FILMS), final="SELECT * FROM matrix"))
+@register("genre_evolution", with_views(["film"], *_matrix_ctes(MIN_FILMS), final="SELECT * REPLACE (round(share, 6) AS share) FROM matrix"))
 def q_genre_evolution(spark, d):
-    return A.genre_evolution(_film(spark, d), TOP, MIN_FILMS, Y)
+    return rounded(A.genre_evolution(_film(spark, d), TOP, MIN_FILMS, Y))
 
 
 @register("genre_evolution_decade", with_views(["film"], *_matrix_ctes(50, y=10, n=8),
-                                               final="SELECT * FROM matrix"))
+                                               final="SELECT * REPLACE (round(share, 6) AS share) FROM matrix"))
 def q_genre_evolution_decade(spark, d):
-    return A.genre_evolution(_film(spark, d), 8, 50, 10)
+    return rounded(A.genre_evolution(_film(spark, d), 8, 50, 10))
 
 
 @register("genre_heatmap", with_views(["film"], *_matrix_ctes(MIN_FILMS), final="""
-SELECT decade, genre, genre_rank, share, decade_total AS sample_size,
+SELECT decade, genre, genre_rank, round(share, 6) AS share, decade_total AS sample_size,
        decade_total < 1300 AS small_sample FROM matrix"""))
 def q_genre_heatmap(spark, d):
-    return A.genre_heatmap(_film(spark, d), TOP, Y, MIN_FILMS, small_sample=1300)
+    return rounded(A.genre_heatmap(_film(spark, d), TOP, Y, MIN_FILMS, small_sample=1300))
 
 
 _fixed_values = ", ".join(f"('{g}')" for g in FIXED_GENRES)
@@ -114,7 +114,7 @@ SELECT CAST(d.decade AS VARCHAR) || 's' AS decade_label, d.decade, g.genre,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n_films, round(coalesce(c.n, 0) / d.total, 6) AS share
 FROM dec d CROSS JOIN g LEFT JOIN cnt c ON c.decade = d.decade AND c.genre = g.genre"""))
 def q_crosstab_fixed(spark, d):
-    return A.crosstab_fixed(_film(spark, d), FIXED_GENRES, Y)
+    return rounded(A.crosstab_fixed(_film(spark, d), FIXED_GENRES, Y))
 
 
 # -------------------------------------------------------------- financials
@@ -135,7 +135,7 @@ SELECT n_movies, least(n_movies, 4000) AS n_plotted, round(median_ratio, 6) AS m
        round(pow(10, slope * x_max + intercept), 6) AS line_y1
 FROM f"""))
 def q_budget_revenue_fit(spark, d):
-    return A.budget_revenue_fit(_film(spark, d), MIN_BUDGET, 4000)
+    return rounded(A.budget_revenue_fit(_film(spark, d), MIN_BUDGET, 4000))
 
 
 @register("scatter_sample", with_views(["film"], _FIN, final="""
@@ -151,7 +151,7 @@ SELECT count(*) AS n_movies, round(regr_slope(revenue, budget), 6) AS slope,
        round(regr_intercept(revenue, budget), 6) AS intercept
 FROM film WHERE budget IS NOT NULL AND revenue IS NOT NULL AND budget <> 0 AND revenue <> 0"""))
 def q_budget_revenue_linear(spark, d):
-    return A.budget_revenue_linear(_film(spark, d))
+    return rounded(A.budget_revenue_linear(_film(spark, d)))
 
 
 def _box_sql(src_cte, value):
@@ -177,14 +177,14 @@ _roi_ctes, _box_final = _box_sql("sub", "roi")
 
 @register("roi_by_genre", with_views(["film"], _ROI_SUB, *_roi_ctes, final=_box_final))
 def q_roi_by_genre(spark, d):
-    return A.roi_by_genre(_film(spark, d), TOP, 50.0, 1.0, MIN_BUDGET)
+    return rounded(A.roi_by_genre(_film(spark, d), TOP, 50.0, 1.0, MIN_BUDGET))
 
 
 @register("roi_points", with_views(["film"], _ROI_SUB, _top_sql(src="sub", n=TOP), final="""
 SELECT primary_genre AS genre, id, round(roi, 6) AS roi FROM sub
 WHERE primary_genre IN (SELECT genre FROM top)"""))
 def q_roi_points(spark, d):
-    return A.roi_points(_film(spark, d), TOP, 50.0, 1.0, MIN_BUDGET)
+    return rounded(A.roi_points(_film(spark, d), TOP, 50.0, 1.0, MIN_BUDGET))
 
 
 @register("roi_by_genre_fixed", with_views(["film"], ("sub", f"""
@@ -194,7 +194,7 @@ def q_roi_points(spark, d):
          quantile_cont(roi, 0.5) AS med, quantile_cont(roi, 0.75) AS q3
   FROM sub GROUP BY 1"""), final=_box_final))
 def q_roi_by_genre_fixed(spark, d):
-    return A.roi_by_genre_fixed(_film(spark, d), FIXED_GENRES, 50.0)
+    return rounded(A.roi_by_genre_fixed(_film(spark, d), FIXED_GENRES, 50.0))
 
 
 # ---------------------------------------------------------------- audience
@@ -207,14 +207,14 @@ SELECT b.bin, round(0.0 + b.bin * 0.5, 6) AS bin_lo, round(0.0 + (b.bin + 1) * 0
        (SELECT count(*) FROM film WHERE vote_average IS NOT NULL) AS n_rated
 FROM bins b LEFT JOIN cnt c ON b.bin = c.bin"""))
 def q_rating_histogram(spark, d):
-    return A.rating_histogram(_film(spark, d), 0.5)
+    return rounded(A.rating_histogram(_film(spark, d), 0.5))
 
 
 @register("rating_summary", with_views(["film"], final="""
 SELECT count(vote_average) AS n_rated, round(median(vote_average), 6) AS median,
        round(avg(vote_average), 6) AS mean FROM film"""))
 def q_rating_summary(spark, d):
-    return A.rating_summary(_film(spark, d))
+    return rounded(A.rating_summary(_film(spark, d)))
 
 
 @register("rating_trend", with_views(["film"], final=f"""
@@ -222,7 +222,7 @@ SELECT {_dec()} AS decade, round(avg(vote_average), 6) AS avg_rating, count(*) A
 FROM film WHERE vote_count >= {MIN_VOTES} AND release_year IS NOT NULL
 GROUP BY 1 HAVING count(*) >= 20"""))
 def q_rating_trend(spark, d):
-    return A.rating_trend(_film(spark, d), MIN_VOTES, 20, Y)
+    return rounded(A.rating_trend(_film(spark, d), MIN_VOTES, 20, Y))
 
 
 _RATE_SUB = ("sub", f"SELECT * FROM film WHERE vote_count >= {MIN_VOTES} AND primary_genre IS NOT NULL")
@@ -231,7 +231,7 @@ _rate_ctes, _ = _box_sql("sub", "vote_average")
 
 @register("rating_by_genre", with_views(["film"], _RATE_SUB, *_rate_ctes, final=_box_final))
 def q_rating_by_genre(spark, d):
-    return A.rating_by_genre(_film(spark, d), TOP, MIN_VOTES)
+    return rounded(A.rating_by_genre(_film(spark, d), TOP, MIN_VOTES))
 
 
 def _corr_sql(src, pairwise):
@@ -252,7 +252,7 @@ def _corr_sql(src, pairwise):
 
 @register("financial_correlation", with_views(["film"], _FIN, final=_corr_sql("fin", True)))
 def q_financial_correlation(spark, d):
-    return A.financial_correlation(_film(spark, d), MIN_BUDGET)
+    return rounded(A.financial_correlation(_film(spark, d), MIN_BUDGET))
 
 
 _nn = " AND ".join(f"{c} IS NOT NULL" for c in A.FIN_VARS)
@@ -262,7 +262,7 @@ _nn = " AND ".join(f"{c} IS NOT NULL" for c in A.FIN_VARS)
     ["film"], ("lw", f"SELECT * FROM film WHERE budget <> 0 AND revenue <> 0 AND {_nn}"),
     final=_corr_sql("lw", False)))
 def q_financial_correlation_listwise(spark, d):
-    return A.financial_correlation_listwise(_film(spark, d))
+    return rounded(A.financial_correlation_listwise(_film(spark, d)))
 
 
 @register("kpi_summary", with_views(["film"], _FIN, ("g", """
@@ -275,7 +275,7 @@ SELECT (SELECT count(*) FROM film) AS total_movies,
        round(coalesce((SELECT median(roi) FROM fin), 0), 6) AS median_roi,
        (SELECT count(*) FROM fin) AS disclosed_count"""))
 def q_kpi_summary(spark, d):
-    return A.kpi_summary(_film(spark, d), MIN_BUDGET)
+    return rounded(A.kpi_summary(_film(spark, d), MIN_BUDGET))
 
 
 @register("language_counts", """
@@ -283,33 +283,31 @@ SELECT lang, count(*) AS n_docs,
        CAST(row_number() OVER (ORDER BY count(*) DESC, lang) AS INTEGER) AS rank
 FROM documents GROUP BY lang ORDER BY n_docs DESC, lang LIMIT 10""")
 def q_language_counts(spark, d):
-    return A.language_counts(read_table(spark, d, "documents", "lang"), "lang", 10)
+    return rounded(A.language_counts(read_table(spark, d, "documents", "lang"), "lang", 10))
 
 
 # ---------------------------------------------------------------- insights
 @register("insight_share_growth", with_views(["film"], *_matrix_ctes(MIN_FILMS), final="""
 SELECT * FROM (
-  SELECT genre, decade, lag(decade) OVER w AS prev_decade, lag(share) OVER w AS prev_share, share,
+  SELECT genre, decade, lag(decade) OVER w AS prev_decade, round(lag(share) OVER w, 6) AS prev_share, round(share, 6) AS share,
          round(share - lag(share) OVER w, 6) AS delta,
          round((share - lag(share) OVER w) / nullif(lag(share) OVER w, 0), 6) AS growth
   FROM matrix WINDOW w AS (PARTITION BY genre ORDER BY decade))
 WHERE prev_decade IS NOT NULL"""))
 def q_insight_share_growth(spark, d):
-    return A.insight_share_growth(_film(spark, d), TOP, MIN_FILMS, Y)
+    return rounded(A.insight_share_growth(_film(spark, d), TOP, MIN_FILMS, Y))
 
 
 @register("insight_leaders", with_views(["film"], *_matrix_ctes(MIN_FILMS), final="""
-SELECT 'decade_leader' AS kind, CAST(decade AS VARCHAR) AS key, genre AS value, max_share AS share
+SELECT 'decade_leader' AS kind, CAST(decade AS VARCHAR) AS key, genre AS value, round(max_share, 6) AS share
 FROM (SELECT decade, genre, max(share) OVER (PARTITION BY decade) AS max_share,
              row_number() OVER (PARTITION BY decade ORDER BY n_films DESC, genre_rank) AS rn
       FROM matrix) WHERE rn = 1
 UNION ALL
-SELECT 'genre_peak', genre, CAST(decade AS VARCHAR), max_share
+SELECT 'genre_peak', genre, CAST(decade AS VARCHAR), round(max_share, 6)
 FROM (SELECT genre, decade, max(share) OVER (PARTITION BY genre) AS max_share,
              row_number() OVER (PARTITION BY genre ORDER BY share DESC, decade) AS rn
       FROM matrix) WHERE rn = 1"""))
 def q_insight_leaders(spark, d):
-    return A.insight_leaders(_film(spark, d), TOP, MIN_FILMS, Y)
+    return rounded(A.insight_leaders(_film(spark, d), TOP, MIN_FILMS, Y))
 
-
-__all__ = ["F"]

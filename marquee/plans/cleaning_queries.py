@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.common import r6
+from marquee.functions.common import r6, rounded
 from marquee.functions.text import split_list, title_link_norm, title_norm, vocab_filter
 from marquee.operators import clean as C
 from marquee.plans.fixtures import view, with_views
@@ -33,7 +33,7 @@ def _dbl(c):
 
 _REQ = ("req", "SELECT * FROM dirty_film WHERE id IS NOT NULL AND title IS NOT NULL")
 _COERCED = ("coerced", f"""
-  SELECT CAST(floor({_dbl('id')}) AS BIGINT) AS id, title, release_date,
+  SELECT CAST(trunc({_dbl('id')}) AS BIGINT) AS id, title, release_date,
          {_dbl('release_year')} AS release_year, {_dbl('vote_count')} AS vote_count,
          {_dbl('vote_average')} AS vote_average, {_dbl('runtime')} AS runtime,
          {_dbl('budget')} AS budget, {_dbl('revenue')} AS revenue,
@@ -198,13 +198,13 @@ _ETL_CTES = [
 
 
 @register("etl_catalog", with_views(["dirty_film"], *_ETL_CTES, ("kept", f"""
-  SELECT CAST(floor({_dbl('id')}) AS BIGINT) AS id, title, dp AS release_date,
+  SELECT CAST(trunc({_dbl('id')}) AS BIGINT) AS id, title, dp AS release_date,
          CAST(year(dp) AS INTEGER) AS release_year,
          CAST(floor(year(dp) / 10) * 10 AS INTEGER) AS release_decade,
          {_SPLIT}[1] AS primary_genre,
          nullif({_dbl('budget')}, 0) AS budget, nullif({_dbl('revenue')}, 0) AS revenue,
          nullif({_dbl('runtime')}, 0) AS runtime, {_dbl('vote_average')} AS vote_average,
-         CAST(floor({_dbl('vote_count')}) AS BIGINT) AS vote_count
+         CAST(trunc({_dbl('vote_count')}) AS BIGINT) AS vote_count
   FROM steps WHERE step IS NULL"""), final="""
 SELECT id, title, release_date, release_year, release_decade, primary_genre,
        round(budget, 6) AS budget, round(revenue, 6) AS revenue, round(runtime, 6) AS runtime,
@@ -282,7 +282,7 @@ _DIRTY_COLS = ("id", "title", "release_date", "release_year", "primary_genre", "
     f"round(count_if({c} IS NULL) * 100.0 / count(*), 6) AS pct FROM dirty_film"
     for c in _DIRTY_COLS)))
 def q_missing_profile(spark, d):
-    return C.missing_profile(_dirty(spark, d), _DIRTY_COLS)
+    return rounded(C.missing_profile(_dirty(spark, d), _DIRTY_COLS))
 
 
 @register("zero_profile", with_views(["dirty_film"], final="\nUNION ALL\n".join(
@@ -290,7 +290,7 @@ def q_missing_profile(spark, d):
     f"round(count_if({_dbl(c)} = 0) * 100.0 / count(*), 6) AS pct FROM dirty_film"
     for c in ("budget", "revenue", "runtime"))))
 def q_zero_profile(spark, d):
-    return C.zero_profile(_dirty(spark, d), ("budget", "revenue", "runtime"))
+    return rounded(C.zero_profile(_dirty(spark, d), ("budget", "revenue", "runtime")))
 
 
 _DESC = ("budget", "revenue", "runtime", "vote_average", "vote_count")
@@ -303,7 +303,7 @@ _DESC = ("budget", "revenue", "runtime", "vote_average", "vote_count")
     f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM film"
     for c in _DESC)))
 def q_numeric_describe(spark, d):
-    return C.numeric_describe(view(spark, d, "film"), _DESC)
+    return rounded(C.numeric_describe(view(spark, d, "film"), _DESC))
 
 
 _AUDIT_COLS = [c for c in _DIRTY_COLS if c != "load_seq"]
@@ -330,5 +330,3 @@ def q_overview_stats(spark, d):
     r = C.clean_ratings(view(spark, d, "rating").select("user_id", "item_id", "rating", "ts"))
     return C.overview_stats(r)
 
-
-__all__ = ["vocab_filter"]

@@ -180,6 +180,76 @@ def q_cf_scores(spark, d):
     return _cf(spark, d)
 
 
+# ------------------------------------------- R2 - R5 where SQL can state them
+def brand_ratings(spark, d):
+    part = read_table(spark, d, "part", "p_partkey", "p_brand")
+    return bridged(spark, d).join(part, F.col("item_id") == F.col("p_partkey")).select(
+        "user_id", F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint").alias("item_id"), "rating")
+
+
+def brand_model(spark, d):
+    def build():
+        b = brand_ratings(spark, d)
+        m, means = CF.rating_matrix(b, item="item_id")
+        svd = CF.truncated_svd(m, K)
+        uf, itf = CF.factor_tables(svd, means)
+        return {"users": uf, "items": itf, "mu": float(b.agg(F.avg("rating")).first()[0]), "k": svd["k"]}
+    return _cached(spark, ("brands", d), build)
+
+
+def brand_likes(spark, d):
+    part = read_table(spark, d, "part", "p_partkey", "p_brand").where("p_partkey <= 100")
+    n = read_table(spark, d, "nation", "n_nationkey")
+    return n.join(part, F.col("n_nationkey") == F.pmod("p_partkey", F.lit(25))).select(
+        F.col("n_nationkey").cast("bigint").alias("request_id"),
+        F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint").alias("item_id")).distinct()
+
+
+_BRAND_SQL = [*_FIX_SQL, ("br", """
+  SELECT b.user_id, CAST(regexp_extract(p.p_brand, '[0-9]+') AS BIGINT) AS item_id, b.rating
+  FROM bridged b JOIN part p ON p.p_partkey = b.catalog_id"""),
+    ("um", "SELECT user_id, avg(rating) AS mu FROM br GROUP BY user_id"),
+    ("items", "SELECT DISTINCT item_id FROM br"),
+    ("e", """SELECT b.user_id, b.item_id, sum(b.rating - m.mu) AS value FROM br b JOIN um m USING (user_id)
+             GROUP BY b.user_id, b.item_id""")]
+
+
+@register("svd_scores_full_rank", with_views(_V, *_BRAND_SQL, final="""
+SELECT m.user_id, i.item_id, round(m.mu + coalesce(e.value, 0), 6) AS score
+FROM um m CROSS JOIN items i LEFT JOIN e ON e.user_id = m.user_id AND e.item_id = i.item_id"""))
+def q_svd_scores_full_rank(spark, d):
+    m = brand_model(spark, d)
+    s = CF.score_requests(m["items"], m["users"].withColumnRenamed("user_id", "request_id"), "us", "mu")
+    return s.select(F.col("request_id").alias("user_id"), "item_id", r6("score").alias("score"))
+
+
+@register("recommend_users_full_rank", with_views(_V, *_BRAND_SQL, final="""
+SELECT user_id, item_id, round(least(greatest(mu, 0.5), 5.0), 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT m.user_id, i.item_id, m.mu, row_number() OVER (PARTITION BY m.user_id ORDER BY i.item_id) AS rank
+  FROM um m CROSS JOIN items i
+  WHERE (m.user_id, i.item_id) NOT IN (SELECT user_id, item_id FROM br))
+WHERE rank <= 10"""))
+def q_recommend_users_full_rank(spark, d):
+    m = brand_model(spark, d)
+    seen = brand_ratings(spark, d).select("user_id", "item_id").distinct()
+    r = CF.recommend_users(m["users"], m["items"], rec_users(spark, d), seen, 10)
+    return r.select("user_id", "item_id", r6("score").alias("score"), "rank")
+
+
+@register("fold_in_full_rank", with_views(_V, *_BRAND_SQL, ("lk", """
+  SELECT DISTINCT CAST(n.n_nationkey AS BIGINT) AS request_id,
+         CAST(regexp_extract(p.p_brand, '[0-9]+') AS BIGINT) AS item_id
+  FROM nation n JOIN part p ON p.p_partkey % 25 = n.n_nationkey WHERE p.p_partkey <= 100"""), final="""
+SELECT r.request_id, i.item_id, round(g.mu + (5.0 - g.mu) * ((l.item_id IS NOT NULL)::INT - r.n / c.n), 6) AS score
+FROM (SELECT k.request_id, count(*) AS n FROM lk k JOIN items USING (item_id) GROUP BY 1) r
+CROSS JOIN items i CROSS JOIN (SELECT avg(rating) AS mu FROM br) g CROSS JOIN (SELECT count(*) AS n FROM items) c
+LEFT JOIN lk l ON l.request_id = r.request_id AND l.item_id = i.item_id"""))
+def q_fold_in_full_rank(spark, d):
+    m = brand_model(spark, d)
+    s = CF.fold_in_scores(m["items"], brand_likes(spark, d), m["mu"], m["k"])
+    return s.select("request_id", "item_id", r6("score").alias("score"))
+
+
 # ------------------------------------------------------------ R7 - R9, U1-U4
 @register("hybrid_recommend")
 def q_hybrid_recommend(spark, d):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions.common import r6
+from marquee.functions.common import r6, rounded
 from marquee.operators import content as T
 from marquee.plans.fixtures import view, with_views
 from marquee.plans.registry import register
@@ -94,7 +94,7 @@ SELECT count(*) AS n_docs, count_if(trim(doc) = '') AS n_empty,
        count_if(trim(doc) = '') * 100.0 > count(*) * 5.0 AS warn
 FROM d"""))
 def q_empty_doc_rate(spark, d):
-    return T.empty_doc_rate(tfidf(spark, d)["docs"])
+    return rounded(T.empty_doc_rate(tfidf(spark, d)["docs"]))
 
 
 @register("tfidf_tokens", with_views(["doc"], *_TFIDF_SQL, final="SELECT id, term, tf FROM tf"))
@@ -194,7 +194,7 @@ def q_genre_onehot_cosine(spark, d):
 SELECT round(min(sim), 6) AS min_sim, round(max(sim), 6) AS max_sim,
        (SELECT count(DISTINCT gset) FROM it) AS n_sets FROM p"""))
 def q_genre_similarity_range(spark, d):
-    return T.genre_similarity_range(view(spark, d, "catalog"))
+    return rounded(T.genre_similarity_range(view(spark, d, "catalog")))
 
 
 @register("director_token", with_views(["film"], final="""

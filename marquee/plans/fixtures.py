@@ -49,7 +49,7 @@ def film(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     o = orders.join(cust, orders.o_custkey == cust.c_custkey)
     j = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-    genre = F.substring(F.col("o_orderpriority"), 3, 1 << 20)
+    genre = F.expr("substring(o_orderpriority, 3)")
     year = F.year("o_orderdate")
     return j.select(
         F.col("o_orderkey").alias("id"),

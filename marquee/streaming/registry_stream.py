@@ -18,16 +18,11 @@ def apply_batch(spark: SparkSession, table_root: str, key: str, seq: str):
     """foreachBatch function: merge the batch into the latest version."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        current = f"{table_root}/v{batch_id - 1}" if batch_id > 0 else None
-        existing = None
-        if current is not None:
-            try:
-                existing = spark.read.parquet(current)
-            except Exception:  # first batch after an empty start
-                existing = None
-        merged = batch if existing is None else upsert_latest(existing, batch, key, seq)
-        if existing is None:
-            merged = upsert_latest(batch.limit(0), batch, key, seq)
+        if batch_id == 0:
+            existing = batch.limit(0)
+        else:  # a version that cannot be read is an error, not an empty registry
+            existing = spark.read.parquet(f"{table_root}/v{batch_id - 1}")
+        merged = upsert_latest(existing, batch, key, seq)
         merged.write.mode("overwrite").parquet(f"{table_root}/v{batch_id}")
 
     return run
