@@ -357,3 +357,12 @@ def insight_leaders(df, top_n=8, min_films=50, bucket_years=10):
             .unionByName(peak.select(F.lit("genre_peak").alias("kind"), F.col("genre").alias("key"),
                                      F.col("peak_decade").cast("string").alias("value"),
                                      F.col("peak_share").alias("share"))))
+
+
+def insight_peak_bin(df: DataFrame, bin_width: float = 0.5, lo: float = 0.0, hi: float = 10.0) -> DataFrame:
+    """The fullest bin of the rating histogram (ties: the lower one) and its share."""
+    h = rating_histogram(df, bin_width, lo, hi)
+    total = h.agg(F.sum("n_films").alias("_t")).withColumn("_k", F.lit(1))
+    peak = h.orderBy(F.desc("n_films"), F.asc("bin")).limit(1).withColumn("_k", F.lit(1))
+    return peak.join(total, "_k").select("bin", "bin_lo", "bin_hi", "n_films",
+                                         F.try_divide(F.col("n_films"), F.col("_t")).alias("share"))

@@ -229,6 +229,12 @@ def etl_funnel(raw: DataFrame, **kw) -> DataFrame:
 
 
 # ------------------------------------------------------ ratings (P20/21)
+def epoch_to_timestamp(df: DataFrame, epoch: str = "timestamp") -> DataFrame:
+    """P20: epoch seconds (lenient; junk is null) to ``ts`` and ``rating_year`` (session time zone)."""
+    ts = F.timestamp_seconds(try_double(epoch))
+    return df.withColumn("ts", ts).withColumn("rating_year", F.year("ts"))
+
+
 def clean_ratings(ratings: DataFrame, lo: float = 0.5, hi: float = 5.0) -> DataFrame:
     """Exact duplicates dropped, rating in [lo, hi], timestamp and
     rating year derived (session time zone UTC)."""

@@ -311,3 +311,13 @@ FROM (SELECT genre, decade, max(share) OVER (PARTITION BY genre) AS max_share,
 def q_insight_leaders(spark, d):
     return rounded(A.insight_leaders(_film(spark, d), TOP, MIN_FILMS, Y))
 
+
+
+@register("insight_peak_bin", with_views(["film"], ("h", """
+  SELECT least(CAST(floor(vote_average / 0.5) AS INTEGER), 19) AS bin, count(*) AS n
+  FROM film WHERE vote_average BETWEEN 0 AND 10 GROUP BY 1"""), final="""
+SELECT bin, bin * 0.5::DOUBLE AS bin_lo, (bin + 1) * 0.5::DOUBLE AS bin_hi, CAST(n AS BIGINT) AS n_films,
+       round(n / (SELECT sum(n) FROM h), 6) AS share
+FROM h ORDER BY n DESC, bin LIMIT 1"""))
+def q_insight_peak_bin(spark, d):
+    return rounded(A.insight_peak_bin(_film(spark, d), 0.5))

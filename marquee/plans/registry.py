@@ -80,6 +80,6 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the modules fills REGISTRY
     from marquee.plans import (  # noqa: F401
         analytics_queries, browse_queries, cleaning_queries, content_queries,
-        collab_queries, linkage_queries,
+        collab_queries, linkage_queries, source_queries,
     )
     return REGISTRY
