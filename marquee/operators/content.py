@@ -6,23 +6,22 @@ word tokens of >= 2 characters, English stop words removed, terms kept when
 2 <= df <= 0.8 * N, then the ``max_features`` terms with the largest corpus
 count; weight ``(1 + ln tf) * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised
 per document. Cosine of two documents is the dot product of their weights,
-computed by joining on the term (an inverted index), so only documents that
-share a term with a seed are ever touched.
+computed for blocks of seeds against blocks of documents, term after term.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marquee.functions.common import col
 from marquee.functions.text import director_token
+from marquee.session import written
 
 # Unicode word runs of two or more characters (the ``\b\w\w+\b`` token rule).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -115,25 +114,79 @@ def build_tfidf(items: DataFrame, language: str | None = "en", stop_words=None,
 
 
 # ---------------------------------------------------------------- T4 - T6
+def _cell(n: int | None):
+    """Similarities of a block of seeds with a block of items: term after term, the seeds'
+    weights times the items' postings are added into a dense score block."""
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            ids = right["id"].combine_chunks().to_numpy()
+            seeds = left["id"].combine_chunks().to_numpy()
+            block = np.zeros((len(seeds), len(ids)))
+            sides = []
+            for table in (left, right):
+                lists = table["terms"].combine_chunks()
+                term = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                weight = table["ws"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                order = np.argsort(term, kind="stable")
+                sides.append((term[order], row[order], weight[order]))
+            (ta, ra, wa), (tb, rb, wb) = sides
+            shared = np.intersect1d(ta, tb)
+            cuts = [np.searchsorted(t, shared, side) for t in (ta, tb) for side in ("left", "right")]
+            for a0, a1, b0, b1 in zip(*cuts):
+                block[np.ix_(ra[a0:a1], rb[b0:b1])] += wa[a0:a1, None] * wb[None, b0:b1]
+            for seed, row in zip(seeds, block):
+                at = np.flatnonzero((row > 0) & (ids != seed))
+                if n is not None:  # best first, equal to nine places by id
+                    at = at[np.lexsort((ids[at], -np.round(row[at], 9)))[:n]]
+                out[0].append(np.full(len(at), seed, dtype=np.int64))
+                out[1].append(ids[at])
+                out[2].append(row[at])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        return pa.table({"seed_id": pa.array(join(out[0], "i8"), pa.int64()),
+                         "item_id": pa.array(join(out[1], "i8"), pa.int64()),
+                         "sim": pa.array(join(out[2], "f8"), pa.float64())})
+
+    return score
+
+
+def _similarities(weights: DataFrame, seed_ids: DataFrame, n: int | None, block_items: int = 2048,
+                  block_seeds: int = 256) -> DataFrame:
+    """(seed_id, item_id, sim > 0) of each distinct seed: with every item that shares a term,
+    or per block of items the best ``n``. The weights are written once; a group is one block
+    of seeds with one block of items, each document's terms as one row."""
+    w = written(weights.select(F.col("id").cast("bigint").alias("id"), F.xxhash64("term").alias("t"), "w"), "weights")
+    pairs = w.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("p"))  # one document's terms
+    vec = written(pairs.select("id", F.col("p.t").alias("terms"), F.col("p.w").alias("ws")), "vectors")
+    asked = vec.join(seed_ids.select(F.col("seed_id").cast("bigint").alias("id")).distinct(), "id", "left_semi")
+    items_in = max(1, -(-vec.count() // block_items))
+    seeds_in = max(1, -(-asked.count() // block_seeds))
+    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.select("id", "terms", "ws", block(seeds_in).alias("sb"), every(items_in).alias("ib"))
+    right = vec.select("id", "terms", "ws", block(items_in).alias("ib"), every(seeds_in).alias("sb"))
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
+    return left.groupBy("sb", "ib").cogroup(right.groupBy("sb", "ib")).applyInArrow(
+        _cell(n), "seed_id long, item_id long, sim double")
+
+
 def seed_scores(weights: DataFrame, seeds: DataFrame) -> DataFrame:
     """T5: (request_id, seed_id, item_id, sim) for every item sharing a term
     with a seed, the seed itself excluded (its own slot is 0). Unknown seeds
     produce nothing."""
     s = seeds.select("request_id", F.col("item_id").alias("seed_id")).distinct()
-    sw = s.join(weights.select(F.col("id").alias("seed_id"), "term", F.col("w").alias("ws")), "seed_id")
-    pairs = sw.join(weights.select(F.col("id").alias("item_id"), "term", "w"), "term")
-    sims = pairs.groupBy("request_id", "seed_id", "item_id").agg(
-        F.sum(F.col("ws") * F.col("w")).alias("sim"))
-    return sims.where(F.col("item_id") != F.col("seed_id"))
+    return s.join(_similarities(weights, s, None), "seed_id").select("request_id", "seed_id", "item_id", "sim")
 
 
 def similar_items(weights: DataFrame, seeds: DataFrame, n: int = 10) -> DataFrame:
     """T4: top-n most similar items per (request, seed), sim > 0, ties by id."""
-    s = seed_scores(weights, seeds).where(F.col("sim") > 0)
+    s = seeds.select("request_id", F.col("item_id").alias("seed_id")).distinct()
     # rank on the similarity rounded to 1e-9 so float summation order never
     # reorders equal documents; ties go to the smaller id
-    w = Window.partitionBy("request_id", "seed_id").orderBy(F.desc(F.round("sim", 9)), F.asc("item_id"))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    w = Window.partitionBy("seed_id").orderBy(F.desc(F.round("sim", 9)), F.asc("item_id"))
+    best = _similarities(weights, s, n).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return s.join(best, "seed_id").select("request_id", "seed_id", "item_id", "sim", "rank")
 
 
 def content_scores(weights: DataFrame, seeds: DataFrame, catalog_ids: DataFrame) -> DataFrame:
