@@ -223,7 +223,8 @@ def _unit(vec: str):
 
 
 def embedding_knn(vectors: DataFrame, requests: DataFrame, k: int = 5,
-                  id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                  id_col: str = "vec_id", vec_col: str = "embedding", block_items: int = 4096,
+                  block_requests: int | None = None) -> DataFrame:
     """Exact cosine top-k neighbours (self excluded) of every requested item, as
     ``request_id, item_id, neighbor_id, sim, rank``.
 
@@ -237,7 +238,7 @@ def embedding_knn(vectors: DataFrame, requests: DataFrame, k: int = 5,
     asked = unit.join(req.select("item_id").distinct(), "item_id", "left_semi").select(
         F.col("item_id").alias("request_id"), "v", F.lit(0.0).alias("off"))
     own = asked.select("request_id", F.col("request_id").alias("item_id"))
-    out = score_requests(unit, asked, "v", "off", k, own)
+    out = score_requests(unit, asked, "v", "off", k, own, block_items=block_items, block_requests=block_requests)
     w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
     best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         F.col("request_id").alias("item_id"), F.col("item_id").alias("neighbor_id"), F.col("score").alias("sim"), "rank")

@@ -129,7 +129,7 @@ def test_embedding_knn_matches_brute_force(spark):
     vecs = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     req = spark.createDataFrame([(i, i) for i in range(0, 60, 7)], "request_id long, item_id long")
-    got = T.embedding_knn(df.repartition(4), req, 5, max_requests_per_pass=3).collect()
+    got = T.embedding_knn(df.repartition(4), req, 5, block_items=16, block_requests=3).collect()
     nv = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     for i in range(0, 60, 7):
         s = nv @ nv[i]
