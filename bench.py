@@ -18,7 +18,7 @@ HEADLINE = [
     "genre_evolution", "budget_revenue_fit", "roi_by_genre", "rating_by_genre", "kpi_summary",
     "financial_correlation", "etl_funnel", "clean_catalog", "browse_popular", "search_title",
     "link_records", "profile_top_per_group", "tfidf_weights", "similar_items", "embedding_knn",
-    "precision_at_k", "hybrid_recommend", "svd_singular_values", "recommend_users",
+    "precision_at_k", "hybrid_content_only",
 ]
 
 

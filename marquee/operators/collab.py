@@ -54,7 +54,7 @@ def matrix_status(entries: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ R2
-def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, extra: int = 10,
+def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-6, extra: int = 10,
                   max_steps: int = 500, seed: int = 42) -> dict:
     """R2: rank-k SVD ``A ~ U diag(s) V^T`` of the (user, item, value) matrix.
 
@@ -78,7 +78,7 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, ext
     width = m = int(good.sum())
     t = np.zeros((0, 0))
     for _ in range(max_steps):
-        y = written(LA.multiply(a, last, "user_id", "item_id", width), "left")
+        y = LA.multiply(a, last, "user_id", "item_id", width)
         w = written(LA.multiply(a, y, "item_id", "user_id", width), "right")
         both = basis.join(w.withColumnRenamed(LA.VEC, "w"), "key")
         h = LA.cross_gram(both, LA.VEC, "w", (m, width))
@@ -89,8 +89,9 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, ext
         t = grown
         rest = written(both.select("key", LA.VEC, LA.combine(
             [F.col("w"), F.col(LA.VEC)], [np.eye(width), -h]).alias("w")), "rest")
-        h2 = LA.cross_gram(rest, LA.VEC, "w", (m, width))
-        g = LA.cross_gram(rest, "w", "w", (width, width)) - h2.T @ h2
+        h2 = LA.cross_gram(rest.withColumn("both", F.concat(LA.VEC, "w")), "both", "w", (m + width, width))
+        h2, g = h2[:m], h2[m:]
+        g = g - h2.T @ h2
         theta, s = np.linalg.eigh((t + t.T) / 2)
         theta, s = theta[::-1], s[:, ::-1]
         lam, u = np.linalg.eigh((g + g.T) / 2)

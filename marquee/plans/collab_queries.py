@@ -25,6 +25,9 @@ from marquee.plans.registry import register
 from marquee.sources.tables import read_table
 
 K = 50
+#: Residual of the singular vectors relative to the largest squared singular value. These
+#: ratings are random, so their spectrum is flat and each further place costs several passes.
+TOL = 1e-4
 _MODELS: dict = {}
 
 
@@ -48,7 +51,7 @@ def model(spark, d):
     """Centred SVD over all bridged ratings (memoised per session and input)."""
     def build():
         m, means = CF.rating_matrix(bridged(spark, d), item="item_id")
-        svd = CF.truncated_svd(m, K)
+        svd = CF.truncated_svd(m, K, tol=TOL)
         uf, itf = CF.factor_tables(svd, means)
         mu = bridged(spark, d).agg(F.avg("rating")).first()[0]
         return {"svd": svd, "users": uf, "items": itf, "mu": float(mu), "k": svd["k"]}
@@ -191,7 +194,7 @@ def brand_model(spark, d):
     def build():
         b = brand_ratings(spark, d)
         m, means = CF.rating_matrix(b, item="item_id")
-        svd = CF.truncated_svd(m, K)
+        svd = CF.truncated_svd(m, K, tol=TOL)
         uf, itf = CF.factor_tables(svd, means)
         return {"users": uf, "items": itf, "mu": float(b.agg(F.avg("rating")).first()[0]), "k": svd["k"]}
     return _cached(spark, ("brands", d), build)
@@ -389,7 +392,7 @@ def _eval_model(spark, d):
         s = split(spark, d)
         train = s.where(~F.col("is_test"))
         m, means = CF.rating_matrix(train, item="item_id")
-        svd = CF.truncated_svd(m, K)
+        svd = CF.truncated_svd(m, K, tol=TOL)
         uf, itf = CF.factor_tables(svd, means)
         return {"users": uf, "items": itf, "train": train, "test": s.where(F.col("is_test"))}
     return _cached(spark, ("eval", d), build)
@@ -462,7 +465,7 @@ def q_svd_uncentered(spark, d):
         b = bridged(spark, d).where((F.col("rating") > 0) & (F.col("ts") <= F.lit("1998-07-19")))
         b = CF.split_flag(b, ["user_id", "item_id", "ts", "rating"], 42, 5).where("is_test").drop("is_test")
         m, means = CF.rating_matrix(b, item="item_id", center=False)
-        svd = CF.truncated_svd(m, K)
+        svd = CF.truncated_svd(m, K, tol=TOL)
         uf, itf = CF.factor_tables(svd, means.withColumn("mu", F.lit(0.0)))
         return {"users": uf, "items": itf, "seen": b.select("user_id", "item_id").distinct()}
     mm = _cached(spark, ("uncentered", d), build)

@@ -116,7 +116,7 @@ def _planted(spark, spectrum, users=60, items=40, seed=5):
 def test_truncated_svd_converges_below_the_rank(spark):
     for spectrum in (np.linspace(10, 8, 30), 10 * 0.7 ** np.arange(30)):
         a, df = _planted(spark, spectrum)
-        svd = CF.truncated_svd(df, k=8, extra=4)
+        svd = CF.truncated_svd(df, k=8, extra=4, tol=1e-9)
         u, s, vt = np.linalg.svd(a)
         best = (u[:, :8] * s[:8]) @ vt[:8]
         uu = {r["key"]: np.array(r["vec"]) for r in svd["users"].collect()}
