@@ -103,18 +103,18 @@ def _family(found: list[str]) -> int:
 
 def train_dictionaries(texts: list[str], labels: list[int], size: int = 24_000, common: int = 1500) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents from labelled texts."""
-    holders = (defaultdict(set), defaultdict(set))
-    families: tuple[set, set] = (set(), set())
-    frequent = (Counter(), Counter())
-    for text, y in zip(texts, labels):
-        found = windows(text)
-        family = _family(found)
-        families[y].add(family)
-        own = set(found)
-        frequent[y].update(own)
-        for s in set().union(*map(_segments, own)) if own else ():
-            holders[y][s].add(family)
-    n = [len(f) for f in families]
+    holders, frequent, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    families = defaultdict(list)
+    for i, (text, y) in enumerate(zip(texts, labels)):
+        families[y, _family(windows(text))].append(i)
+    for (y, _), members in families.items():  # a family counts once for each of its segments
+        own: set[str] = set()
+        for i in members:
+            found = set(windows(texts[i]))
+            frequent[y].update(found)
+            own |= found
+        holders[y].update(set().union(*map(_segments, own)) if own else ())
+        n[y] += 1
     ranked = lambda c: sorted(c, key=lambda w: (-c[w], w))
     usual = ranked(frequent[0])[:common]
 
@@ -125,8 +125,8 @@ def train_dictionaries(texts: list[str], labels: list[int], size: int = 24_000,
             return 2 * sum(k * math.log(k / e) for k, e in zip((a, b), even) if k)
 
         chosen = set()
-        for s, f in holders[y].items():
-            a, b = len(f), len(holders[1 - y].get(s, ()))
+        for s, a in holders[y].items():
+            b = holders[1 - y][s]
             # 20: by chance one segment in 10^5
             if (a + 0.5) * (n[1 - y] + 1) >= 8 * (b + 0.5) * (n[y] + 1) and surprise(a, b) >= 20:
                 chosen.add(s)
