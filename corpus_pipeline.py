@@ -7,8 +7,9 @@ written as Parquet to the shared folder and read again.
 1. ``toxicity``: documents scored 0.3 or more go.
 2. ``line_dedup``: later occurrences of three-line passages go; a document that loses all
    it had goes too.
-3. ``near_duplicates``: of every group linked by five-word shingles (similarity 0.8 and
-   more) the document with the smallest id stays.
+3. ``near_duplicates``: of every group of rows linked by five-word shingles (similarity 0.8
+   and more) one row stays, the one with the smallest id (null last), of rows alike in id the
+   one with the smallest text hash; repeated rows are a group too. Rows without words all stay.
 4. ``suffix_dedup``: bytes that a repeated 200-byte string covers go, but for characters
    they only touch; a document that loses all it had goes too.
 5. ``packing``: what is left is tokenized and packed into sequences of 4096.
@@ -52,9 +53,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("key").alias("_key")).distinct()
-    return _documents(docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_key")), "left_anti"))
+    return _documents(minhash.one_of_each(docs.select(*COLUMNS), width=5, percent=80))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,18 +249,10 @@ def _cells(apart: DataFrame, block_shingles: int) -> DataFrame:
     return sides.join(blocks, "block").select(F.col("h1").alias("node"), "a", "b", "root")
 
 
-def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
-                    block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
-    """Per row of ``docs``: ``key, n_shingles, component_id, kept``.
-
-    Sets are linked where 100 * intersection >= percent * union; ``component_id`` is the
-    smallest key reachable by links, the own one included; ``kept`` says that it is the
-    own one. A null or empty text has no shingles and no links: it is its own component.
-    Rows with a null key are linked like others but lend no name: their component is
-    named by its smallest key, and a component without any is null and kept. Rows alike
-    in key are one document when components are named.
-    """
+def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent: int, bands: int, rows: int,
+              group_rows: int, block_shingles: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Per row ``key, mark, n, h1`` (its class, where it has shingles), and per class ``h1, first, root``:
+    its smallest key and its component."""
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
     sketched = written(texts.mapInArrow(
@@ -271,8 +263,7 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
         F.min("key").alias("first"), F.min(F.struct("key", "mark")).alias("place"), F.min("n").alias("n"),
         F.min("h2").alias("lo"), F.max("h2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets of one 64-bit hash
-        return near_duplicates(docs, key_col, text_col, width, percent, bands, rows, group_rows,
-                               block_shingles, seed + 1)
+        return _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed + 1)
 
     in_bucket = Window.partitionBy("bucket")
     met = written(full.select(F.explode("bands").alias("bucket"), "h1", "n")
@@ -298,9 +289,50 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 
     named = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
         "h1", "first", F.coalesce("root", "h1").alias("root"))
+    return sketched.select("key", "mark", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1")), named
+
+
+def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                    percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
+                    block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
+    """Per row of ``docs``: ``key, n_shingles, component_id, kept``.
+
+    Sets are linked where 100 * intersection >= percent * union; ``component_id`` is the
+    smallest key reachable by links, the own one included; ``kept`` says that it is the
+    own one. A null or empty text has no shingles and no links: it is its own component.
+    Rows with a null key are linked like others but lend no name: their component is
+    named by its smallest key, and a component without any is null and kept. Rows alike
+    in key are one document when components are named; ``one_of_each`` goes by rows.
+    """
+    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed)
     names = named.groupBy("root").agg(F.min("first").alias("name"))
     by_class = named.join(names, "root").select("h1", "name")
-    joined = sketched.select("key", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1")).join(by_class, "h1", "left")
+    joined = sketched.select("key", "n", "h1").join(by_class, "h1", "left")
     component = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("key"))
     return joined.select("key", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
+                block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, of each component of linked rows exactly one: the smallest key
+    (null last), of rows alike in key the smallest text hash, of rows alike in both the
+    smallest row. Rows without shingles are linked to nothing and all stay.
+
+    A row is known by key and text hash; only what goes or is there several times is
+    joined with the rows, which are not written again."""
+    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed)
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
+    best = (sketched.where("n > 0").groupBy("h1").agg(F.min(place).alias("place")).join(named.select("h1", "root"), "h1")
+            .groupBy("root").agg(F.min("place").alias("place"))
+            .select(F.col("place.key").alias("_k"), F.col("place.mark").alias("_m"), F.lit(True).alias("stays")))
+    same = lambda d: d["key"].eqNullSafe(F.col("_k")) & (d["mark"] == F.col("_m"))
+    copies = sketched.where("n > 0").groupBy("key", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    odd = written(copies.join(best, same(copies), "left").where("stays IS NULL OR copies > 1")
+                  .select(F.col("key").alias("_k"), F.col("mark").alias("_m"), "stays"), "not-kept")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(key_col).cast("long").alias("key"),
+                      F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    once = row.join(odd, same(row), "left_anti").select("row.*")
+    again = row.join(odd.where("stays"), same(row), "left_semi").groupBy("key", "mark").agg(F.min("row").alias("row"))
+    return once.unionByName(again.select("row.*"))

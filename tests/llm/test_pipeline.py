@@ -55,6 +55,35 @@ def test_near_duplicate_stage(stages):
     assert {(r.doc_id, r.text) for r in after} <= {(r.doc_id, r.text) for r in before}
 
 
+def test_near_duplicate_stage_goes_by_rows(spark, make_docs):
+    words = [f"w{i}" for i in range(200)]
+    text = lambda a, *more: " ".join([*words[a:a + 40], *more])
+    texts = [(1, text(0)), (None, text(0, "x")),              # a near-copy without id, of a group with one
+             (None, "a clean text of its own without any id"), (None, "and a second one that is unlike the first"),
+             (2, text(40)), (3, text(40, "y")), (3, "a unique text that shares its id with a near copy"),
+             (4, text(80)), (4, text(80)), (4, text(80)), (5, text(80, "z")),  # repeated rows and a near-copy
+             (None, text(120)), (None, text(120)), (None, text(120, "u")),     # ids are all null
+             (6, text(150)), (6, text(150, "v")),                              # near-copies alike in id
+             (7, ""), (7, ""), (None, None), (None, " ")]
+    docs = make_docs([t for _, t in texts], [i for i, _ in texts], parts=3)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} if t and t.split() else set()
+            for _, t in texts]
+    top = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and len(a & b) >= 0.8 * len(a | b):
+                    top[i] = top[j] = min(top[i], top[j])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    groups = [[texts[i] for i in range(len(texts)) if top[i] == g] for g in sorted(set(top))]
+    assert len(got) == len(groups)
+    for group in groups:
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert any((i, t) in got for i, t in group if i == least)
+        if (group[0][1] or "").split():  # rows without words are a group each
+            assert sum(got.count(row) for row in set(group)) == 1
+
+
 def test_suffix_stage(stages):
     before, after, _ = stages["suffix_dedup"]
     got = {r.doc_id: r.text for r in after}
