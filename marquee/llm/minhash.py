@@ -22,7 +22,10 @@ one per class. So no pairs are written, and no link that banding found is lost.
 
 Scale: a map task sends a class's bands once, so a group of copies of any size adds a
 row per task and bucket; comparisons go to groups of at most ``group_rows`` members of
-a leader, the leader's set repeated, and to blocks of about ``block_shingles`` shingles.
+a leader, the leader's set repeated, and to blocks of about ``block_shingles`` shingles
+and at most about ``block_rows`` classes, so memory is bounded however short the texts are.
+The blocks a bucket spans are compared two by two: where many classes share a bucket without
+being linked (texts of one template), time grows with the square of their number.
 Links, components and texts never reach the driver.
 """
 
@@ -173,8 +176,9 @@ def _verifier(percent: int):
     return verify
 
 
-def _joiner(percent: int):
-    """Links between components within a cell, as a spanning set of them."""
+def _joiner(percent: int, strip: int = 256):
+    """Links between components within a cell, as a spanning set of them; one array holds
+    all pairs of the cell (4 bytes each), whose rows are looked at in strips."""
     def join(table: pa.Table) -> pa.Table:
         sets, root = {}, {}
         for n, r, raw in zip(*(table[c].to_pylist() for c in ("node", "root", "shingles"))):
@@ -197,8 +201,8 @@ def _joiner(percent: int):
                 has = np.zeros((len(nodes), 2048), dtype=np.float32)
                 has[owner[i:j], column[i:j] - start] = 1
                 both += has @ has.T
-            alike = 100.0 * both >= percent * (size[:, None] + size[None, :] - both).astype(np.float64)
             top = {r: r for r in root.values()}
+            _, kind = np.unique([root[n] for n in nodes], return_inverse=True)
 
             def find(r):
                 while top[r] != r:
@@ -206,12 +210,17 @@ def _joiner(percent: int):
                     r = top[r]
                 return r
 
-            for i, j in zip(*np.nonzero(np.triu(alike, 1))):
-                x, y = find(root[nodes[i]]), find(root[nodes[j]])
-                if x != y:
-                    top[x] = y
-                    u.append(nodes[i])
-                    v.append(nodes[j])
+            for start in range(0, len(nodes), strip):
+                stop = start + strip
+                part = both[start:stop].astype(np.float64)
+                alike = 100 * part >= percent * (size[start:stop, None] + size[None, :] - part)
+                alike &= kind[start:stop, None] != kind[None, :]
+                for i, j in zip(*np.nonzero(np.triu(alike, start + 1))):
+                    x, y = find(root[nodes[start + i]]), find(root[nodes[j]])
+                    if x != y:
+                        top[x] = y
+                        u.append(nodes[start + i])
+                        v.append(nodes[j])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return join
@@ -234,12 +243,14 @@ def _with_leaders(pairs: DataFrame, group_rows: int) -> DataFrame:
     return members.unionByName(leaders).withColumn("root", F.col("node"))
 
 
-def _cells(apart: DataFrame, block_shingles: int) -> DataFrame:
-    """Requests of the rows ``(bucket, h1, n, root)``: the classes of every two blocks with a bucket in common."""
+def _cells(apart: DataFrame, block_shingles: int, block_rows: int = 1024) -> DataFrame:
+    """Requests of the rows ``(bucket, h1, n, root)``: the classes of every two blocks with a bucket in common.
+    A class fills at least a ``block_rows``-th of a block, so a block has at most one more."""
+    least = -(-block_shingles // block_rows)
     near = Window.partitionBy("bucket")
     nodes = (apart.withColumn("near", F.min("h1").over(near)).groupBy("h1")
              .agg(F.min("n").alias("n"), F.min("root").alias("root"), F.min("near").alias("near")))
-    laid = running_totals(nodes, [], ["near", "root", "h1"], F.col("n"), "before")
+    laid = running_totals(nodes, [], ["near", "root", "h1"], F.greatest("n", F.lit(least)), "before")
     blocks = written(laid.select("h1", "root", F.floor(F.col("before") / block_shingles).alias("block")), "blocks")
     spans = (apart.join(blocks.select("h1", "block"), "h1").groupBy("bucket")
              .agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct())
@@ -250,7 +261,7 @@ def _cells(apart: DataFrame, block_shingles: int) -> DataFrame:
 
 
 def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent: int, bands: int, rows: int,
-              group_rows: int, block_shingles: int, seed: int) -> tuple[DataFrame, DataFrame]:
+              group_rows: int, block_shingles: int, seed: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Per row ``key, mark, n, h1`` (its class, where it has shingles), and per class ``h1, first, root``:
     its smallest key and its component."""
     text = F.col(text_col).cast("string")
@@ -263,7 +274,8 @@ def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent:
         F.min("key").alias("first"), F.min(F.struct("key", "mark")).alias("place"), F.min("n").alias("n"),
         F.min("h2").alias("lo"), F.max("h2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets of one 64-bit hash
-        return _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed + 1)
+        return _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed + 1,
+                         block_rows)
 
     in_bucket = Window.partitionBy("bucket")
     met = written(full.select(F.explode("bands").alias("bucket"), "h1", "n")
@@ -282,7 +294,7 @@ def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent:
     apart = written(placed.withColumn("lo", F.min("root").over(in_bucket)).withColumn("hi", F.max("root").over(in_bucket))
                     .where("lo <> hi").select("bucket", "h1", "n", "root"), "apart")
     if apart.limit(1).count():
-        more = written(_sent(_cells(apart, block_shingles), classes, texts, width, seed)
+        more = written(_sent(_cells(apart, block_shingles, block_rows), classes, texts, width, seed)
                        .groupBy("a", "b").applyInArrow(_joiner(percent), "u long, v long"), "cell-links")
         if more.limit(1).count():
             roots = written(components(links.unionByName(more)), "roots")
@@ -294,7 +306,7 @@ def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent:
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
-                    block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
+                    block_shingles: int = 60_000, seed: int = 0, block_rows: int = 1024) -> DataFrame:
     """Per row of ``docs``: ``key, n_shingles, component_id, kept``.
 
     Sets are linked where 100 * intersection >= percent * union; ``component_id`` is the
@@ -304,7 +316,8 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     named by its smallest key, and a component without any is null and kept. Rows alike
     in key are one document when components are named; ``one_of_each`` goes by rows.
     """
-    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed)
+    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed,
+                                block_rows)
     names = named.groupBy("root").agg(F.min("first").alias("name"))
     by_class = named.join(names, "root").select("h1", "name")
     joined = sketched.select("key", "n", "h1").join(by_class, "h1", "left")
@@ -315,14 +328,15 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 
 def one_of_each(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5,
                 percent: int = 80, bands: int = 60, rows: int = 8, group_rows: int = 256,
-                block_shingles: int = 60_000, seed: int = 0) -> DataFrame:
+                block_shingles: int = 60_000, seed: int = 0, block_rows: int = 1024) -> DataFrame:
     """The rows of ``docs``, of each component of linked rows exactly one: the smallest key
     (null last), of rows alike in key the smallest text hash, of rows alike in both the
     smallest row. Rows without shingles are linked to nothing and all stay.
 
     A row is known by key and text hash; only what goes or is there several times is
     joined with the rows, which are not written again."""
-    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed)
+    sketched, named = _sketched(docs, key_col, text_col, width, percent, bands, rows, group_rows, block_shingles, seed,
+                                block_rows)
     place = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     best = (sketched.where("n > 0").groupBy("h1").agg(F.min(place).alias("place")).join(named.select("h1", "root"), "h1")
             .groupBy("root").agg(F.min("place").alias("place"))

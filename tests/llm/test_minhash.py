@@ -79,6 +79,37 @@ def test_edge_rows_and_chains(spark, make_docs, edge_texts):
                    block_shingles=block) == brute(texts, ids, width)
 
 
+def template_texts(n):
+    rng, base = random.Random(4), "one short text that many pages share but for a single word".split()
+    out = []
+    for i in range(n):
+        at = rng.randrange(1, 11)  # 7 of 15 or 9 of 13 shingles in common: not linked
+        out.append(" ".join(base[:at] + [f"x{i}"] + base[at + 1:]))
+    return out + [t + " end" for t in out[:50]]  # 11 of 12: linked
+
+
+def test_template_texts_in_the_production_block(spark, make_docs):
+    texts = template_texts(2500)
+    assert run(make_docs(texts, parts=3), width=2) == brute(texts, list(range(len(texts))), 2)
+
+
+def test_cells_are_bounded_by_rows(spark):
+    apart = spark.range(5000).selectExpr("id % 3 AS bucket", "id AS h1", "11L AS n", "id AS root")
+    cells = minhash._cells(apart, 60_000)
+    assert cells.groupBy("a", "b").count().agg(F.max("count")).first()[0] <= 2 * 1025
+    alone = cells.where("a = b").select("node").distinct()
+    assert alone.count() == 5000
+
+
+def test_production_block_at_width_2_and_5(spark, make_docs, edge_texts):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    base, texts = [word() for _ in range(60)], list(edge_texts)
+    texts += [" ".join(w if rng.random() > 0.11 else word() for w in base) for _ in range(40)]
+    for width in (2, 5):
+        assert run(make_docs(texts, parts=3), width=width, group_rows=2) == brute(texts, list(range(len(texts))), width)
+
+
 def test_empty_table(spark, make_docs):
     assert run(make_docs(["x"]).where(F.lit(False))) == []
 
