@@ -16,8 +16,8 @@ with 60 x 8 that is 1.6e-5, at 0.85 3e-9, before other links of its group count.
 the start (a 64-bit sum of mixed hashes, checked by a second one). In the first pass
 each class meets the leader of its buckets. What is still in different components though
 in one bucket meets in the second pass: such classes are laid in an order that puts bucket
-mates together and cut into blocks; of each two blocks that a bucket spans, all sets are
-compared by one matrix product, and the links that join components come out, at most
+mates together and cut into blocks; of each two blocks that a bucket spans, the sets of such
+buckets are compared by one matrix product, and the links that join components come out, at most
 one per class. So no pairs are written, and no link that banding found is lost.
 
 Scale: a map task sends a class's bands once, so a group of copies of any size adds a
@@ -244,7 +244,8 @@ def _with_leaders(pairs: DataFrame, group_rows: int) -> DataFrame:
 
 
 def _cells(apart: DataFrame, block_shingles: int, block_rows: int = 1024) -> DataFrame:
-    """Requests of the rows ``(bucket, h1, n, root)``: the classes of every two blocks with a bucket in common.
+    """Requests of the rows ``(bucket, h1, n, root)``: of every two blocks with a bucket in common the classes
+    of such buckets.
     A class fills at least a ``block_rows``-th of a block, so a block has at most one more."""
     least = -(-block_shingles // block_rows)
     near = Window.partitionBy("bucket")
@@ -252,12 +253,12 @@ def _cells(apart: DataFrame, block_shingles: int, block_rows: int = 1024) -> Dat
              .agg(F.min("n").alias("n"), F.min("root").alias("root"), F.min("near").alias("near")))
     laid = running_totals(nodes, [], ["near", "root", "h1"], F.greatest("n", F.lit(least)), "before")
     blocks = written(laid.select("h1", "root", F.floor(F.col("before") / block_shingles).alias("block")), "blocks")
-    spans = (apart.join(blocks.select("h1", "block"), "h1").groupBy("bucket")
-             .agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct())
-    pairs = (spans.select(F.explode("blocks").alias("a"), "blocks").select("a", F.explode("blocks").alias("b"))
-             .where("a <= b").distinct())
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return sides.join(blocks, "block").select(F.col("h1").alias("node"), "a", "b", "root")
+    within = apart.select("bucket", "h1").join(blocks, "h1")
+    spans = within.groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    sides = (within.join(spans, "bucket").select("h1", "root", "block", "blocks").distinct()
+             .select("h1", "root", "block", F.explode("blocks").alias("other")).distinct())
+    return sides.select(F.col("h1").alias("node"), F.least("block", "other").alias("a"),
+                        F.greatest("block", "other").alias("b"), "root")
 
 
 def _sketched(docs: DataFrame, key_col: str, text_col: str, width: int, percent: int, bands: int, rows: int,

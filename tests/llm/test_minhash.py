@@ -101,6 +101,18 @@ def test_cells_are_bounded_by_rows(spark):
     assert alone.count() == 5000
 
 
+def test_cells_hold_bucket_mates_only(spark):
+    rows = [(i // 2, i, 30, i) for i in range(400)] + [(1000 + i, j, 30, j) for i in range(40) for j in (i, 399 - i)]
+    apart = spark.createDataFrame(rows, "bucket long, h1 long, n long, root long")
+    cells = defaultdict(set)
+    for r in minhash._cells(apart, 300).collect():
+        cells[r.a, r.b].add(r.node)
+    held = {frozenset((x, y)) for nodes in cells.values() for x in nodes for y in nodes}
+    assert all(frozenset((a, b)) in held for k, a, *_ in rows for m, b, *_ in rows if k == m)
+    asked = sum(len(v) for v in cells.values())
+    assert asked <= 400 + 2 * 80
+
+
 def test_production_block_at_width_2_and_5(spark, make_docs, edge_texts):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
