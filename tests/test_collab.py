@@ -176,3 +176,27 @@ def test_popularity_recs_equal_a_plain_ranking(spark):
     for u in seen:
         want = [i for i in order if i not in seen[u]][:4]
         assert [r["item_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["user_id"] == u] == want
+
+
+def test_queries_use_the_proved_tolerance(spark, monkeypatch):
+    """The planted spectra at the operator's own tolerance, which is what every registered query uses."""
+    import inspect
+
+    import pytest
+
+    from marquee.plans import collab_queries as Q
+
+    class Called(Exception):
+        pass
+
+    def seen(entries, *args, **kw):
+        raise Called(args, kw)
+
+    assert inspect.signature(CF.truncated_svd).parameters["tol"].default <= 1e-9
+    monkeypatch.setattr(CF, "truncated_svd", seen)
+    monkeypatch.setattr(Q, "_MODELS", {})
+    for build in (Q.model, Q.brand_model, Q._eval_model, Q.q_svd_uncentered):
+        with pytest.raises(Called) as e:
+            build(spark, "/root/testdata/sf0.001")
+        args, kw = e.value.args
+        assert len(args) == 1 and "tol" not in kw
