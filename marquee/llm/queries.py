@@ -173,3 +173,53 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model, with_text=False)
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds unrolled: a(r) assigns every vector to the centroids c(r), c(r+1) are its floored means."""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT rid, unnest(w) AS x, unnest(range(64)) AS i FROM v
+), c0 AS MATERIALIZED (
+  SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, w) - 1 AS c, w FROM v)
+  WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, c, d FROM (
+    SELECT rid, c, d, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS n FROM (
+      SELECT v.rid, c{r}.c, CAST(list_sum(list_transform(list_zip(v.w, c{r}.w),
+             lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{r})) WHERE n = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, list(m ORDER BY i) AS w FROM (
+    SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+      SELECT a{r}.c, x.i, sum(x.x) AS s, count(*) AS n FROM a{r} JOIN x USING (rid) GROUP BY 1, 2)) GROUP BY c
+  UNION ALL SELECT c, w FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.c"""
+
+
+@_register("op13_dimension_lloyd", _lloyd_sql())
+def op13_dimension_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every 64-component embedding after three rounds of Lloyd."""
+    from hashlib import sha256
+
+    from marquee.llm import lloyd
+    vectors = lloyd.quantised(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64)
+    found = lloyd.lloyd(vectors, 64, k=16, rounds=3, seed=1)
+    totals = found.totals
+    names = spark.createDataFrame([(i, sha256(",".join(map(str, c)).encode()).hexdigest())
+                                   for i, c in enumerate(found.centroids.tolist())], "cluster int, centroid_sha256 string")
+    whole = totals.agg(F.sum("inertia").alias("inertia"))
+    clusters = (totals.withColumnRenamed("inertia", "cluster_inertia").join(F.broadcast(names), "cluster")
+                .join(F.broadcast(whole), how="inner", on=F.lit(True)))  # at most k rows
+    return found.assigned.join(F.broadcast(clusters), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
