@@ -223,3 +223,25 @@ def op13_dimension_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .join(F.broadcast(whole), how="inner", on=F.lit(True)))  # at most k rows
     return found.assigned.join(F.broadcast(clusters), "cluster").select(
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@_register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words and more of every document (a tenth of them made periodic first), the
+    longest one, and digests of all of them and of the text without their repeats."""
+    from marquee.llm import runs
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("seed", F.when(h % 10 == 0, F.floor(h / 10)))
+    found = runs.periodic_runs(docs, min_length=12, seed_col="seed")
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"),
+                                                   F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("flip"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.flip")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.flip)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
