@@ -245,3 +245,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(1000 * best.length) div (-best.flip)").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@_register("op11_signature_join")
+def op11_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of linked documents (3-word shingles, similarity 0.9) of every document."""
+    from marquee.llm import signature_trees
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return signature_trees.linked_classes(docs, width=3, percent=90).withColumnRenamed("key", "doc_id")
