@@ -206,8 +206,8 @@ def _traverse(forest: list[dict], percent: int) -> Iterator[tuple[np.ndarray, np
 
 
 def _matcher(percent: int, exact: bool):
-    """Links of a cell, a spanning set of them: between sets (``data``: their hashes), or
-    between bitmaps, where a link means that the bound does not rule it out."""
+    """What the links of a cell join, as stars of roots: links between sets (``data``: their
+    hashes), or between bitmaps, where a link means that the bound does not rule it out."""
     def match(table: pa.Table) -> pa.Table:
         out: tuple[list, list] = ([], [])
         keep = [i for i, d in enumerate(table["data"].to_pylist()) if d is not None]
@@ -227,7 +227,7 @@ def _matcher(percent: int, exact: bool):
 
 
 def _join(data, grp, node, side, root, n, percent, exact, out):
-    _, kind = np.unique(root, return_inverse=True)
+    roots, kind = np.unique(root, return_inverse=True)
     union = _Union(int(kind.max()) + 1)
     sets = [np.frombuffer(d, dtype=np.uint64) for d in data] if exact else None
     maps = [_bitmap(s, _width(len(s))) for s in sets] if exact else [np.frombuffer(d, dtype=np.uint8) for d in data]
@@ -244,8 +244,6 @@ def _join(data, grp, node, side, root, n, percent, exact, out):
                 if 100 * both < percent * (len(s) + len(t) - both):
                     continue
             union.top[a] = b
-            out[0].append(int(node[x]))
-            out[1].append(int(node[y]))
 
     for width in np.unique(widths):
         rows = np.flatnonzero((widths == width) | (widths == 2 * width))  # others differ too much in size
@@ -273,16 +271,22 @@ def _join(data, grp, node, side, root, n, percent, exact, out):
                 x, y = rows[i[c:c + 2048]], rows[j[c:c + 2048]]
                 apart = label[x] != label[y]
                 link(zip(x[apart].tolist(), y[apart].tolist()))
+    label = union.labels()  # what came together as a star around its smallest root
+    first = np.full(len(roots), len(roots))
+    np.minimum.at(first, label, np.arange(len(roots)))
+    moved = np.flatnonzero(first[label] != np.arange(len(roots)))
+    out[0].extend(roots[first[label[moved]]].tolist())
+    out[1].extend(roots[moved].tolist())
 
 
 # ---------------------------------------------------------------------- the join
 def _linked(rows: DataFrame, groups: DataFrame, send: Callable[[DataFrame], DataFrame], percent: int, exact: bool,
             most_rows: int, most_weight: int, name: str) -> DataFrame:
-    """Links ``(u, v)`` within groups that connect all that is linked. ``rows``: grp, node, weight;
+    """``node, root`` of all that is linked within groups. ``rows``: grp, node, weight;
     ``groups``: grp, lead (smallest node), members, weight; ``send`` adds ``n, data`` to requests."""
     total = groups.agg(F.sum("members"), F.sum("weight")).first()
     if not total[0]:
-        return rows.sparkSession.createDataFrame([], "u long, v long")
+        return rows.sparkSession.createDataFrame([], "node long, root long")
     batches = max(1, -(-total[0] // (8 * most_rows)), -(-total[1] // most_weight))
     salts = F.ceil(F.greatest(F.col("members") / most_rows, F.col("weight") / most_weight))
     groups = written(groups.select("grp", "lead", salts.alias("salts")), f"{name}-groups")
@@ -301,11 +305,10 @@ def _linked(rows: DataFrame, groups: DataFrame, send: Callable[[DataFrame], Data
         return written(send(asked).groupBy("cell", "a", "b").applyInArrow(_matcher(percent, exact), "u long, v long"),
                        f"{name}-{step}")
 
-    links = match(whole.unionByName(guests), "links")
+    roots = written(components(match(whole.unionByName(guests), "links")), f"{name}-roots")
     large = groups.where("salts > 1")
     if not large.limit(1).count():
-        return links
-    roots = written(components(links), f"{name}-roots")
+        return roots
     root = lambda d, c, out: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(
         out, F.coalesce(out, c))
     placed = written(root(root(within.where("salts > 1").select("grp", "node", "weight", "lead", "salts"), "node", "root"),
@@ -313,6 +316,8 @@ def _linked(rows: DataFrame, groups: DataFrame, send: Callable[[DataFrame], Data
     apart = placed.where("root <> first")
     lefts = written(apart.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / most_rows, F.sum("weight") / most_weight))
                                              .alias("lefts")), f"{name}-apart")
+    if not lefts.limit(1).count():
+        return roots
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = apart.join(lefts, "grp").select(
         "grp", "node", "root", F.lit(1).alias("side"), F.col("grp").alias("cell"), deal("node", F.col("lefts")).alias("a"),
@@ -320,9 +325,13 @@ def _linked(rows: DataFrame, groups: DataFrame, send: Callable[[DataFrame], Data
     right = placed.join(lefts, "grp").select(
         "grp", "node", "root", F.lit(2).alias("side"), F.col("grp").alias("cell"), every("lefts").alias("a"),
         deal("node", F.col("salts")).alias("b"))
-    if not lefts.limit(1).count():
-        return links
-    return links.unionByName(match(left.unionByName(right), "rest"))
+    rest = match(left.unionByName(right), "rest")
+    if not rest.limit(1).count():
+        return roots
+    tops = written(components(rest), f"{name}-tops")  # links of roots: a root of a root is the root
+    joined = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    alone = tops.join(roots, "node", "left_anti")
+    return joined.select("node", F.coalesce("top", "root").alias("root")).unionByName(alone.select("node", "root"))
 
 
 def _setter(width: int, seed: int):
@@ -391,7 +400,7 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     bitmaps = prefixes.select("node", "n", "data")
     found = _linked(held.select("grp", "node", "weight"), groups, lambda asked: asked.join(bitmaps, "node").select(
         *[c.split()[0] for c in REQUEST.split(", ")]), percent, False, most_rows, 8 * most_shingles, "candidates")
-    near = written(components(found).join(classes.select(F.col("h1").alias("node"), F.col("n").alias("weight")), "node")
+    near = written(found.join(classes.select(F.col("h1").alias("node"), F.col("n").alias("weight")), "node")
                    .select(F.col("root").alias("grp"), "node", "weight"), "near")
     sizes = near.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members"),
                                     F.sum("weight").alias("weight"))
@@ -402,8 +411,7 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
         return (texts.join(asked, texts["mark"].eqNullSafe(asked["_m"]) & texts["key"].eqNullSafe(asked["_k"]))
                 .select("grp", "node", "root", "side", "cell", "a", "b", "text").mapInArrow(_setter(width, seed), REQUEST))
 
-    links = _linked(near, sizes, with_sets, percent, True, most_rows, most_shingles, "exact")
-    roots = written(components(links), "roots")
+    roots = _linked(near, sizes, with_sets, percent, True, most_rows, most_shingles, "exact")
     named = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
         "h1", "first", F.coalesce("root", "h1").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("name"))
