@@ -1,12 +1,12 @@
 """Collaborative filtering: centred rating matrix, truncated SVD, fold-in,
 predictions, top-n for users, and the hybrid blend with explanations.
 
-Truncated SVD is a block Krylov (Lanczos) iteration with full
-reorthogonalization, stopped by the residual of the k leading vectors: every pass
-is a join + keyed aggregate over the rating entries, so its cost is linear in the
-number of ratings and a user with a third of all ratings is just a large partial
-aggregate; only matrices of the size of the basis reach the driver. The tables of a
-step are written to the shared folder, so lost executors recompute at most one pass.
+Truncated SVD restarts a basis of fixed width from its Ritz vectors (filtered by a Chebyshev
+polynomial of A^T A), stopped by the residual of the k leading vectors. Ratings lie in cells of
+a block of users and a block of items (``functions/blocks.py``), so a pass is linear in the number of
+ratings, and a user with a third of all ratings is spread over all item blocks; only matrices of the basis'
+width reach the driver. The tables of a step are written to the shared folder, so lost
+executors recompute at most one product.
 
 Scoring every item for each request (top-n for users, fold-in) is a product of
 blocks of requests with blocks of items: one group per pair of blocks, numpy inside
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions import blocks as BL
 from marquee.functions import linalg as LA
 from marquee.functions.positions import POS, first_free, positions
 from marquee.session import written
@@ -54,67 +55,88 @@ def matrix_status(entries: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ R2
-def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, extra: int = 10,
-                  max_steps: int = 500, seed: int = 42) -> dict:
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """The turn that makes columns of this Gram matrix orthonormal; dependent ones drop out."""
+    length = np.sqrt(np.diag(gram))
+    length = np.where(length > 1e-150, length, np.inf)
+    lam, u = np.linalg.eigh(gram / length[:, None] / length[None, :])
+    good = lam > 1e-13 * max(lam[-1], 1e-300)
+    return (u[:, good] / np.sqrt(lam[good])) / length[:, None]
+
+
+def _ritz(gram: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ritz values, largest first, and the turn to their vectors."""
+    low = np.linalg.inv(np.linalg.cholesky((gram + gram.T) / 2))
+    t = low @ ((image + image.T) / 2) @ low.T
+    theta, s = np.linalg.eigh((t + t.T) / 2)
+    return theta[::-1], low.T @ s[:, ::-1]
+
+
+def _spread(theta: np.ndarray, cut: float, most: int) -> int:
+    """Degree of the filter on [0, cut]: as high as double precision bears, at most ``most``."""
+    at = 2.0 * theta[0] / cut - 1.0
+    return most if at <= 1.0 else max(1, min(most, int(16.0 / np.arccosh(at))))
+
+
+def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, width: int | None = None,
+                  max_cycles: int = 200, degree: int = 20, seed: int = 42, block: int = 4096) -> dict:
     """R2: rank-k SVD ``A ~ U diag(s) V^T`` of the (user, item, value) matrix.
 
     Returns ``sigma`` (numpy, descending), ``users`` (key, vec = U row) and
     ``items`` (key, vec = V row) factor tables. ``k`` is capped at
-    ``min(shape) - 1``. Blocks of ``k + extra`` vectors are added to the basis until
-    ``|A^T A v - s^2 v| <= tol * s_1^2`` for all k vectors, or the basis is closed under
-    ``A^T A`` (then the result is exact up to rounding). Not converging raises.
+    ``min(shape) - 1``. A basis of fixed ``width`` (4k, or all items if fewer) is restarted in every
+    cycle from its Ritz vectors: a Chebyshev polynomial of A^T A that is small on the
+    unwanted part of the spectrum (zero to the smallest Ritz value) is applied to them, the result made orthonormal,
+    and Ritz vectors taken anew, until ``|A^T A v - s^2 v| <= tol * s_1^2`` for the k leading ones. A basis
+    that closes under ``A^T A`` is exact up to rounding. Not converging raises.
     """
-    shape = entries.agg(F.count_distinct("user_id").alias("u"),
-                        F.count_distinct("item_id").alias("i")).first()
-    if not shape["u"] or not shape["i"]:
+    a = BL.cells(written(entries.select("user_id", "item_id", "value"), "entries"), "user_id", "item_id", "value", block)
+    if not a.n_rows or not a.n_cols:
         raise ValueError("empty rating matrix")
-    k = max(1, min(k, min(shape["u"], shape["i"]) - 1))
-    width = min(k + extra, shape["i"])
-    a = written(entries.select("user_id", "item_id", "value"), "entries")
-    start = written(LA.random_block(a.select("item_id").distinct(), "item_id", width, seed), "start")
-    lam, u = np.linalg.eigh(LA.gram(start, width))
-    good = lam > 1e-12 * lam[-1]
-    last = basis = written(LA.transform(start, u[:, good] / np.sqrt(lam[good])), "basis")
-    width = m = int(good.sum())
-    t = np.zeros((0, 0))
-    for _ in range(max_steps):
-        y = LA.multiply(a, last, "user_id", "item_id", width)
-        w = written(LA.multiply(a, y, "item_id", "user_id", width), "right")
-        both = basis.join(w.withColumnRenamed(LA.VEC, "w"), "key")
-        h = LA.cross_gram(both, LA.VEC, "w", (m, width))
-        grown = np.zeros((m, m))
-        grown[:m - width, :m - width] = t
-        grown[:, m - width:] = h
-        grown[m - width:, :] = h.T
-        t = grown
-        rest = written(both.select("key", LA.VEC, LA.combine(
-            [F.col("w"), F.col(LA.VEC)], [np.eye(width), -h]).alias("w")), "rest")
-        h2 = LA.cross_gram(rest.withColumn("both", F.concat(LA.VEC, "w")), "both", "w", (m + width, width))
-        h2, g = h2[:m], h2[m:]
-        g = g - h2.T @ h2
-        theta, s = np.linalg.eigh((t + t.T) / 2)
-        theta, s = theta[::-1], s[:, ::-1]
-        lam, u = np.linalg.eigh((g + g.T) / 2)
-        good = lam > (1e-13 * max(theta[0], 1e-300)) ** 2
-        coupling = np.sqrt(lam[good])[:, None] * u[:, good].T
-        residual = np.linalg.norm(coupling @ s[m - width:, :k], axis=0) if good.any() else np.zeros(1)
-        if m >= k and residual.max(initial=0.0) <= tol * max(theta[0], 1e-300):
+    k = max(1, min(k, min(a.n_rows, a.n_cols) - 1))
+    width = min(width or 4 * k, a.n_cols)
+
+    def image(x: DataFrame, w: int, **kw) -> DataFrame:
+        return BL.product(a, BL.product(a, x, w), w, transposed=True, **kw)
+
+    starts = a.col_keys.select(F.col("block").alias("key"), F.size("keys").alias("n"))
+
+    def first(batches):
+        for batch in batches:
+            made = [np.random.default_rng([seed, b]).choice([-1.0, 1.0], (n, width)).tobytes()
+                    for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "m"])
+
+    x = written(starts.mapInArrow(first, "key int, m binary"), "start")
+    for cycle in range(max_cycles):
+        turn = _orthonormal(BL.gathered(x, ["m"], [width], lambda m: m.T @ m, a.col_blocks).reshape(width, width))
+        w = turn.shape[1]
+        q = written(BL.mapped(x, ["m"], [width], ["m"], lambda m, t=turn: [m @ t]), "basis")
+        both = written(q.join(image(q, w).withColumnRenamed("m", "im"), "key"), "image")
+        g = BL.gathered(both, ["m", "im"], [w, w], lambda m, im: m.T @ np.hstack([m, im]), a.col_blocks).reshape(w, 2 * w)
+        theta, turn = _ritz(g[:, :w], g[:, w:])
+        kept = min(k, w)
+        ritz = written(BL.mapped(both, ["m", "im"], [w, w], ["m", "im", "rest"], lambda m, im, t=turn, h=theta, n=kept: [
+            m @ t, im @ t, (((im @ t[:, :n]) - (m @ t[:, :n]) * h[:n]) ** 2).sum(axis=0)]), "ritz")
+        rest = np.sqrt(BL.gathered(ritz, ["rest"], [kept], lambda r: r.sum(axis=0), a.col_blocks))
+        if rest.max() <= tol * max(theta[0], 1e-300):
             break
-        turn = u[:, good] / np.sqrt(lam[good])
-        grown = written(rest.select("key", LA.VEC, LA.combine(
-            [F.col("w"), F.col(LA.VEC)], [turn, -h2 @ turn]).alias("q")), "grown")
-        last = grown.select("key", F.col("q").alias(LA.VEC))
-        basis = grown.select("key", F.concat(LA.VEC, "q").alias(LA.VEC))
-        width = int(good.sum())
-        m += width
+        half = max(theta[-1], 1e-14 * theta[0]) / 2
+        steps = _spread(theta, 2 * half, min(degree, 4 << cycle))
+        before = ritz.select("key", "m")
+        now = written(BL.mapped(ritz, ["m", "im"], [w, w], ["m"], lambda m, im, h=half: [(im - h * m) / h]), "filtered")
+        for _ in range(steps - 1):  # T_n+1 = 2 (A^T A - h) / h T_n - T_n-1
+            before, now = now, written(image(now, w, scale=2 / half, also=[(now, -2.0), (before, -1.0)]), "filtered")
+        x, width = now, w
     else:
         raise RuntimeError("the singular vectors did not converge")
-    k = min(k, m)
+    k = kept
     sigma = np.sqrt(np.clip(theta[:k], 0.0, None))
     inv = np.where(sigma > 1e-12 * max(sigma[0], 1e-300), 1.0 / np.maximum(sigma, 1e-300), 0.0)
-    items = written(LA.transform(basis, s[:, :k]), "items")
-    users = written(LA.transform(LA.multiply(a, items, "user_id", "item_id", k), np.diag(inv)), "users")
-    return {"sigma": sigma, "users": users, "items": items, "k": k}
+    v = written(BL.mapped(ritz, ["m"], [w], ["m"], lambda m, n=k: [m[:, :n]]), "items")
+    u = BL.mapped(BL.product(a, v, k), ["m"], [k], ["m"], lambda m: [m * inv])
+    return {"sigma": sigma, "users": written(BL.rows(u, a.row_keys, k), "users"),
+            "items": written(BL.rows(v, a.col_keys, k), "items"), "k": k}
 
 
 def factor_tables(svd: dict, means: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,11 +158,12 @@ def _dot(a: str, b: str):
 def predict_rating(user_factors: DataFrame, item_factors: DataFrame, requests: DataFrame,
                    lo: float = 0.5, hi: float = 5.0) -> DataFrame:
     """Predicted rating for (request_id, user_id, item_id), clipped and
-    rounded to 2; null with a reason when a side is outside the model."""
+    rounded to 2 (through nine places, so a decimal tie does not hang on the last bit); null
+    with a reason when a side is outside the model."""
     j = (requests.join(user_factors, "user_id", "left").join(item_factors, "item_id", "left"))
     raw = _dot("us", "v") + F.col("mu")
     pred = F.when(F.col("us").isNotNull() & F.col("v").isNotNull(),
-                  F.round(F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)), 2))
+                  F.round(F.round(F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)), 9), 2))
     reason = (F.when(F.col("us").isNull(), F.lit("unknown_user"))
               .when(F.col("v").isNull(), F.lit("unknown_item")).otherwise(F.lit("ok")))
     return j.select("request_id", "user_id", "item_id", pred.alias("predicted"),
@@ -266,6 +289,116 @@ def cf_scores(item_factors: DataFrame, liked: DataFrame, catalog_ids: DataFrame,
                       _norm(F.lit(0.0), F.col("lo"), F.col("hi")).alias("zero_norm"))
 
 
+def _ranges(mu: float):
+    """Per request least and largest score of a block of items, and their number."""
+    def span(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows if right.num_rows else 0
+        s = _rows(left["q"]) @ _rows(right["v"]).T + mu if n else np.zeros((0, 1))
+        return pa.table({"request_id": left["request_id"].slice(0, n), "mn": pa.array(s.min(axis=1)),
+                         "mx": pa.array(s.max(axis=1)), "n": pa.array(np.full(n, right.num_rows, dtype=np.int64))})
+
+    return span
+
+
+def _dealt(items: DataFrame, requests: DataFrame, block_items: int, block_requests: int):
+    """Both sides dealt over pairs of blocks (rb, ib), and the block of an item."""
+    items_in = max(1, -(-items.count() // block_items))
+    requests_in = max(1, -(-requests.count() // block_requests))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = requests.select("*", block("request_id", requests_in).alias("rb"), every(items_in).alias("ib"))
+    right = items.select("item_id", "v", block("item_id", items_in).alias("ib"), every(requests_in).alias("rb"))
+    return left, right, lambda c: block(c, items_in)
+
+
+def cf_ranges(item_factors: DataFrame, vectors: DataFrame, catalog_ids: DataFrame, mu: float,
+              block_items: int = 4096, block_requests: int = 1024) -> DataFrame:
+    """Per request of ``vectors`` (request_id, q) the ends ``lo, hi`` of its fold-in scores over the
+    whole catalog (items outside the model are 0, W5), and ``top``, the largest normalised one, from
+    one row per request and block of items. Requests without a model item in the catalog are absent."""
+    ids = catalog_ids.select(F.col("id").cast("long").alias("item_id")).distinct()
+    items = item_factors.select("item_id", "v").join(ids, "item_id", "left_semi")
+    left, right, _ = _dealt(items, vectors.select("request_id", "q"), block_items, block_requests)
+    spans = left.groupBy("rb", "ib").cogroup(right.groupBy("rb", "ib")).applyInArrow(
+        _ranges(mu), "request_id long, mn double, mx double, n long")
+    per = spans.groupBy("request_id").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("n").alias("n"))
+    per = per.join(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n_catalog"))), how="inner", on=F.lit(True))
+    zero = F.col("n") < F.col("n_catalog")
+    ends = per.select("request_id", "mx", F.when(zero, F.least("mn", F.lit(0.0))).otherwise(F.col("mn")).alias("lo"),
+                      F.when(zero, F.greatest("mx", F.lit(0.0))).otherwise(F.col("mx")).alias("hi"))
+    return ends.select("request_id", "lo", "hi", _norm(F.col("mx"), F.col("lo"), F.col("hi")).alias("top"))
+
+
+def _blend(mu: float, alpha: float, n: int):
+    """The best ``n`` of a block of catalog items for each request of a block."""
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            ids = right["item_id"].combine_chunks().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], right["v"].combine_chunks()
+            known = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False)[order])
+            v = _rows(right["v"].take(order[known])) if len(known) else None
+            for r in left.to_pylist():
+                f = np.full(len(ids), r["zf"])
+                if v is not None and r["q"] is not None and r["lo"] is not None:
+                    wide = r["hi"] - r["lo"]
+                    f[known] = (v @ np.array(r["q"]) + mu - r["lo"]) / wide if wide > 0 else 0.0
+                c = np.full(len(ids), r["zc"])
+                if r["items"]:
+                    at = np.searchsorted(ids, r["items"])
+                    here = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == r["items"])
+                    c[at[here]] = np.array(r["norms"])[here]
+                score = (1 - alpha) * c + alpha * f
+                fit = score > 0
+                if r["own"]:
+                    fit[np.isin(ids, np.array(r["own"], dtype=np.int64))] = False
+                at = np.flatnonzero(fit)
+                at = at[np.lexsort((ids[at], -np.round(score[at], 9)))[:n]]
+                out[0].append(np.full(len(at), r["request_id"], dtype=np.int64))
+                out[1].append(ids[at])
+                out[2].append(score[at])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        return pa.table({"request_id": pa.array(join(out[0], "i8"), pa.int64()),
+                         "item_id": pa.array(join(out[1], "i8"), pa.int64()),
+                         "score": pa.array(join(out[2], "f8"), pa.float64())})
+
+    return best
+
+
+def hybrid_topn(content: DataFrame, item_factors: DataFrame, liked: DataFrame, catalog_ids: DataFrame, mu: float,
+                k: int, alpha: float = 0.5, n: int = 20, block_items: int = 4096, block_requests: int = 256) -> DataFrame:
+    """R7 like ``hybrid_recommend``, without a table of requests times items: the collaborative
+    scores are made and blended where they are needed, in the pair of a block of requests and a
+    block of catalog items, and at most ``n`` rows leave it per request.
+
+    ``content`` carries (request_id, item_id, norm, zero_norm). A first pass finds each request's ends
+    of the collaborative scores (one row per request and block), a second one blends: an item that an
+    engine does not cover takes that engine's value for 0. Liked items are masked, scores must be
+    positive, ties go to the smaller id."""
+    alpha = float(max(0.0, min(1.0, alpha)))
+    vectors = written(fold_in_vectors(item_factors, liked, mu, k).select("request_id", "q"), "requests")
+    ends = cf_ranges(item_factors, vectors, catalog_ids, mu, block_items, block_requests)
+    zero = content.groupBy("request_id").agg(F.first("zero_norm").alias("zc"))
+    requests = written(
+        liked.select("request_id").distinct().join(vectors, "request_id", "left").join(ends, "request_id", "left")
+        .join(zero, "request_id", "left")
+        .select("request_id", "q", "lo", "hi", _norm(F.lit(0.0), F.col("lo"), F.col("hi")).alias("zf"),
+                F.coalesce("zc", F.lit(0.0)).alias("zc")), "ends")
+    items = written(catalog_ids.select(F.col("id").cast("long").alias("item_id")).distinct()
+                    .join(item_factors.select("item_id", "v"), "item_id", "left"), "catalog")
+    left, right, block = _dealt(items, requests, block_items, block_requests)
+    norms = (content.select("request_id", F.col("item_id").cast("long").alias("item_id"), "norm", block("item_id").alias("ib"))
+             .groupBy("request_id", "ib").agg(F.collect_list(F.struct("item_id", "norm")).alias("c"))  # of one block
+             .select("request_id", "ib", F.col("c.item_id").alias("items"), F.col("c.norm").alias("norms")))
+    own = (liked.select("request_id", F.col("item_id").cast("long").alias("item_id")).distinct()
+           .groupBy("request_id", block("item_id").alias("ib")).agg(F.collect_list("item_id").alias("own")))
+    left = left.join(norms, ["request_id", "ib"], "left").join(own, ["request_id", "ib"], "left")
+    best = left.groupBy("rb", "ib").cogroup(right.groupBy("rb", "ib")).applyInArrow(_blend(mu, alpha, n), _SCORES)
+    w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), F.asc("item_id"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def hybrid_recommend(content: DataFrame, cf: DataFrame, liked: DataFrame, catalog_ids: DataFrame,
                      alpha: float = 0.5, n: int = 20) -> DataFrame:
     """``(1 - alpha) * content + alpha * cf`` over the whole catalog,

@@ -22,6 +22,7 @@ from marquee.plans.content_queries import tfidf
 from marquee.plans.fixtures import view, with_views
 from marquee.plans.linkage_queries import _FIX_SQL, _V, _bridged
 from marquee.plans.registry import register
+from marquee.session import written
 from marquee.sources.tables import read_table
 
 K = 50
@@ -198,11 +199,16 @@ def brand_model(spark, d):
 
 
 def brand_likes(spark, d):
-    part = read_table(spark, d, "part", "p_partkey", "p_brand").where("p_partkey <= 100")
-    n = read_table(spark, d, "nation", "n_nationkey")
-    return n.join(part, F.col("n_nationkey") == F.pmod("p_partkey", F.lit(25))).select(
-        F.col("n_nationkey").cast("bigint").alias("request_id"),
-        F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint").alias("item_id")).distinct()
+    """Each nation (a request) likes the brands that more of its parts have than its brands do on average."""
+    part = read_table(spark, d, "part", "p_partkey", "p_brand")
+    n = (part.groupBy(F.pmod("p_partkey", F.lit(25)).alias("nk"),
+                      F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint").alias("item_id"))
+         .agg(F.count(F.lit(1)).alias("n")))
+    mean = n.groupBy("nk").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("brands"))
+    over = n.join(mean, "nk").where(F.col("n") * F.col("brands") > F.col("total"))
+    nation = read_table(spark, d, "nation", "n_nationkey")
+    return nation.join(over, F.col("n_nationkey") == F.col("nk")).select(
+        F.col("n_nationkey").cast("bigint").alias("request_id"), "item_id")
 
 
 _BRAND_SQL = [*_FIX_SQL, ("br", """
@@ -236,25 +242,63 @@ def q_recommend_users_full_rank(spark, d):
     return r.select("user_id", "item_id", r6("score").alias("score"), "rank")
 
 
-@register("fold_in_full_rank", with_views(_V, *_BRAND_SQL, ("lk", """
-  SELECT DISTINCT CAST(n.n_nationkey AS BIGINT) AS request_id,
-         CAST(regexp_extract(p.p_brand, '[0-9]+') AS BIGINT) AS item_id
-  FROM nation n JOIN part p ON p.p_partkey % 25 = n.n_nationkey WHERE p.p_partkey <= 100"""), final="""
-SELECT r.request_id, i.item_id, round(g.mu + (5.0 - g.mu) * ((l.item_id IS NOT NULL)::INT - r.n / c.n), 6) AS score
-FROM (SELECT k.request_id, count(*) AS n FROM lk k JOIN items USING (item_id) GROUP BY 1) r
-CROSS JOIN items i CROSS JOIN (SELECT avg(rating) AS mu FROM br) g CROSS JOIN (SELECT count(*) AS n FROM items) c
-LEFT JOIN lk l ON l.request_id = r.request_id AND l.item_id = i.item_id"""))
+_BRAND_LIKES_SQL = [("bn", """
+  SELECT p_partkey % 25 AS nk, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS item_id, count(*) AS n
+  FROM part GROUP BY 1, 2"""), ("lk", """
+  SELECT CAST(n.n_nationkey AS BIGINT) AS request_id, b.item_id FROM nation n JOIN (
+    SELECT *, sum(n) OVER (PARTITION BY nk) AS total, count(*) OVER (PARTITION BY nk) AS brands FROM bn) b
+  ON b.nk = n.n_nationkey WHERE b.n * b.brands > b.total""")]
+
+_FOLD_IN_SQL = [("g", "SELECT avg(rating) AS mu FROM br"), ("fold", """
+  SELECT r.request_id, i.item_id, g.mu + (5.0 - g.mu) * ((l.item_id IS NOT NULL)::INT - r.n / c.n) AS raw
+  FROM (SELECT k.request_id, count(*) AS n FROM lk k JOIN items USING (item_id) GROUP BY 1) r
+  CROSS JOIN items i CROSS JOIN g CROSS JOIN (SELECT count(*) AS n FROM items) c
+  LEFT JOIN lk l ON l.request_id = r.request_id AND l.item_id = i.item_id""")]
+
+
+@register("fold_in_full_rank", with_views(_V, *_BRAND_SQL, *_BRAND_LIKES_SQL, *_FOLD_IN_SQL, final="""
+SELECT request_id, item_id, round(raw, 6) AS score FROM fold"""))
 def q_fold_in_full_rank(spark, d):
     m = brand_model(spark, d)
     s = CF.fold_in_scores(m["items"], brand_likes(spark, d), m["mu"], m["k"])
     return s.select("request_id", "item_id", r6("score").alias("score"))
 
 
+@register("predict_full_rank", with_views(_V, *_BRAND_SQL, ("rq", """
+  SELECT CAST(c_custkey AS BIGINT) AS request_id, CAST(c_custkey AS BIGINT) AS user_id,
+         CAST(c_custkey % 27 AS BIGINT) AS item_id FROM customer"""), ("p", """
+  SELECT r.*, m.mu IS NOT NULL AS has_user, i.item_id IS NOT NULL AS has_item,
+         least(greatest(m.mu + coalesce(e.value, 0), 0.5), 5.0) AS x
+  FROM rq r LEFT JOIN um m USING (user_id) LEFT JOIN items i ON i.item_id = r.item_id
+  LEFT JOIN e ON e.user_id = r.user_id AND e.item_id = r.item_id"""), ("f", """
+  SELECT *, CASE WHEN has_user AND has_item THEN floor(round(x, 9) * 100 + 0.500001) / 100 END AS predicted FROM p"""),
+    final="""
+SELECT request_id, user_id, item_id, predicted, predicted * 2 AS predicted_10,
+       CASE WHEN NOT has_user THEN 'unknown_user' WHEN NOT has_item THEN 'unknown_item' ELSE 'ok' END AS reason FROM f"""))
+def q_predict_full_rank(spark, d):
+    m = brand_model(spark, d)
+    c = read_table(spark, d, "customer", "c_custkey")
+    requests = c.select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("user_id"),
+                        F.pmod("c_custkey", F.lit(27)).alias("item_id"))
+    return CF.predict_rating(m["users"], m["items"], requests)
+
+
 # ------------------------------------------------------------ R7 - R9, U1-U4
+def _hybrid(spark, d, alpha=0.5, content=None):
+    m = model(spark, d)
+    return CF.hybrid_topn(_content(spark, d) if content is None else content, m["items"], liked_lists(spark, d),
+                          _catalog_ids(spark, d), m["mu"], m["k"], alpha, 20)
+
+
+def _cf_tops(items, liked, catalog_ids, mu, k):
+    """Largest normalised collaborative score of each request, as ``hybrid_status`` reads it."""
+    vectors = CF.fold_in_vectors(items, liked, mu, k)
+    return CF.cf_ranges(items, vectors, catalog_ids, mu).select("request_id", F.col("top").alias("norm"))
+
+
 @register("hybrid_recommend")
 def q_hybrid_recommend(spark, d):
-    return CF.hybrid_recommend(_content(spark, d), _cf(spark, d), liked_lists(spark, d),
-                               _catalog_ids(spark, d), 0.5, 20)
+    return _hybrid(spark, d)
 
 
 _LIKED_SQL = ("liked", """
@@ -319,21 +363,112 @@ def q_engine_coverage(spark, d):
 
 @register("hybrid_status")
 def q_hybrid_status(spark, d):
-    content, cf = _content(spark, d), _cf(spark, d)
-    recs = CF.hybrid_recommend(content, cf, liked_lists(spark, d), _catalog_ids(spark, d), 0.5, 20)
-    cov = CF.seed_coverage(liked_lists(spark, d), _content_index(spark, d), _cf_index(spark, d))
-    return CF.hybrid_status(cov, content, cf, recs, 0.5)
+    m, liked = model(spark, d), liked_lists(spark, d)
+    content = written(_content(spark, d), "content")
+    tops = _cf_tops(m["items"], liked, _catalog_ids(spark, d), m["mu"], m["k"])
+    cov = CF.seed_coverage(liked, _content_index(spark, d), _cf_index(spark, d))
+    return CF.hybrid_status(cov, content, tops, _hybrid(spark, d, content=content), 0.5)
 
 
-@register("explain_recs")
-def q_explain_recs(spark, d):
-    content, cf = _content(spark, d), _cf(spark, d)
-    liked = liked_lists(spark, d)
-    recs = CF.hybrid_recommend(content, cf, liked, _catalog_ids(spark, d), 0.5, 20)
+def _explained(spark, d, recs, liked):
     sims = T.seed_scores(tfidf(spark, d)["weights"], liked)
     used = liked.join(_content_index(spark, d).select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    return CF.explain_recs(recs, sims, used, view(spark, d, "doc").select(
-        "id", F.col("overview").alias("title")))
+    return CF.explain_recs(recs, sims, used, view(spark, d, "doc").select("id", F.col("overview").alias("title")))
+
+
+@register("explain_recs")
+def q_explain_recs(spark, d):
+    return _explained(spark, d, _hybrid(spark, d), liked_lists(spark, d))
+
+
+# ------------------- R7 - R9 where SQL can state them: brands as collaborative items
+def full_rank_likes(spark, d):
+    """Brand numbers as liked ids (documents of these numbers are the content side); every second
+    request also has an id that no engine covers, every eighth has nothing else."""
+    likes = brand_likes(spark, d).where(F.col("request_id") % 8 != 7)
+    unknown = read_table(spark, d, "nation", "n_nationkey").where(F.col("n_nationkey") % 2 == 1).select(
+        F.col("n_nationkey").cast("bigint").alias("request_id"), (F.col("n_nationkey") + 1_000_000_000).cast("bigint").alias(
+            "item_id"))
+    return likes.unionByName(unknown)
+
+
+def _full_rank_hybrid(spark, d, alpha, content=None):
+    m, liked = brand_model(spark, d), full_rank_likes(spark, d)
+    if content is None:
+        content = T.content_scores(tfidf(spark, d)["weights"], liked, _catalog_ids(spark, d))
+    return CF.hybrid_topn(content, m["items"], liked, _catalog_ids(spark, d), m["mu"], m["k"], alpha, 20)
+
+
+def _full_rank_sql(alphas):
+    """The dense blend over requests x catalog, for each alpha."""
+    likes = ("lk", """
+  SELECT * FROM lk0 WHERE request_id % 8 <> 7
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 1000000000 AS BIGINT) FROM nation WHERE n_nationkey % 2 = 1""")
+    content = [("liked", "SELECT * FROM lk") if c == _LIKED_SQL else c for c in _hybrid_content_sql()]
+    return [*_BRAND_SQL, _BRAND_LIKES_SQL[0], ("lk0", _BRAND_LIKES_SQL[1][1]), likes, *_FOLD_IN_SQL, *content, ("zc", """
+  SELECT request_id, CASE WHEN hi > lo THEN (0 - lo) / (hi - lo) ELSE 0 END AS z FROM per"""), ("cr", """
+  SELECT * FROM fold WHERE item_id IN (SELECT id FROM catalog)"""), ("cends", """
+  SELECT request_id, CASE WHEN all_in THEN mn ELSE least(mn, 0) END AS lo, CASE WHEN all_in THEN mx ELSE greatest(mx, 0) END AS hi
+  FROM (SELECT request_id, min(raw) AS mn, max(raw) AS mx, count(*) = (SELECT count(*) FROM catalog) AS all_in
+        FROM cr GROUP BY 1)"""), ("fs", """
+  SELECT request_id, item_id, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 0 END AS score FROM cr JOIN cends USING (request_id)"""),
+        ("zf", "SELECT request_id, CASE WHEN hi > lo THEN (0 - lo) / (hi - lo) ELSE 0 END AS z FROM cends"), ("bl", f"""
+  SELECT al.alpha, q.request_id, c.id AS item_id,
+         (1 - al.alpha) * coalesce(cs.score, zc.z, 0) + al.alpha * coalesce(fs.score, zf.z, 0) AS score
+  FROM (SELECT unnest([{", ".join(f"CAST({a} AS DOUBLE)" for a in alphas)}]) AS alpha) al
+  CROSS JOIN (SELECT DISTINCT request_id FROM lk) q CROSS JOIN (SELECT DISTINCT id FROM catalog) c
+  LEFT JOIN cs ON cs.request_id = q.request_id AND cs.item_id = c.id LEFT JOIN zc ON zc.request_id = q.request_id
+  LEFT JOIN fs ON fs.request_id = q.request_id AND fs.item_id = c.id LEFT JOIN zf ON zf.request_id = q.request_id"""),
+        ("recs", """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alpha, request_id ORDER BY round(score, 9) DESC, item_id) AS rank
+                 FROM bl WHERE score > 0 AND (request_id, item_id) NOT IN (SELECT request_id, item_id FROM lk))
+  WHERE rank <= 20""")]
+
+
+_HV = ["doc", *_V]
+
+
+@register("hybrid_full_rank", with_views(_HV, *_full_rank_sql([0.4]), final="""
+SELECT request_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM recs"""))
+def q_hybrid_full_rank(spark, d):
+    h = _full_rank_hybrid(spark, d, 0.4)
+    return h.select("request_id", "item_id", r6("score").alias("score"), "rank")
+
+
+@register("hybrid_status_full_rank", with_views(_HV, *_full_rank_sql([0.0, 0.4, 1.0]), _INDEX_SQL[0], ("cov", """
+  SELECT request_id, count_if(k) AS n_used, count_if(NOT k) AS n_ignored FROM (
+    SELECT request_id, item_id IN (SELECT id FROM ci) OR item_id IN (SELECT item_id FROM items) AS k FROM lk) GROUP BY 1"""),
+    ("hints", """
+  SELECT a.alpha, v.*, (SELECT count(*) FROM recs r WHERE r.request_id = v.request_id AND r.alpha = a.alpha) AS n_recs,
+         coalesce((SELECT max(score) > 0 FROM cs WHERE cs.request_id = v.request_id), false) AS content_has,
+         coalesce((SELECT max(score) > 0 FROM fs WHERE fs.request_id = v.request_id), false) AS cf_has
+  FROM cov v CROSS JOIN (SELECT DISTINCT alpha FROM bl) a"""), final="""
+SELECT alpha, request_id, n_used, n_ignored, n_recs, content_has, cf_has,
+       CASE WHEN n_used = 0 THEN 'no_seed_covered' WHEN n_recs > 0 THEN 'ok'
+            WHEN alpha >= 1 AND content_has AND NOT cf_has THEN 'move_to_content'
+            WHEN alpha <= 0 AND cf_has AND NOT content_has THEN 'move_to_collaborative' ELSE 'no_signal' END AS status
+FROM hints"""))
+def q_hybrid_status_full_rank(spark, d):
+    m, liked = brand_model(spark, d), full_rank_likes(spark, d)
+    content = written(T.content_scores(tfidf(spark, d)["weights"], liked, _catalog_ids(spark, d)), "content")
+    tops = written(_cf_tops(m["items"], liked, _catalog_ids(spark, d), m["mu"], m["k"]), "tops")
+    cov = CF.seed_coverage(liked, _content_index(spark, d), m["items"].select(F.col("item_id").alias("id")))
+    out = None
+    for alpha in (0.0, 0.4, 1.0):
+        s = CF.hybrid_status(cov, content, tops, _full_rank_hybrid(spark, d, alpha, content), alpha)
+        s = s.select(F.lit(alpha).alias("alpha"), "*")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("explain_recs_full_rank", with_views(_HV, *_full_rank_sql([0.4]), _INDEX_SQL[0], ("ex", """
+  SELECT s.*, row_number() OVER (PARTITION BY s.request_id, s.item_id ORDER BY round(s.sim, 9) DESC, s.seed_id) AS n
+  FROM ss s JOIN recs r ON r.request_id = s.request_id AND r.item_id = s.item_id WHERE s.seed_id IN (SELECT id FROM ci)"""),
+    final="""
+SELECT ex.request_id, ex.item_id, ex.seed_id AS source_id, round(ex.sim, 3) AS sim, doc.overview AS source_title
+FROM ex LEFT JOIN doc ON doc.id = ex.seed_id WHERE n = 1 AND ex.sim > 0"""))
+def q_explain_recs_full_rank(spark, d):
+    return _explained(spark, d, _full_rank_hybrid(spark, d, 0.4), full_rank_likes(spark, d))
 
 
 # ------------------------------------------------------------ R11 - R15

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import collab as CF
@@ -113,10 +114,11 @@ def _planted(spark, spectrum, users=60, items=40, seed=5):
     return a, spark.createDataFrame(rows, "user_id long, item_id long, value double")
 
 
-def test_truncated_svd_converges_below_the_rank(spark):
+@pytest.mark.parametrize("width", [12, None])
+def test_truncated_svd_converges_below_the_rank(spark, width):
     for spectrum in (np.linspace(10, 8, 30), 10 * 0.7 ** np.arange(30)):
         a, df = _planted(spark, spectrum)
-        svd = CF.truncated_svd(df, k=8, extra=4, tol=1e-9)
+        svd = CF.truncated_svd(df, k=8, width=width, tol=1e-9, block=16)
         u, s, vt = np.linalg.svd(a)
         best = (u[:, :8] * s[:8]) @ vt[:8]
         uu = {r["key"]: np.array(r["vec"]) for r in svd["users"].collect()}
@@ -182,7 +184,6 @@ def test_queries_use_the_proved_tolerance(spark, monkeypatch):
     """The planted spectra at the operator's own tolerance, which is what every registered query uses."""
     import inspect
 
-    import pytest
 
     from marquee.plans import collab_queries as Q
 
