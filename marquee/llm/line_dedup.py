@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.workers import shielded
 from marquee.session import written
 
 _BLANK = " \t\r\x0b\x0c"
@@ -69,7 +70,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     document and get the same answer; rows alike in key only are two documents,
     in order of a hash of their texts.
     """
-    base = docs.drop("n_lines", "n_removed")
+    base, restored = shielded(docs, key_col, text_col, made=("n_lines", "n_removed"))
     text = F.col(text_col).cast("string")
     gone = later_windows(docs, key_col, text_col).groupBy("key", "mark").agg(F.collect_set("at").alias("later"))
     gone = gone.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("later").alias("_later"))
@@ -82,6 +83,6 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     columns = [F.when(F.col("_later").isNotNull(), new).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)
                for c in base.columns]
-    return joined.select(*columns, F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
-                         F.when(F.col("_later").isNotNull(), F.size(out)).otherwise(F.lit(0)).cast("long")
-                         .alias("n_removed"))
+    return restored(joined.select(
+        *columns, F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("_later").isNotNull(), F.size(out)).otherwise(F.lit(0)).cast("long").alias("n_removed")))

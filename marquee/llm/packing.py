@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.workers import shielded
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -223,19 +225,23 @@ def _placed(rows: list[tuple]):
     return place
 
 
-def pack(table: DataFrame, capacity: int = 4096, buckets: int = 64) -> DataFrame:
+def pack(table: DataFrame, capacity: int = 4096, bucket_rows: int = 200_000) -> DataFrame:
     """``table`` (``doc_id, piece, length`` and any more columns; lengths from 1 to
     ``capacity``) plus ``sequence_id`` and ``offset``; places are gapless from 0.
 
     The input is read twice (once to count lengths and buckets): pass a written
-    table. Rows that are equal in every key are placed one by one all the same.
+    table. Rows that are equal in every key are placed one by one all the same. A length
+    is dealt over buckets by a hash of the whole row, as many as leave about ``bucket_rows`` in each
+    if all rows had one length. Columns named ``sequence_id`` or ``offset`` are replaced.
     """
+    table, restored = shielded(table, "doc_id", "piece", "length", made=("sequence_id", "offset"))
     bad = table.where(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))
     if bad.limit(1).count():
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    salted = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-table.count() // bucket_rows))
+    salted = table.withColumn("_bucket", F.pmod(F.xxhash64(*table.columns), F.lit(buckets)).cast("int"))
     per_bucket = salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most capacity x buckets rows, of which the driver sees one per length
+    # the driver sees a row per length
     counts = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     rows, _ = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -245,4 +251,4 @@ def pack(table: DataFrame, capacity: int = 4096, buckets: int = 64) -> DataFrame
                 .join(starts, ["length", "_bucket"])
                 .select(*table.columns, (F.col("_row") + F.col("_before")).alias("_number")))
     schema = ", ".join(f"`{n}` {t}" for n, t in table.dtypes) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(_placed(rows), schema)
+    return restored(numbered.mapInArrow(_placed(rows), schema))

@@ -27,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.workers import shielded
 from marquee.session import written
 
 DIM = 4
@@ -205,8 +206,8 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     smaller even then has no estimate and its rows are kept if the base rules pass.
     Repeated rows count each. Columns of the names that are made are replaced.
     """
-    made = ("base_failed", "distance", "kept", "cohort", "d2", *_X, *_M, *_L)
-    base = docs.select(*[c for c in docs.columns if c not in made])
+    made = ("base_failed", "distance", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
+    base, restored = shielded(docs, text_col, lang_col, source_col, made=made)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (lang_col, source_col))
     stats = text_stats(base, text_col).withColumn("base_failed", failed)
@@ -227,4 +228,4 @@ def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     judged = _distance(stats.join(cohorts.join(estimates, "cohort"), "_s", "left"))
     far = F.coalesce(F.col("d2") > chi2_quantile(cutoff, DIM), F.lit(False))
     keepers = [c for c in stats.columns if c not in (*_X, "_s", "_l")]
-    return judged.select(*keepers, F.col("d2").alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    return restored(judged.select(*keepers, F.col("d2").alias("distance"), (~F.col("base_failed") & ~far).alias("kept")))

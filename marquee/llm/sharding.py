@@ -65,12 +65,14 @@ def assign(df: DataFrame, shards: list[str], key_col: str = "doc_id", size: int
 
 
 def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", size: int = 65_537,
-                 salts: int = 1) -> str:
+                 task_rows: int = 20_000) -> str:
     """Write the placed rows as Parquet, one ``shard=...`` folder each, and return
-    ``path``. ``salts`` tasks write a shard together."""
+    ``path``. As many tasks write a shard together as leave each about ``task_rows`` rows; rows are dealt
+    to them by a hash of the whole row, so a key that many rows have is no task of its own."""
+    salts = max(1, -(-df.count() // (len(shards) * task_rows)))
     placed = assign(df, shards, key_col, size)
-    salt = F.pmod(F.xxhash64(key_col), F.lit(salts))
-    (placed.repartition("shard", salt).write.partitionBy("shard").option("compression", "zstd").parquet(path))
+    salt = F.pmod(F.xxhash64(*placed.columns), F.lit(salts))
+    (placed.repartition(len(shards) * salts, "shard", salt).write.partitionBy("shard").option("compression", "zstd").parquet(path))
     return path
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.hashing import Prefix, mix, text_slices
+from marquee.llm.workers import shielded, slices, store
 from marquee.session import written
 
 RUNS = "key long, mark long, lo int, hi int, bucket long, run long, n long"
@@ -263,7 +264,8 @@ def repeated_starts(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 def _cutter(length: int, with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        for batch in batches:
+        store("suffix_dedup")
+        for batch in slices(batches):
             texts, lists = batch.column("_text").to_pylist(), (batch.column("_lo"), batch.column("_hi"))
             los, his = (x.to_pylist() for x in lists)
             n_bytes, removed, spans, digest, kept = [], [], [], [], []
@@ -338,8 +340,9 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     found = repeated_starts(docs, key_col, text_col, length, q, slice_bytes, group_runs)
     ranges = found.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     ranges = ranges.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "r")
+    docs, restored = shielded(docs, key_col, text_col, made=names)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c not in (*names, text_col)]
+    rest = [c for c in docs.columns if c != text_col]
     joined = (docs.join(ranges, F.col(key_col).cast("long").eqNullSafe(F.col("_key"))
                         & (F.xxhash64(text) == F.col("_mark")), "left")
               .select(*rest, text.cast("binary").alias("_text"), F.col("r.lo").alias("_lo"), F.col("r.hi").alias("_hi")))
@@ -347,4 +350,4 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest]
                        + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"]
                        + ["kept_text string"] * with_text)
-    return joined.mapInArrow(_cutter(length, with_text), schema)
+    return restored(joined.mapInArrow(_cutter(length, with_text), schema))

@@ -35,6 +35,8 @@ _WORD = re.compile(r"[^\W_]+")
 WINDOW_CHARS = 40
 NEAR, FAR = 2, 4
 
+from marquee.llm.workers import slices, store
+
 
 @dataclass(frozen=True)
 class Model:
@@ -196,23 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     return fit(part(False), part(True), prior)
 
 
-_DISTANCES: dict[int, Distance] = {}
-
-
-def _scorer(model: Model):
+def _scorer(model: Model, text_at: int, with_text: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = model.key()
-        if key not in _DISTANCES:
-            _DISTANCES.clear()
-            _DISTANCES[key] = Distance(model.toxic, model.ordinary)
-        distance = _DISTANCES[key]
-        for batch in batches:
-            texts, out = batch.column(batch.num_columns - 1), []
-            for at in range(0, batch.num_rows, 256):
-                out += [_features(distance(windows(t or ""))) for t in texts.slice(at, 256).to_pylist()]
+        known, key = store("toxicity"), model.key()
+        if key not in known:
+            known.clear()
+            known[key] = Distance(model.toxic, model.ordinary)
+        distance = known[key]
+        for batch in slices(batches):
+            out = [_features(distance(windows(t or ""))) for t in batch.column(text_at).to_pylist()]
             values = _score(np.array(out).reshape(-1, 4), model.weights)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(values, pa.float64())],
-                                             names=batch.schema.names[:-1] + ["score"])
+            if not with_text:
+                batch = batch.remove_column(text_at)
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(values, pa.float64())],
+                                             names=batch.schema.names + ["score"])
 
     return score
 
@@ -220,7 +219,8 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` (or all but its text) plus ``score`` (0 to 1; an existing column of that name
     is replaced). A null or empty text has no window and gets the score of none."""
-    rest = [c for c in docs.columns if c != "score" and (with_text or c != text_col)]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", score double"
-    return docs.select(*rest, F.col(text_col).cast("string").alias("_text")).mapInArrow(_scorer(model), schema)
+    docs = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c)
+                         for c in docs.columns if c != "score" or c == text_col])
+    kept = [(c, t) for c, t in docs.dtypes if with_text or c != text_col]
+    schema = ", ".join([f"`{c}` {t}" for c, t in kept] + ["score double"])
+    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), with_text), schema)

@@ -1,11 +1,12 @@
 """Fast exact encoding by the parts of a text that a tokenizer treats separately.
 
 A space followed by a non-space always begins a new pre-token of the tokenizers
-used here, whatever stands before it, so a text is the sequence of its parts
-between such spaces and its ids are the ids of the parts in that order. Parts
-repeat, so each distinct part is encoded once per worker and looked up after
-that; the store of parts is emptied when it is full, which costs time, not results.
-A part met for the first time is put together from smaller ones where that is safe.
+used here, whatever stands before it, and so does a single line end between two non-spaces and
+punctuation after a letter, so a text is the sequence of its parts between such places and its ids are
+the ids of the parts in that order. Parts repeat, so each distinct part is encoded once per worker and looked up after
+that: what a slice of texts misses is encoded in one call. The store is bounded by bytes and
+emptied when it is full, which costs time, not results; parts of over ``LONGEST``
+characters (text without spaces) are kept for their slice only.
 """
 
 from __future__ import annotations
@@ -14,10 +15,19 @@ import re
 import sys
 from array import array
 
+from marquee.llm.workers import store
+
 #: A space that does not begin a pre-token of its own with what follows.
 _INNER = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_LINES = re.compile(r"\S+(?:\n\S+)+")
+#: A line end that does not stand alone between two non-spaces.
+_ODD_LINE = re.compile(r"\n(?:\s|\Z)|(?:\A|\s)\n")
+#: White space to Python's ``split`` but not to a tokenizer's pattern.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+LONGEST = 64
+#: A letter before closing punctuation ends a pre-token, so the text may be cut there; what follows is marked.
+_CLOSING = re.compile("(?=[.,;:!?])(?<=[A-Za-z])")
+MARK = "\x01"
 
 
 def parts(text: str) -> list[str]:
@@ -28,14 +38,18 @@ def parts(text: str) -> list[str]:
 class PartEncoder:
     """``encode_many(list of strings) -> list of id lists``, remembered by part.
 
-    ``prefix`` is put before every part but a text's first (the space that
+    ``prefix`` is put before every part but a line's first (the space that
     :func:`parts` took away, or nothing where the tokenizer drops white space).
+    ``folds``: the tokenizer lower-cases, so ASCII texts are looked up in lower case, unless that
+    would make one of its ``special`` strings.
     """
 
-    def __init__(self, encode_many, prefix: str, max_parts: int = 1_000_000):
-        self.encode_many, self.prefix, self.max_parts = encode_many, prefix, max_parts
+    def __init__(self, encode_many, prefix: str, max_bytes: int = 192 << 20, folds: bool = False, special: tuple = ()):
+        self.encode_many, self.prefix, self.max_bytes, self.folds, self.special = encode_many, prefix, max_bytes, folds, special
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if not prefix else {}
+        self.used = 0
+        self.line_end = self._bytes(encode_many(["\n"])[0]) if encode_many and prefix else b""
 
     @staticmethod
     def _bytes(ids) -> bytes:
@@ -44,70 +58,95 @@ class PartEncoder:
             out.byteswap()
         return out.tobytes()
 
-    @staticmethod
-    def _atoms(part: str, prefix: str) -> list[tuple[str, str]]:
-        """The part as pre-tokens that surely stand alone: lines, and letters before
-        closing punctuation; each with the prefix it has. Anything else stays whole."""
-        lines = part.split("\n") if "\n" in part and _LINES.fullmatch(part) else [part]
-        out = []
-        for n, line in enumerate(lines):
-            if n:
-                out.append(("", "\n"))
-                prefix = ""
-            head = line.rstrip(".,;:!?")
-            if head and head != line and head.isalpha() and (
-                    head.isascii() or max(head) < "\u0250" and "\u0130" not in head):
-                out += [(prefix, head), ("", line[len(head):])]
-            else:
-                out.append((prefix, line))
-        return out
-
-    def _learn(self, store: dict, prefix: str, missing: list[str]) -> None:
-        cut = {p: self._atoms(p, prefix) for p in missing}
-        stores = {self.prefix: self.later, "": self.first}
-        new = [a for a in dict.fromkeys(a for atoms in cut.values() for a in atoms) if a[1] not in stores[a[0]]]
-        for (own, atom), ids in zip(new, self.encode_many([own + atom for own, atom in new])):
-            stores[own][atom] = self._bytes(ids)
-        for part, atoms in cut.items():
-            if len(atoms) > 1:
-                store[part] = b"".join([stores[own][atom] for own, atom in atoms])
+    def _lines(self, text: str) -> list[list[str]]:
+        """The parts of a text, line by line; the first of each line has no prefix, and
+        neither has one that begins with the mark."""
+        if not self.prefix:
+            if self.folds and text.isascii():
+                low = text.lower()
+                if not any(s in low for s in self.special):
+                    text = low
+            text = _CLOSING.sub(" " + MARK, text)
+            return [parts(text) if _SEPARATORS.search(text) else text.split()]
+        text = _CLOSING.sub(" " + MARK, text)
+        if "\n" not in text or _ODD_LINE.search(text):
+            return [parts(text)]
+        return [parts(line) for line in text.split("\n")]
+
+    def _learn(self, first: dict[str, bytes], later: dict[str, bytes], new_first: set[str], new_later: set[str]) -> None:
+        """What a slice misses, into stores of its own, by one call of the library."""
+        asked = list(new_first)
+        n = len(asked)
+        new = list(new_later)
+        asked += [p[1:] if p[:1] == MARK else self.prefix + p for p in new]
+        made = self.encode_many(asked)
+        first.update(zip(new_first, map(self._bytes, made[:n])))
+        later.update(zip(new, map(self._bytes, made[n:])))
+
+    def _keep(self, store: dict[str, bytes], new: dict[str, bytes]) -> None:
+        for part, ids in new.items():
+            if len(part) <= LONGEST:
+                store[part] = ids
+                self.used += 200 + len(part) + len(ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        if len(self.first) + len(self.later) > self.max_parts:
+        if self.used > self.max_bytes:
             self.first.clear()
             self.later.clear()
+            self.used = 0
+        cuts = [self._lines(text) if MARK not in text else None for text in texts]
+        new_first = {line[0] for lines in cuts for line in lines or () if line} - self.first.keys()
+        new_later = set()
+        for lines in cuts:
+            for line in lines or ():
+                new_later.update(line[1:])
+        new_later -= self.later.keys()
+        first: dict[str, bytes] = {}
+        later = first if not self.prefix else {}
+        if new_first or new_later:
+            self._learn(first, later, new_first, new_later)
+            self._keep(self.first, first)
+            if later is not first:
+                self._keep(self.later, later)
+        long = any(len(p) > LONGEST for p in first) or any(len(p) > LONGEST for p in later)
+        heads = self.first if not long else _Both(first, self.first)
+        tails = self.later if not long else _Both(later, self.later)
         out = []
-        for text in texts:
-            cut = parts(text)
-            head = cut[0]
-            if head not in self.first:
-                self._learn(self.first, "", [head])
-            later = self.later
-            try:
-                body = b"".join([later[p] for p in cut[1:]])
-            except KeyError:
-                self._learn(later, self.prefix, [p for p in dict.fromkeys(cut[1:]) if p not in later])
-                body = b"".join([later[p] for p in cut[1:]])
-            out.append(self.first[head] + body)
+        for text, lines in zip(texts, cuts):
+            if lines is None:  # a text that holds the mark itself
+                out.append(self._bytes(self.encode_many([text])[0]))
+                continue
+            done = [b"".join([heads[line[0]], *[tails[p] for p in line[1:]]]) if line else b"" for line in lines]
+            out.append(self.line_end.join(done))
         return out
 
 
-_ENCODERS: dict = {}
+class _Both:
+    """Look-up in a slice's own store, then in the worker's."""
+
+    def __init__(self, own: dict, kept: dict):
+        self.own, self.kept = own, kept
+
+    def __getitem__(self, part: str) -> bytes:
+        found = self.kept.get(part)
+        return self.own[part] if found is None else found
 
 
 def tokenizers_encoder(path: str, prefix: str) -> PartEncoder:
-    """Of a ``tokenizers`` JSON file, kept for the life of the worker; strings of
-    special tokens in a text are ordinary text."""
-    if path not in _ENCODERS:
+    """Of a ``tokenizers`` JSON file, kept while the worker encodes; special tokens
+    in a text are what the file says, as in a plain call of the library."""
+    known = store("words")
+    if path not in known:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        normal = tokenizer.normalizer.normalize_str("AZ") if tokenizer.normalizer else "AZ"
+        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
         def encode_many(strings: list[str]):
             return [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-        _ENCODERS[path] = PartEncoder(encode_many, prefix)
-    return _ENCODERS[path]
+        known[path] = PartEncoder(encode_many, prefix, folds=normal == "az", special=special)
+    return known[path]

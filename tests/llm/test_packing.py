@@ -82,7 +82,6 @@ def test_large_counts():
 def check(got, texts, ids, capacity):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     want = []
     for key, text in zip(ids, texts):
         own = t.encode(text or "", add_special_tokens=False).ids + [1]
@@ -112,7 +111,7 @@ def test_query_over_the_small_table(spark):
 def test_edge_rows(spark, make_docs, edge_texts):
     ids = [None if i == 3 else 5 if i in (8, 9) else 100 * i for i in range(len(edge_texts))]
     cut = packing.pieces(make_docs(edge_texts, ids, parts=3), WORD, capacity=16)
-    got = packing.pack(cut, capacity=16, buckets=3).collect()
+    got = packing.pack(cut, capacity=16, bucket_rows=9).collect()
     check(got, edge_texts, ids, 16)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
     assert packing.pack(cut.where(F.lit(False)), capacity=16).count() == 0

@@ -3,6 +3,7 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marquee.session import written
@@ -125,3 +126,26 @@ def test_library_stands_without_these_parts(tmp_path):
     shutil.copytree(repo, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q), q"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+
+
+INNER = ["_key", "_mark", "_later", "_text", "_lo", "_hi", "_w", "_l", "_s", "_number", "_bucket", "_row", "_n", "_before",
+         "_id", "_y", "key", "mark", "n", "cohort", "d2", "r", "t"]
+
+
+def test_inner_names_as_input_columns(spark, make_docs):
+    """Columns called like any inner column pass through every operator that keeps columns."""
+    from marquee.llm import line_dedup, packing, quality, sharding, suffix_dedup, toxicity
+    from marquee.llm.queries import tokenizer_file
+    line = "this line is here and there and everywhere it seems\nand so is this one\nand a third one too\n"
+    texts = [line * 3 + "one", line * 2 + "two", None, "", "short"]
+    docs = make_docs(texts).drop("key", "part")
+    for i, c in enumerate(INNER):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    want = sorted((r.doc_id, *[f"{i}:{r.doc_id}" for i in range(len(INNER))]) for r in docs.select("doc_id").collect())
+    model = toxicity.fit([], [], 0.5)
+    pieces = packing.pieces(make_docs(texts), tokenizer_file("word_bpe_49k.json"), with_ids=False)
+    pieces = pieces.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(c)
+                                  for i, c in enumerate(INNER)])
+    for out in (line_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(docs), toxicity.score(docs, model),
+                quality.quality(docs), packing.pack(pieces), sharding.assign(docs, ["a", "b"])):
+        assert sorted(tuple(r) for r in out.select("doc_id", *INNER).collect()) == want

@@ -54,7 +54,7 @@ def test_edge_rows(spark, make_docs, edge_texts, folder):
     ids = [None if i in (1, 2) else 5 if i in (8, 9) else i for i in range(len(edge_texts))]
     docs = make_docs(edge_texts, ids, parts=3)
     path = sharding.write_shards(docs.withColumn("slot", F.lit("clash")), f"{folder}/{uuid.uuid4().hex}", ["a", "b", "c"],
-                                 size=13, salts=3)
+                                 size=13, task_rows=2)
     schema = "doc_id long, text string, key long, part string, slot long, shard string"
     back = sharding.read_shards(spark, path, schema).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(zip(ids, edge_texts), key=str)

@@ -14,22 +14,38 @@ BYTE = tokenizer_file("byte_bpe_50k.json")
 def reference(path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+LETTERS = [" ", " ", "\n", "\t", "a", "B", "é", "\u0301", "1", "!", ",", "'s", "'", "İ", "Σ", "\x1c", "\x85", "\xa0",
+           "\u2002", "漢", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\r", "\x00", "\u200b", "</w>", "word", "The", "\x01", ". ", "?!"]
+
+
 @pytest.mark.parametrize("name,prefix", [("byte_bpe_50k.json", " "), ("word_bpe_49k.json", "")])
 def test_parts_encode_as_the_whole_text_does(name, prefix, sample_texts, edge_texts):
     import random
     rng = random.Random(3)
-    letters = [" ", " ", "\n", "\t", "a", "B", "é", "́", "1", "!", "'s", "'", "İ", "Σ", "\x1c", "\x85", "\xa0",
-               " ", "漢", "🙂", "<|endoftext|>", "\r", "\x00", "​", "</w>"]
     texts = sample_texts + [t or "" for t in edge_texts]
-    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    whole, encoder = reference(tokenizer_file(name)), words.PartEncoder(None, prefix, max_parts=50)
-    encoder.encode_many = lambda xs: [whole(x) for x in xs]
-    for text in texts:
-        assert encoder.ids([text])[0] == np.array(whole(text), "<u4").tobytes()
+    texts += ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    texts += [" ".join(rng.choice(LETTERS) + "x" * rng.choice([0, 1, 70]) for _ in range(9)) for _ in range(300)]
+    texts += ["\n".join("one two, three" for _ in range(rng.randint(1, 4))) for _ in range(20)]
+    rng.shuffle(texts)
+    whole, plain = reference(tokenizer_file(name)), words.tokenizers_encoder(tokenizer_file(name), prefix)
+    encoder = words.PartEncoder(plain.encode_many, prefix, max_bytes=20_000, folds=plain.folds, special=plain.special)
+    assert plain.folds == (name == "word_bpe_49k.json") and "<|endoftext|>" in plain.special
+    for start in range(0, len(texts), 7):
+        some = texts[start:start + 7]
+        assert encoder.ids(some) == [np.array(whole(text), "<u4").tobytes() for text in some]
+
+
+def test_texts_without_spaces_are_not_kept():
+    plain = words.tokenizers_encoder(tokenizer_file("byte_bpe_50k.json"), " ")
+    encoder = words.PartEncoder(plain.encode_many, " ")
+    whole = reference(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["".join(chr(0x4E00 + (i * 7919 + j * j) % 20000) for j in range(2000)) + " end" for i in range(40)]
+    for i in range(0, 40, 8):
+        assert encoder.ids(texts[i:i + 8]) == [np.array(whole(t), "<u4").tobytes() for t in texts[i:i + 8]]
+    assert encoder.used < 5000 and len(encoder.first) + len(encoder.later) < 5
 
 
 def test_mph_is_minimal_and_perfect():
