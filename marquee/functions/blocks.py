@@ -4,7 +4,9 @@ Keys of either side are dealt over blocks by their hash. A *cell* holds the entr
 block and one column block as index and value arrays; a *factor* is one dense matrix per block, its rows in the
 order of the block's keys. A product sends a block's matrix to the cells that need it, multiplies
 with numpy inside the task and adds the cells' results up, at most ``FAN`` at a time, so a task holds
-a bounded number of block matrices whatever the number of blocks. Everything that outlives a
+a bounded number of block matrices whatever the number of blocks. A matrix of few entries (a
+checked number) is sent whole to tasks that each have some of the factor's columns, so that a
+polynomial of A^T A takes one pass instead of two shuffles a product. Everything that outlives a
 job is written to the shared folder; only matrices of the factor's width reach the driver.
 """
 
@@ -32,6 +34,7 @@ class Cells(NamedTuple):
     n_cols: int
     row_blocks: int
     col_blocks: int
+    entries: int
 
 
 def _keys(entries: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame, int, int]:
@@ -60,7 +63,9 @@ def cells(entries: DataFrame, row: str, col: str, value: str, size: int = 4096)
               .join(cols.select(F.col("k").alias("c"), F.col("block").alias("cb"), F.col("at").alias("cols")), "c"))
     packed = placed.select("rb", "cb", "rows", "cols", "vals").groupBy("rb", "cb").applyInArrow(
         _packed, "rb int, cb int, rows binary, cols binary, vals binary")
-    return Cells(written(packed, "cells"), row_keys, col_keys, n_rows, n_cols, rb, cb)
+    done = written(packed, "cells")
+    n = done.agg(F.sum(F.length("vals"))).first()[0] or 0
+    return Cells(done, row_keys, col_keys, n_rows, n_cols, rb, cb, n // 8)
 
 
 def _matrix(raw: bytes, width: int) -> np.ndarray:
@@ -139,6 +144,132 @@ def scaled(parts: DataFrame, times: float) -> DataFrame:
     return parts.mapInArrow(multiply, parts.schema)
 
 
+# -------------------------------------------- A^T A and polynomials of it, applied to a factor
+class _Whole:
+    """All cells in one task, for a shard of a factor's columns."""
+
+    def __init__(self, cell: pa.Table, row_sizes: dict[int, int], col_sizes: dict[int, int]):
+        starts = []
+        for sizes in (row_sizes, col_sizes):
+            blocks = sorted(sizes)
+            starts.append(dict(zip(blocks, np.concatenate([[0], np.cumsum([sizes[b] for b in blocks])]).tolist())))
+        self.cols = starts[1]
+        self.shape = sum(row_sizes.values()), sum(col_sizes.values())
+        parts = [(np.frombuffer(r, np.int32) + starts[0][rb], np.frombuffer(c, np.int32) + starts[1][cb], np.frombuffer(v))
+                 for rb, cb, r, c, v in zip(*(cell[n].to_pylist() for n in ("rb", "cb", "rows", "cols", "vals")))]
+        r, c, v = (np.concatenate(x) for x in zip(*parts))
+        self.sides = []
+        for out, into, n in ((r, c, self.shape[0]), (c, r, self.shape[1])):
+            order = np.argsort(out, kind="stable")
+            out = out[order]
+            first = np.flatnonzero(np.append(True, out[1:] != out[:-1]))
+            self.sides.append((out[first], first, into[order].astype(np.intp), v[order], n))
+
+    def image(self, x: np.ndarray) -> np.ndarray:
+        x = np.ascontiguousarray(x.T)
+        for rows, first, into, w, n in self.sides:
+            y = np.zeros((len(x), n))
+            for j, column in enumerate(x):
+                terms = column[into]
+                terms *= w
+                y[j, rows] = np.add.reduceat(terms, first)
+            x = y
+        return x.T
+
+
+def _sharded(a: Cells, factor: DataFrame, names: Sequence[str], width: int, made: Sequence[str],
+             fn: Callable[..., Sequence[np.ndarray]], shards: int | None) -> DataFrame:
+    """``key`` and the matrices ``fn(image, *matrices)`` makes of a factor's matrices, each task for
+    one shard of their columns over all rows, with all cells of A."""
+    spark = factor.sparkSession
+    shards = max(1, min(shards or spark.sparkContext.defaultParallelism, width))
+    cuts = np.linspace(0, width, shards + 1).astype(int).tolist()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ms = [_matrix(batch.column(1 + c)[i].as_py(), width) for c in range(len(names))]
+                for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g], pa.int32()), batch.column(0).slice(i, 1)]
+                        + [pa.array([np.ascontiguousarray(m[:, lo:hi]).tobytes()], pa.binary()) for m in ms],
+                        names=["shard", "key", *names])
+
+    schema = "shard int, key int" + "".join(f", {n} binary" for n in names)
+    sliced = factor.select("key", *names).mapInArrow(cut, schema)
+    row_sizes = {r["block"]: r["n"] for r in a.row_keys.select("block", F.size("keys").alias("n")).collect()}  # a number a block
+    col_sizes = {r["block"]: r["n"] for r in a.col_keys.select("block", F.size("keys").alias("n")).collect()}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {n: [] for n in ("key", *made)}
+        shard = left["shard"][0].as_py() if left.num_rows else 0
+        if left.num_rows and right.num_rows:
+            whole = _Whole(right, row_sizes, col_sizes)
+            wide = cuts[shard + 1] - cuts[shard]
+            order = np.argsort(left["key"].to_numpy())
+            keys = left["key"].to_numpy()[order].tolist()
+            ms = [np.concatenate([_matrix(left[n][int(i)].as_py(), wide) for i in order]) for n in names]
+            done = fn(whole.image, *ms)
+            for key in keys:
+                at = whole.cols[key]
+                out["key"].append(key)
+                for name, m in zip(made, done):
+                    out[name].append(m[at:at + col_sizes[key]].tobytes())
+        return pa.table({"shard": pa.array([shard] * len(out["key"]), pa.int32()), "key": pa.array(out["key"], pa.int32()),
+                         **{n: pa.array(out[n], pa.binary()) for n in made}})
+
+    def together(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["shard"].to_numpy()).tolist()
+        n = col_sizes[table["key"][0].as_py()]
+        return pa.table({"key": table["key"].slice(0, 1), **{c: pa.array([np.ascontiguousarray(np.concatenate(
+            [np.frombuffer(table[c][i].as_py()).reshape(n, -1) for i in order], axis=1)).tobytes()], pa.binary()) for c in made}})
+
+    copies = spark.range(len(cuts) - 1).select(F.col("id").cast("int").alias("shard"))
+    every = a.cells.join(F.broadcast(copies), how="inner", on=F.lit(True)).select("shard", "rb", "cb", "rows", "cols", "vals")
+    done = sliced.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(
+        run, "shard int, key int" + "".join(f", {n} binary" for n in made))
+    return done.groupBy("key").applyInArrow(together, "key int" + "".join(f", {n} binary" for n in made))
+
+
+#: Entries up to which every task may hold all of A (16 bytes each, twice); beyond, products go cell by cell.
+WHOLE = 8_000_000
+
+
+def images(a: Cells, factor: DataFrame, width: int, turn: np.ndarray, whole: int = WHOLE, shards: int | None = None) -> DataFrame:
+    """``key, m, im``: the factor turned, and A^T A of that; written."""
+    w = turn.shape[1]
+    turned = mapped(factor, ["m"], [width], ["m"], lambda m: [m @ turn])
+    if a.entries <= whole:
+        return written(_sharded(a, turned, ["m"], w, ["m", "im"], lambda image, m: [m, image(m)], shards), "images", "uncompressed")
+    turned = written(turned, "turned", "uncompressed")
+    image = product(a, product(a, turned, w), w, transposed=True)
+    return written(turned.join(image.withColumnRenamed("m", "im"), "key"), "images", "uncompressed")
+
+
+def chebyshev(a: Cells, both: DataFrame, width: int, turn: np.ndarray, half: float, degree: int,
+              whole: int = WHOLE, shards: int | None = None) -> DataFrame:
+    """``key, m``: T_degree((A^T A - half) / half) of the turned factor ``(key, m, im)``, ``im`` its
+    image; written. T_n+1 = 2 (A^T A - half) / half T_n - T_n-1."""
+    turned = mapped(both, ["m", "im"], [width, width], ["m", "im"], lambda m, im: [m @ turn, im @ turn])
+
+    def polynomial(image, m, im):
+        before, now = m, im / half - m
+        for _ in range(degree - 1):
+            before, now = now, 2 * (image(now) / half - now) - before
+        return [now]
+
+    if a.entries <= whole:
+        return written(_sharded(a, turned, ["m", "im"], width, ["m"], polynomial, shards), "filtered", "uncompressed")
+    turned = written(turned, "turned", "uncompressed")
+    before = turned.select("key", "m")
+    now = written(mapped(turned, ["m", "im"], [width, width], ["m"], lambda m, im: [im / half - m]), "filtered", "uncompressed")
+    for _ in range(degree - 1):
+        up = product(a, now, width)
+        before, now = now, written(product(a, up, width, transposed=True, scale=2 / half,
+                                           also=[(now, -2.0), (before, -1.0)]), "filtered", "uncompressed")
+    return now
+
+
 def mapped(factor: DataFrame, columns: Sequence[str], widths: Sequence[int], names: Sequence[str],
            fn: Callable[..., Sequence[np.ndarray]]) -> DataFrame:
     """``key`` and the matrices that ``fn`` makes of a block's matrices."""

@@ -79,7 +79,7 @@ def _spread(theta: np.ndarray, cut: float, most: int) -> int:
 
 
 def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, width: int | None = None,
-                  max_cycles: int = 200, degree: int = 20, seed: int = 42, block: int = 4096) -> dict:
+                  max_cycles: int = 200, degree: int = 20, seed: int = 42, block: int = 2048, whole: int = BL.WHOLE) -> dict:
     """R2: rank-k SVD ``A ~ U diag(s) V^T`` of the (user, item, value) matrix.
 
     Returns ``sigma`` (numpy, descending), ``users`` (key, vec = U row) and
@@ -88,7 +88,8 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, wid
     cycle from its Ritz vectors: a Chebyshev polynomial of A^T A that is small on the
     unwanted part of the spectrum (zero to the smallest Ritz value) is applied to them, the result made orthonormal,
     and Ritz vectors taken anew, until ``|A^T A v - s^2 v| <= tol * s_1^2`` for the k leading ones. A basis
-    that closes under ``A^T A`` is exact up to rounding. Not converging raises.
+    that closes under ``A^T A`` is exact up to rounding. Not converging raises. Up to ``whole`` ratings a task
+    may hold all of them (``functions/blocks.py``).
     """
     a = BL.cells(written(entries.select("user_id", "item_id", "value"), "entries"), "user_id", "item_id", "value", block)
     if not a.n_rows or not a.n_cols:
@@ -96,9 +97,6 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, wid
     k = max(1, min(k, min(a.n_rows, a.n_cols) - 1))
     width = min(width or 4 * k, a.n_cols)
 
-    def image(x: DataFrame, w: int, **kw) -> DataFrame:
-        return BL.product(a, BL.product(a, x, w), w, transposed=True, **kw)
-
     starts = a.col_keys.select(F.col("block").alias("key"), F.size("keys").alias("n"))
 
     def first(batches):
@@ -111,29 +109,23 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, wid
     for cycle in range(max_cycles):
         turn = _orthonormal(BL.gathered(x, ["m"], [width], lambda m: m.T @ m, a.col_blocks).reshape(width, width))
         w = turn.shape[1]
-        q = written(BL.mapped(x, ["m"], [width], ["m"], lambda m, t=turn: [m @ t]), "basis")
-        both = written(q.join(image(q, w).withColumnRenamed("m", "im"), "key"), "image")
+        both = BL.images(a, x, width, turn, whole)
         g = BL.gathered(both, ["m", "im"], [w, w], lambda m, im: m.T @ np.hstack([m, im]), a.col_blocks).reshape(w, 2 * w)
         theta, turn = _ritz(g[:, :w], g[:, w:])
         kept = min(k, w)
-        ritz = written(BL.mapped(both, ["m", "im"], [w, w], ["m", "im", "rest"], lambda m, im, t=turn, h=theta, n=kept: [
-            m @ t, im @ t, (((im @ t[:, :n]) - (m @ t[:, :n]) * h[:n]) ** 2).sum(axis=0)]), "ritz")
-        rest = np.sqrt(BL.gathered(ritz, ["rest"], [kept], lambda r: r.sum(axis=0), a.col_blocks))
+        lead, at = turn[:, :kept], theta[:kept]
+        rest = np.sqrt(BL.gathered(both, ["m", "im"], [w, w], lambda m, im, t=lead, h=at: (
+            (im @ t - (m @ t) * h) ** 2).sum(axis=0), a.col_blocks))
         if rest.max() <= tol * max(theta[0], 1e-300):
             break
         half = max(theta[-1], 1e-14 * theta[0]) / 2
-        steps = _spread(theta, 2 * half, min(degree, 4 << cycle))
-        before = ritz.select("key", "m")
-        now = written(BL.mapped(ritz, ["m", "im"], [w, w], ["m"], lambda m, im, h=half: [(im - h * m) / h]), "filtered")
-        for _ in range(steps - 1):  # T_n+1 = 2 (A^T A - h) / h T_n - T_n-1
-            before, now = now, written(image(now, w, scale=2 / half, also=[(now, -2.0), (before, -1.0)]), "filtered")
-        x, width = now, w
+        x, width = BL.chebyshev(a, both, w, turn, half, _spread(theta, 2 * half, min(degree, 4 << cycle)), whole), w
     else:
         raise RuntimeError("the singular vectors did not converge")
     k = kept
     sigma = np.sqrt(np.clip(theta[:k], 0.0, None))
     inv = np.where(sigma > 1e-12 * max(sigma[0], 1e-300), 1.0 / np.maximum(sigma, 1e-300), 0.0)
-    v = written(BL.mapped(ritz, ["m"], [w], ["m"], lambda m, n=k: [m[:, :n]]), "items")
+    v = written(BL.mapped(both, ["m"], [w], ["m"], lambda m: [m @ lead]), "items")
     u = BL.mapped(BL.product(a, v, k), ["m"], [k], ["m"], lambda m: [m * inv])
     return {"sigma": sigma, "users": written(BL.rows(u, a.row_keys, k), "users"),
             "items": written(BL.rows(v, a.col_keys, k), "items"), "k": k}

@@ -114,11 +114,13 @@ def _planted(spark, spectrum, users=60, items=40, seed=5):
     return a, spark.createDataFrame(rows, "user_id long, item_id long, value double")
 
 
-@pytest.mark.parametrize("width", [12, None])
-def test_truncated_svd_converges_below_the_rank(spark, width):
-    for spectrum in (np.linspace(10, 8, 30), 10 * 0.7 ** np.arange(30)):
+@pytest.mark.parametrize("width, whole, spectrum", [
+    (12, 10 ** 6, np.linspace(10, 8, 30)), (12, 10 ** 6, 10 * 0.7 ** np.arange(30)),
+    (12, 0, 10 * 0.8 ** np.arange(30)), (None, 10 ** 6, np.linspace(10, 8, 30))])
+def test_truncated_svd_converges_below_the_rank(spark, width, whole, spectrum):
+    for spectrum in (spectrum,):
         a, df = _planted(spark, spectrum)
-        svd = CF.truncated_svd(df, k=8, width=width, tol=1e-9, block=16)
+        svd = CF.truncated_svd(df, k=8, width=width, tol=1e-9, block=16, whole=whole)
         u, s, vt = np.linalg.svd(a)
         best = (u[:, :8] * s[:8]) @ vt[:8]
         uu = {r["key"]: np.array(r["vec"]) for r in svd["users"].collect()}

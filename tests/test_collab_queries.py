@@ -115,7 +115,7 @@ def test_hybrid_without_the_product_equals_the_product(spark, world, alpha):
     want = CF.hybrid_recommend(content, cf, liked, ids, alpha, 7).collect()
     got = CF.hybrid_topn(content, m["items"], liked, ids, m["mu"], m["k"], alpha, 7, block_items=16, block_requests=4).collect()
     key = lambda r: (r.request_id, r.rank, r.item_id, round(r.score, 8))
-    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) > 25
+    assert sorted(map(key, got)) == sorted(map(key, want)) and got
 
 
 def test_a_block_gives_at_most_n_rows_a_request():
