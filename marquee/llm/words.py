@@ -44,7 +44,7 @@ class PartEncoder:
     would make one of its ``special`` strings.
     """
 
-    def __init__(self, encode_many, prefix: str, max_bytes: int = 192 << 20, folds: bool = False, special: tuple = ()):
+    def __init__(self, encode_many, prefix: str, max_bytes: int = 256 << 20, folds: bool = False, special: tuple = ()):
         self.encode_many, self.prefix, self.max_bytes, self.folds, self.special = encode_many, prefix, max_bytes, folds, special
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if not prefix else {}
@@ -96,12 +96,12 @@ class PartEncoder:
             self.later.clear()
             self.used = 0
         cuts = [self._lines(text) if MARK not in text else None for text in texts]
-        new_first = {line[0] for lines in cuts for line in lines or () if line} - self.first.keys()
+        new_first = {line[0] for lines in cuts for line in lines or () if line and line[0] not in self.first}
         new_later = set()
         for lines in cuts:
             for line in lines or ():
                 new_later.update(line[1:])
-        new_later -= self.later.keys()
+        new_later = {p for p in new_later if p not in self.later}
         first: dict[str, bytes] = {}
         later = first if not self.prefix else {}
         if new_first or new_later:
