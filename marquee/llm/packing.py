@@ -225,7 +225,7 @@ def _placed(rows: list[tuple]):
     return place
 
 
-def pack(table: DataFrame, capacity: int = 4096, bucket_rows: int = 200_000) -> DataFrame:
+def pack(table: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
     """``table`` (``doc_id, piece, length`` and any more columns; lengths from 1 to
     ``capacity``) plus ``sequence_id`` and ``offset``; places are gapless from 0.
 
