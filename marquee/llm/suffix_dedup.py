@@ -1,10 +1,10 @@
-"""Removal of every byte that a repeated 200-byte string covers, by bucket refinement.
+"""Removal of every byte that a repeated 200-byte string covers, by anchors and buckets.
 
 Positions of all texts are suffixes; two belong together when their first ``length``
-bytes agree. As in bucket-pointer refinement, suffixes first fall into buckets of
-their q-gram, and a bucket is refined by the buckets that its suffixes have at later
-offsets - here by fingerprints of what follows - until it is decided; decided buckets
-are reused and never touched again. Three things keep that linear in the input:
+bytes agree. Suffixes fall into buckets of a q-gram, and what shares a bucket is told apart by fingerprints
+of the rest of the string, in one step: this is not the recursive refinement by bucket
+pointers (no bucket identifiers of later offsets, no order of suffixes), which a row per byte
+would need. Three things keep it linear in the input:
 
 * *Anchors stand for suffixes.* Of the q-grams in a string of ``length`` bytes the one
   with the smallest hash is its anchor (the first, if equal). Equal strings have equal
@@ -14,8 +14,8 @@ are reused and never touched again. Three things keep that linear in the input:
   the whole run, from the run's first byte to the end of its last string. A bucket of
   one row has no repeat. Rows of equal runs repeat all their strings: decided.
 * *What is left* - rows alone in their run's bucket but not in their q-gram's, at the
-  ends of repeated passages - is refined position by position: by the pair of buckets
-  at offsets 0 and q (fingerprints of q-gram and of the rest of the string), together
+  ends of repeated passages - is compared position by position: by the pair of fingerprints
+  of the q-gram and of the rest of the string, together
   with one row of each decided run of the same q-gram. That takes place within the
   q-gram's bucket; one of more than ``group_runs`` runs goes string by string through
   an aggregate instead.
