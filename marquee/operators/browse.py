@@ -9,6 +9,9 @@ whole catalog ships only k rows per input partition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,12 +104,53 @@ def query_grams(queries: DataFrame) -> DataFrame:
                        F.explode("_g").alias("gram"))
 
 
-def search_title(catalog: DataFrame, queries: DataFrame, keys=("id",)) -> DataFrame:
-    """Forgiving substring search of every query against ``title_norm``.
-
-    An n-gram inverted index turns the substring test into an equi-join:
-    items sharing all of a query's 3-grams are candidates, then the exact
-    ``contains`` check confirms them. A blank query matches every item.
+def _containing(patterns: list[str]):
+    """Which of the patterns a title contains (one pass over it, by an Aho-Corasick automaton)."""
+    blank = {p for p in patterns if not p}
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for p in patterns:
+            if p:
+                automaton.add_word(p, p)
+        some = len(automaton) > 0
+        if some:
+            automaton.make_automaton()
+        for titles in batches:
+            yield pd.Series([None if t is None else list(blank.union(p for _, p in automaton.iter(t)) if some else blank)
+                             for t in titles], dtype=object)
+
+    return find
+
+
+def search_title(catalog: DataFrame, queries: DataFrame, keys=("id",), most_patterns: int = 100_000,
+                 most_chars: int = 4_000_000) -> DataFrame:
+    """Forgiving substring search of every query against ``title_norm``. A blank query
+    matches every item; a null title nothing.
+
+    The requests are the index: their distinct strings, if there are at most ``most_patterns`` of
+    at most ``most_chars`` characters together, become an automaton that every title is passed through where it is
+    read, so only hits are shuffled. Beyond that, titles and requests meet on shared 3-grams
+    (``search_by_grams``).
+    """
+    asked = queries.select("query_id", title_norm("q").alias("q_norm")).where(F.col("q_norm").isNotNull())
+    distinct = asked.select("q_norm").distinct()
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("q_norm")).alias("chars")).first()
+    if size["n"] > most_patterns or (size["chars"] or 0) > most_chars:
+        return search_by_grams(catalog, queries, keys)
+    # checked above; not deterministic, so that the planner does not run it twice
+    find = _containing([r["q_norm"] for r in distinct.collect()]).asNondeterministic()
+    hits = (catalog.withColumn("_found", find("title_norm")).where(F.size("_found") > 0)
+            .withColumn("q_norm", F.explode("_found")).drop("_found"))
+    return hits.join(asked, "q_norm")
+
+
+def search_by_grams(catalog: DataFrame, queries: DataFrame, keys=("id",)) -> DataFrame:
+    """``search_title`` for any number of requests: an n-gram inverted index turns the substring
+    test into an equi-join. Items sharing all of a query's 3-grams are candidates, then the exact
+    ``contains`` check confirms them.
     """
     keys = list(keys)
     qg = query_grams(queries)

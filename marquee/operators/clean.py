@@ -164,16 +164,17 @@ def keep_latest(df: DataFrame, key: str | Sequence[str], seq: str) -> DataFrame:
 
 # ---------------------------------------------------- catalog cleaning
 def clean_catalog(raw: DataFrame, vocab: Sequence[str] = CANONICAL_GENRES,
-                  bucket_years: int = 10) -> DataFrame:
+                  bucket_years: int = 10, scored: bool = True) -> DataFrame:
     """The catalog loader: required columns, typing, decade, sanity filter,
-    search title, genre lists, weighted score. Input columns are strings."""
+    search title, genre lists and, unless nobody asks for it, the weighted score (which
+    takes scans of its own). Input columns are strings."""
     df = clean_required(raw, ("id", "title"))
     df = clean_coerce(df)
     df = decade_bucket(df, bucket_years)
     df = sanity_filter(df)
     df = df.withColumn("title_norm", title_norm("title"))
     df = with_lists(df, vocab)
-    return weighted_score(df)
+    return weighted_score(df) if scored else df
 
 
 # -------------------------------------------------- ETL stages
@@ -283,27 +284,52 @@ def numeric_describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                            ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+def distinct_counts(df: DataFrame, sets: dict[str, Sequence[Column | str]],
+                    carried: Sequence[Column] = ()) -> tuple[DataFrame, list[Column]]:
+    """Several distinct counts by one two-level aggregate: every row sends a number and a 128-bit hash per
+    set of columns, equal ones are combined before the shuffle, and only hashes are shuffled.
+
+    Returns the first level (``kind``: place of the set; ``a``, ``b``: its hash, null where a set of
+    one column is null; ``times``; ``carried`` aggregates, which belong to ``kind`` 0) and the columns of the second: one distinct
+    count per set, named by it.
+    """
+    marks = []
+    for i, columns in enumerate(sets.values()):
+        cols = [col(c) for c in columns]
+        values = [*cols, *[c.isNull() for c in cols]]  # a hash skips nulls
+        known = cols[0].isNotNull() if len(cols) == 1 else F.lit(True)
+        marks.append(F.struct(F.lit(i).alias("kind"), F.when(known, F.xxhash64(*values)).alias("a"),
+                              F.when(known, F.xxhash64(F.lit(i + 1), *values)).alias("b")))
+    rows = df.select("*", F.explode(F.array(*marks)).alias("_mark"))
+    level = rows.groupBy("_mark.kind", "_mark.a", "_mark.b").agg(F.count(F.lit(1)).alias("times"), *carried)
+    return level, [F.count(F.when(F.col("kind") == i, F.col("a"))).alias(name) for i, name in enumerate(sets)]
+
+
 def duplicate_audit(df: DataFrame, key: str = "id") -> DataFrame:
     """Repeated keys and fully repeated rows."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(F.col(key)).alias("n_keys"),
-        (F.count(F.lit(1)) - F.count_distinct(F.col(key))).alias("repeated_keys"),
-        (F.count(F.lit(1)) - F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("repeated_rows"),
-    )
+    level, counts = distinct_counts(df, {"n_keys": [f"`{key}`"], "n_distinct": [f"`{c}`" for c in df.columns]})
+    total = level.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("times"))), F.lit(0)).alias("n_rows"), *counts)
+    # a table of one column: a null row is a row
+    distinct = F.col("n_distinct")
+    if len(df.columns) == 1:
+        total = total.join(level.where("kind = 1 AND a IS NULL").agg(F.count(F.lit(1)).alias("_none")), how="inner", on=F.lit(True))
+        distinct = distinct + F.col("_none")
+    return total.select("n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("repeated_keys"),
+                        (F.col("n_rows") - distinct).alias("repeated_rows"))
 
 
 def overview_stats(ratings: DataFrame) -> DataFrame:
     """Distinct users and items, time span, year span, distinct decades."""
     ts = F.col("ts")
-    return ratings.agg(
-        F.count(F.lit(1)).alias("n_ratings"),
-        F.count_distinct("user_id").alias("n_users"),
-        F.count_distinct("item_id").alias("n_items"),
-        F.min(ts).cast("string").alias("first_ts"), F.max(ts).cast("string").alias("last_ts"),
-        F.min(F.year(ts)).alias("first_year"), F.max(F.year(ts)).alias("last_year"),
-        F.count_distinct(bucket(F.year(ts), 10)).alias("n_decades"),
-    )
+    level, counts = distinct_counts(
+        ratings, {"n_users": ["user_id"], "n_items": ["item_id"], "n_decades": [bucket(F.year(ts), 10)]},
+        [F.min(ts).alias("first"), F.max(ts).alias("last")])
+    total = level.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("times"))), F.lit(0)).alias("n_ratings"), *counts,
+                      F.min("first").alias("first"), F.max("last").alias("last"))
+    return total.select(
+        "n_ratings", "n_users", "n_items", F.col("first").cast("string").alias("first_ts"),
+        F.col("last").cast("string").alias("last_ts"), F.year("first").alias("first_year"), F.year("last").alias("last_year"),
+        "n_decades")
 
 
 def presence_counts(df: DataFrame) -> DataFrame:

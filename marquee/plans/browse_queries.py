@@ -16,8 +16,8 @@ from marquee.sources.tables import read_table
 PER_PAGE = 24
 
 
-def _cat(spark, d):
-    return clean_film_catalog(spark, d)
+def _cat(spark, d, scored=False):
+    return clean_film_catalog(spark, d, scored)
 
 
 def search_requests(spark, d):
@@ -51,7 +51,7 @@ SELECT id, load_seq, position, CAST(floor((position - 1) / {PER_PAGE}) + 1 AS BI
 @register("browse_popular", with_views(["dirty_film"], *CATALOG_CTES,
                                        final=_pages_sql("weighted_score DESC NULLS LAST")))
 def q_browse_popular(spark, d):
-    return B.browse_pages(_cat(spark, d), "popular", PER_PAGE).select("id", "load_seq", "position", "page")
+    return B.browse_pages(_cat(spark, d, scored=True), "popular", PER_PAGE).select("id", "load_seq", "position", "page")
 
 
 @register("browse_rate", with_views(["dirty_film"], *CATALOG_CTES,
@@ -76,7 +76,7 @@ def q_browse_normal(spark, d):
 SELECT id, load_seq, title FROM cat
 ORDER BY weighted_score DESC NULLS LAST, id, load_seq LIMIT 24 OFFSET 48"""))
 def q_browse_page(spark, d):
-    return B.browse_page(_cat(spark, d), "popular", 3, PER_PAGE).select("id", "load_seq", "title")
+    return B.browse_page(_cat(spark, d, scored=True), "popular", 3, PER_PAGE).select("id", "load_seq", "title")
 
 
 @register("browse_genre", with_views(["dirty_film"], *CATALOG_CTES, final="""
@@ -108,28 +108,50 @@ def q_suggest_titles(spark, d):
     return s.select("query_id", "id", "load_seq", "title", "rank")
 
 
-@register("list_projection", with_views(["dirty_film"], *CATALOG_CTES, final="""
-SELECT id, title, release_year, primary_genre, round(vote_average, 6) AS vote_average,
-       CAST(NULL AS VARCHAR) AS poster_url
-FROM cat"""))
+def _full(spark, d):
+    """The catalog with every column the payloads can carry, made of its own ones."""
+    i = F.col("id")
+    return _cat(spark, d).select(
+        "*", F.when(i % 5 > 0, F.concat(F.lit("About "), "title")).alias("overview"),
+        F.when(i % 3 > 0, F.array("title_norm", F.lit("film"))).alias("keywords_list"),
+        F.when(i % 4 > 0, F.array("title")).alias("top_cast_list"),
+        F.element_at(F.split("title", " "), 1).alias("director"),
+        F.when(F.col("budget") > 0, F.col("revenue") / F.col("budget")).alias("roi"),
+        (F.col("revenue") - F.col("budget")).alias("profit"), (F.col("vote_count") * 1.5).alias("popularity"),
+        F.when(i % 2 == 0, F.lit("en")).otherwise(F.lit("fr")).alias("original_language"),
+        F.col("primary_genre").alias("countries"), F.concat(F.lit("/p/"), i.cast("string")).alias("poster_url"))
+
+
+_FULL_SQL = ("payload", """
+  SELECT *, CASE WHEN id % 5 > 0 THEN 'About ' || title END AS overview,
+         CASE WHEN id % 3 > 0 THEN [title_norm, 'film'] END AS keywords_list,
+         CASE WHEN id % 4 > 0 THEN [title] END AS top_cast_list, string_split(title, ' ')[1] AS director,
+         CASE WHEN budget > 0 THEN revenue / budget END AS roi, revenue - budget AS profit,
+         vote_count * 1.5 AS popularity, CASE WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS original_language,
+         primary_genre AS countries, '/p/' || CAST(id AS VARCHAR) AS poster_url FROM cat""")
+
+
+@register("list_projection", with_views(["dirty_film"], *CATALOG_CTES, _FULL_SQL, final="""
+SELECT id, title, release_year, primary_genre, round(vote_average, 6) AS vote_average, poster_url FROM payload"""))
 def q_list_projection(spark, d):
-    p = B.list_projection(_cat(spark, d))
+    p = B.list_projection(_full(spark, d))
     return p.withColumn("vote_average", r6("vote_average"))
 
 
-@register("detail_projection", with_views(["dirty_film"], *CATALOG_CTES, final="""
-SELECT id, title, release_year, release_decade, primary_genre,
-       array_to_string(genres_list, ',') AS genres, '' AS keywords, '' AS overview,
-       round(vote_average, 6) AS vote_average, round(vote_count, 6) AS vote_count,
-       round(runtime, 6) AS runtime, round(budget, 6) AS budget, round(revenue, 6) AS revenue
-FROM cat"""))
+_NUMBERS = ("vote_average", "vote_count", "runtime", "budget", "revenue", "profit", "roi", "popularity")
+_LISTS = ("genres", "keywords", "top_cast")
+
+
+@register("detail_projection", with_views(["dirty_film"], *CATALOG_CTES, _FULL_SQL, final=f"""
+SELECT id, title, release_year, release_decade, primary_genre, coalesce(overview, '') AS overview, director,
+       original_language, countries, poster_url,
+       {", ".join(f"array_to_string(coalesce({c}_list, []), ',') AS {c}" for c in _LISTS)},
+       {", ".join(f"round({c}, 6) AS {c}" for c in _NUMBERS)}
+FROM payload"""))
 def q_detail_projection(spark, d):
-    p = B.detail_projection(_cat(spark, d))
-    return p.select("id", "title", "release_year", "release_decade", "primary_genre",
-                    F.array_join("genres", ",").alias("genres"),
-                    F.array_join("keywords", ",").alias("keywords"), "overview",
-                    *[r6(c).alias(c) for c in ("vote_average", "vote_count", "runtime", "budget",
-                                               "revenue")])
+    p = B.detail_projection(_full(spark, d))
+    return p.select(*[r6(c).alias(c) if c in _NUMBERS else F.array_join(c, ",").alias(c) if c in _LISTS else F.col(c)
+                      for c in p.columns])
 
 
 @register("lookup_item", with_views(["dirty_film"], *CATALOG_CTES, ("r", """

@@ -65,11 +65,12 @@ CATALOG_CTES = [*_CLEAN, ("sc", """
   FROM sane, sc""")]
 
 
-def clean_film_catalog(spark, d):
+def clean_film_catalog(spark, d, scored=True):
     """The cleaned film catalog used by the browse queries."""
-    df = C.clean_catalog(_dirty(spark, d), VOCAB, bucket_years=1)
-    return df.withColumn("weighted_score", F.round("weighted_score", 9)).withColumn(
-        "release_year", F.col("release_year").cast("int"))
+    df = C.clean_catalog(_dirty(spark, d), VOCAB, bucket_years=1, scored=scored)
+    if scored:
+        df = df.withColumn("weighted_score", F.round("weighted_score", 9))
+    return df.withColumn("release_year", F.col("release_year").cast("int"))
 
 
 @register("drop_empty_columns", with_views(["dirty_film"], final="SELECT * FROM dirty_film"))

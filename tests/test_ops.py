@@ -47,10 +47,25 @@ def test_search_matches_brute_force(spark):
         "title_norm", title_norm("title"))
     qs = ["ab", "a", "bcab", "", "abca", "xab", "q"]
     q = spark.createDataFrame(list(enumerate(qs)), "query_id long, q string")
-    got = {(r[0], r[1]) for r in B.search_title(cat, q).select("query_id", "id").collect()}
+    found = B.search_title(cat, q).select("query_id", "id", "title", "q_norm").collect()
+    got = {(r[0], r[1]) for r in found}
+    assert len(got) == len(found)
+    by_grams = {(r[0], r[1]) for r in B.search_title(cat, q, most_patterns=3).select("query_id", "id").collect()}
     exp = {(qi, i) for qi, s in enumerate(qs) for i, t in enumerate(titles)
            if s.replace(" ", "") in t.replace(" ", "").lower()}
-    assert got == exp
+    assert got == exp and by_grams == exp
+
+
+def test_search_shuffles_hits_only(spark):
+    """A gram that every title has: the plan moves no titles, and equal requests are looked up once."""
+    cat = spark.range(2000).select("id", F.concat(F.lit("the same title "), F.col("id").cast("string")).alias("title"))
+    cat = cat.withColumn("title_norm", title_norm("title")).unionByName(spark.createDataFrame(
+        [(9999, None, None)], "id long, title string, title_norm string"))
+    q = spark.createDataFrame([(1, "title 1999"), (2, "Title 1999"), (3, None), (4, "nothing")], "query_id long, q string")
+    hits = B.search_title(cat, q)
+    assert sorted((r.query_id, r.id) for r in hits.collect()) == [(1, 1999), (2, 1999)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "gram" not in plan
 
 
 def test_paging(spark):
@@ -147,3 +162,14 @@ def test_genre_onehot_cosine_brute_force(spark):
     assert got == {5: 1.0, 2: 1 / math.sqrt(2), 3: 0.5}
     rng = T.genre_similarity_range(items).first()
     assert rng["min_sim"] == 0.0 and rng["max_sim"] == 1.0
+
+
+def test_distinct_counts_in_one_shuffle(spark):
+    rows = [(1, "a", None), (1, None, "a"), (1, "a", None), (None, "a", "b"), (2, "", None), (2, None, None), (None, "a", "b")]
+    df = spark.createDataFrame(rows, "id long, x string, y string")
+    r = C.duplicate_audit(df).first()
+    assert tuple(r) == (7, 2, 5, 2)
+    assert tuple(C.duplicate_audit(df.select("id")).first()) == (7, 2, 5, 4)
+    assert tuple(C.duplicate_audit(df.where("id > 9")).first()) == (0, 0, 0, 0)
+    plan = C.duplicate_audit(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Aggregate") == 2
