@@ -406,12 +406,12 @@ def _full_rank_sql(alphas):
   UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 1000000000 AS BIGINT) FROM nation WHERE n_nationkey % 2 = 1""")
     content = [("liked", "SELECT * FROM lk") if c == _LIKED_SQL else c for c in _hybrid_content_sql()]
     return [*_BRAND_SQL, _BRAND_LIKES_SQL[0], ("lk0", _BRAND_LIKES_SQL[1][1]), likes, *_FOLD_IN_SQL, *content, ("zc", """
-  SELECT request_id, CASE WHEN hi > lo THEN (0 - lo) / (hi - lo) ELSE 0 END AS z FROM per"""), ("cr", """
+  SELECT request_id, CASE WHEN hi > lo THEN (0 - lo) / (hi - lo) ELSE 0 END AS z FROM per"""), ("onshelf", """
   SELECT * FROM fold WHERE item_id IN (SELECT id FROM catalog)"""), ("cends", """
   SELECT request_id, CASE WHEN all_in THEN mn ELSE least(mn, 0) END AS lo, CASE WHEN all_in THEN mx ELSE greatest(mx, 0) END AS hi
   FROM (SELECT request_id, min(raw) AS mn, max(raw) AS mx, count(*) = (SELECT count(*) FROM catalog) AS all_in
-        FROM cr GROUP BY 1)"""), ("fs", """
-  SELECT request_id, item_id, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 0 END AS score FROM cr JOIN cends USING (request_id)"""),
+        FROM onshelf GROUP BY 1)"""), ("fs", """
+  SELECT request_id, item_id, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 0 END AS score FROM onshelf JOIN cends USING (request_id)"""),
         ("zf", "SELECT request_id, CASE WHEN hi > lo THEN (0 - lo) / (hi - lo) ELSE 0 END AS z FROM cends"), ("bl", f"""
   SELECT al.alpha, q.request_id, c.id AS item_id,
          (1 - al.alpha) * coalesce(cs.score, zc.z, 0) + al.alpha * coalesce(fs.score, zf.z, 0) AS score
