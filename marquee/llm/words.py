@@ -15,6 +15,8 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 from marquee.llm.workers import store
 
 #: A space that does not begin a pre-token of its own with what follows.
@@ -53,6 +55,8 @@ class PartEncoder:
 
     @staticmethod
     def _bytes(ids) -> bytes:
+        if isinstance(ids, np.ndarray):
+            return ids.tobytes()
         out = array("I", ids)
         if sys.byteorder != "little":
             out.byteswap()
@@ -71,6 +75,8 @@ class PartEncoder:
         text = _CLOSING.sub(" " + MARK, text)
         if "\n" not in text or _ODD_LINE.search(text):
             return [parts(text)]
+        if _INNER.search(text) is None:
+            return [line.split(" ") for line in text.split("\n")]
         return [parts(line) for line in text.split("\n")]
 
     def _learn(self, first: dict[str, bytes], later: dict[str, bytes], new_first: set[str], new_later: set[str]) -> None:
@@ -145,8 +151,34 @@ def tokenizers_encoder(path: str, prefix: str) -> PartEncoder:
         normal = tokenizer.normalizer.normalize_str("AZ") if tokenizer.normalizer else "AZ"
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
-        def encode_many(strings: list[str]):
-            return [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-        known[path] = PartEncoder(encode_many, prefix, folds=normal == "az", special=special)
+        between = {tokenizer.token_to_id(t): t for t in special}
+        known[path] = PartEncoder(_joined(tokenizer, between), prefix, folds=normal == "az", special=special)
     return known[path]
+
+
+def _joined(tokenizer, between: dict[int, str], most: int = 4096):
+    """Ids of many strings by few calls: a special token stands alone whatever is beside it, so strings joined
+    by one are cut again at its id. Strings that hold one themselves, and all if there is none, go one by one."""
+    def one_by_one(strings: list[str]) -> list:
+        return [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode_many(strings: list[str]) -> list:
+        plain = [i for i, s in enumerate(strings) if not any(t in s for t in between.values())] if between else []
+        out: list = [None] * len(strings)
+        if plain:
+            cut_id, cut = next(iter(between.items()))
+            for a in range(0, len(plain), most):
+                some = plain[a:a + most]
+                ids = np.array(tokenizer.encode_batch_fast([cut.join([strings[i] for i in some])],
+                                                           add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = [*np.flatnonzero(ids == cut_id).tolist(), len(ids)]
+                start = 0
+                for i, end in zip(some, ends):
+                    out[i] = ids[start:end]
+                    start = end + 1
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, one_by_one([strings[i] for i in rest]) if rest else []):
+            out[i] = ids
+        return out
+
+    return encode_many
