@@ -203,3 +203,26 @@ def test_queries_use_the_proved_tolerance(spark, monkeypatch):
             build(spark, "/root/testdata/sf0.001")
         args, kw = e.value.args
         assert len(args) == 1 and "tol" not in kw
+
+
+def test_best_of_a_block_against_a_full_sort():
+    """Ties, seen places, an id that comes twice and scores that are no numbers, over several strips."""
+    rng = np.random.default_rng(3)
+    q, v = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (900, 3)).astype(float)
+    v[7, 1] = v[501, 0] = q[5, 2] = np.nan
+    off, ids = np.zeros(40), np.sort(rng.integers(0, 880, 900))
+    seen = np.nonzero(rng.random((40, 900)) < 0.3)
+    row, at, best = CF._best(q, off, seen, ids, v, 6, -3.0, 3.0, wide=128)
+    s, free = np.clip(q @ v.T, -3.0, 3.0), np.ones((40, 900), dtype=bool)
+    free[seen] = False
+    for r in range(40):
+        left = np.flatnonzero(free[r])
+        want = left[np.lexsort((left, -np.round(s[r, left], 9)))[:6]]
+        assert at[row == r].tolist() == want.tolist()
+        assert np.array_equal(best[row == r], s[r, want], equal_nan=True)
+
+
+def test_blocks_of_scores_grow_with_the_tables():
+    for rows in (10 ** 5, 10 ** 6, 2 * 10 ** 6):
+        assert -(-rows // CF.block_size(rows, 4096, 131072)) <= 16
+    assert CF.block_size(10, 4096, 131072) == 4096 and CF.block_size(10 ** 9, 4096, 131072) == 131072
