@@ -173,3 +173,31 @@ def test_distinct_counts_in_one_shuffle(spark):
     assert tuple(C.duplicate_audit(df.where("id > 9")).first()) == (0, 0, 0, 0)
     plan = C.duplicate_audit(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and plan.count("Aggregate") == 2
+
+
+def test_similarities_shuffle_no_pairs_and_sum_like_the_matrix(spark):
+    """Requests that share a seed, one without an id, seeds that are items, an item that only shares with itself."""
+    rng = np.random.default_rng(2)
+    w = np.where(rng.random((30, 12)) < 0.25, rng.random((30, 12)), 0.0)
+    w[4] = 0.0
+    w[4, 11], w[5:, 11], w[:4, 11] = 0.7, 0.0, 0.0  # term 11: only document 4
+    weights = spark.createDataFrame([(int(i), f"t{t}", float(w[i, t])) for i, t in zip(*np.nonzero(w))], "id long, term string, w double")
+    asked = [(1, 0), (1, 4), (1, 7), (2, 7), (2, 7), (3, 4), (None, 7), (5, 99)]
+    seeds = spark.createDataFrame(asked, "request_id long, item_id long")
+    sims = w @ w.T
+    got = T.seed_scores(weights, seeds)
+    want = {(r, s, i): sims[s, i] for r, s in set(asked) if s < 30 for i in range(30) if i != s and sims[s, i] > 0}
+    rows = {(r.request_id, r.seed_id, r.item_id): r.sim for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing meets the pairs afterwards
+    top = T.similar_items(weights, seeds, 3).collect()
+    for (r, s) in set(asked):
+        order = sorted((i for (a, b, i) in want if (a, b) == (r, s)), key=lambda i: (-round(sims[s, i], 9), i))[:3]
+        assert [x.item_id for x in sorted(top, key=lambda x: x.rank) if (x.request_id, x.seed_id) == (r, s)] == order
+    catalog = spark.createDataFrame([(i,) for i in range(25)], "id long")
+    raw = {}
+    for (r, s, i), sim in want.items():
+        if r is not None and i < 25:
+            raw[r, i] = raw.get((r, i), 0.0) + sim
+    out = {(x.request_id, x.item_id): x.raw for x in T.content_scores(weights, seeds, catalog).collect()}
+    assert out.keys() == raw.keys() and all(abs(out[k] - raw[k]) < 1e-12 for k in raw)
