@@ -226,3 +226,31 @@ def test_blocks_of_scores_grow_with_the_tables():
     for rows in (10 ** 5, 10 ** 6, 2 * 10 ** 6):
         assert -(-rows // CF.block_size(rows, 4096, 131072)) <= 16
     assert CF.block_size(10, 4096, 131072) == 4096 and CF.block_size(10 ** 9, 4096, 131072) == 131072
+
+
+def test_strips_multiply_like_the_matrix(spark):
+    """A row longer than a chunk, both sides, and no exchange that carries the strips."""
+    import inspect
+
+    import pyarrow as pa
+
+    from marquee.functions import blocks as BL
+    rng = np.random.default_rng(1)
+    a = np.where(rng.random((6, 90_000)) < 0.01, rng.normal(size=(6, 90_000)), 0.0)
+    a[2] = rng.normal(size=90_000)
+    x, y = rng.normal(size=(90_000, 3)), rng.normal(size=(6, 3))
+    r, c = np.nonzero(a)
+    for own, other, m, n, want in ((r, c, x, 6, a @ x), (c, r, y, 90_000, a.T @ y)):
+        t = BL._strip(pa.table({"side": pa.array([0] * len(r), pa.int32()), "block": pa.array([0] * len(r), pa.int32()),
+                                "own": own, "other": other, "vals": a[r, c]}))
+        strip = (*(np.frombuffer(t[k][0].as_py(), np.int32) for k in ("degs", "at", "idx")), np.frombuffer(t["vals"][0].as_py()))
+        assert np.allclose(BL._times([strip], m, n), want)
+    df = spark.createDataFrame([(i, j, float(i * j % 7 + 1)) for i in range(30) for j in range(20)], "r long, c long, v double")
+    made = BL.cells(df, "r", "c", "v", 8)
+    factor = made.col_keys.select(F.col("block").alias("key"), F.size("keys").alias("n")).mapInArrow(
+        lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array([np.ones((n, 4)).tobytes() for n in b.column(1).to_pylist()],
+                    pa.binary())], names=["key", "m"]) for b in bs), "key int, m binary")
+    done = BL._sharded(made, factor, 4, ["m"], lambda forward, back, m: [back(forward(m))], 3)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert inspect.signature(BL.cells).parameters["whole"].default == BL.WHOLE
