@@ -5,9 +5,10 @@ block and one column block as index and value arrays; a *factor* is one dense ma
 order of the block's keys. A product sends a block's matrix to the cells that need it, multiplies
 with numpy inside the task and adds the cells' results up, at most ``FAN`` at a time, so a task holds
 a bounded number of block matrices whatever the number of blocks. A matrix of bounded size (a
-checked number of entries) lies in *strips* of whole rows and of whole columns instead; every task reads them all
+checked number of entries) lies in *strips* of whole rows instead; every task reads them all
 as they lie in the shared folder and has some of the factor's columns, so that a polynomial of A^T A
-takes one pass, and its shuffles do not depend on the number of products. Everything that outlives a
+takes one pass, and its shuffles do not depend on the number of products. A task holds the strips once, for
+both directions, and so few of the factor's columns that these stay within ``HELD`` bytes. Everything that outlives a
 job is written to the shared folder; only matrices of the factor's width reach the driver.
 """
 
@@ -21,21 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.session import written
+from marquee.session import discarded, written
 
 FAN = 32
 PART = "key int, part long, m binary"
 
 
-#: Entries up to which every task may hold all of A (24 bytes each); beyond, products go cell by cell.
+#: Entries up to which every task may hold all of A (12 bytes each); beyond, products go cell by cell.
 WHOLE = 32_000_000
 #: Entries multiplied at a time.
-CHUNK = 65_536
+SCATTER = 1 << 20
+#: Bytes of a factor's columns, and of what is made of them, that a task holds beside the strips.
+HELD = 192 << 20
 
 
 class Cells(NamedTuple):
     cells: DataFrame | None  #: rb, cb, rows, cols, vals (binary: int32, int32, float64)
-    strips: DataFrame | None  #: side (0 rows, 1 columns), block, degs, at, idx, vals (binary: int32 and float64)
+    strips: DataFrame | None  #: side (0: rows), block, degs, at, idx, vals (binary: int32 and float64)
     row_keys: DataFrame  #: block, keys
     col_keys: DataFrame
     n_rows: int
@@ -67,7 +70,7 @@ STRIP = "side int, block int, degs binary, at binary, idx binary, vals binary"
 
 
 def _strip(table: pa.Table) -> pa.Table:
-    """The rows (columns) of a block by their number of entries: ``degs`` pairs of that number and
+    """The rows of a block by their number of entries: ``degs`` pairs of that number and
     how many rows have it, ``at`` the rows, ``idx`` and ``vals`` their entries row after row."""
     own, other, vals = (table[c].to_numpy() for c in ("own", "other", "vals"))
     order = np.lexsort((other, own))
@@ -109,11 +112,11 @@ def cells(entries: DataFrame, row: str, col: str, value: str, size: int = 4096,
         table = spark.createDataFrame(list(_starts(sizes).items()), f"{block} int, start int")
         placed = placed.join(F.broadcast(table), block).withColumn(at, F.col(at) + F.col("start")).drop("start")
     placed = written(placed, "placed")
-    sides = [placed.select(F.lit(side).alias("side"), F.col(block).alias("block"), F.col(own).alias("own"),
-                           F.col(other).alias("other"), "vals")
-             for side, block, own, other in ((0, "rb", "rows", "cols"), (1, "cb", "cols", "rows"))]
-    strips = sides[0].unionByName(sides[1]).groupBy("side", "block").applyInArrow(_strip, STRIP)
-    return Cells(None, written(strips, "strips"), row_keys, col_keys, n_rows, n_cols, rb, cb, row_sizes, col_sizes)
+    own = placed.select(F.lit(0).alias("side"), F.col("rb").alias("block"), F.col("rows").alias("own"),
+                        F.col("cols").alias("other"), "vals")
+    strips = written(own.groupBy("side", "block").applyInArrow(_strip, STRIP), "strips")
+    discarded(placed)
+    return Cells(None, strips, row_keys, col_keys, n_rows, n_cols, rb, cb, row_sizes, col_sizes)
 
 
 def _matrix(raw: bytes, width: int) -> np.ndarray:
@@ -193,33 +196,66 @@ def scaled(parts: DataFrame, times: float) -> DataFrame:
 
 
 # -------------------------------------------- A^T A and polynomials of it, applied to a factor
-def _times(strips: list[tuple[np.ndarray, ...]], x: np.ndarray, n: int) -> np.ndarray:
-    """A (or its transpose, whichever the strips are of) times ``x``."""
-    y = np.zeros((n, x.shape[1]))
+def _pieces(strips: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of at most ``SCATTER`` entries: rows, the number of entries of each, and the entries' places and values."""
     for degs, at, idx, vals in strips:
-        row = entry = 0
-        for d, rows in degs.reshape(-1, 2).tolist():
-            for _ in range(0, rows, step := max(1, CHUNK // d)):
-                k = min(step, rows)
-                rows -= k
-                if d <= CHUNK:
-                    terms = x.take(idx[entry:entry + k * d], axis=0).reshape(k, d, -1)
-                    y[at[row:row + k]] = np.matmul(vals[entry:entry + k * d].reshape(k, 1, d), terms)[:, 0]
-                else:  # one long row, piece by piece
-                    for p in range(entry, entry + d, CHUNK):
-                        stop = min(p + CHUNK, entry + d)
-                        y[at[row]] += vals[p:stop] @ x.take(idx[p:stop], axis=0)
-                row, entry = row + k, entry + k * d
-    return y
+        ends = np.cumsum(np.repeat(*degs.reshape(-1, 2).T), dtype=np.int64)
+        for lo in range(0, len(idx), SCATTER):
+            hi = min(lo + SCATTER, len(idx))
+            first, last = np.searchsorted(ends, [lo, hi - 1], "right")
+            counts = np.diff(np.concatenate([[lo], ends[first:last], [hi]]))
+            yield at[first:last + 1].astype(np.intp), counts, idx[lo:hi].astype(np.intp), vals[lo:hi]
+
+
+def _times(strips: list[tuple[np.ndarray, ...]], x: np.ndarray, n: int) -> np.ndarray:
+    """The matrix whose rows the strips hold times ``x``."""
+    out, x = np.zeros((x.shape[1], n)), np.ascontiguousarray(x.T)
+    for rows, counts, idx, vals in _pieces(strips):
+        starts = np.cumsum(counts) - counts
+        for total, column in zip(out, x):
+            total[rows] += np.add.reduceat(vals * column.take(idx), starts)
+    return np.ascontiguousarray(out.T)
+
+
+def _back(strips: list[tuple[np.ndarray, ...]], y: np.ndarray, n: int) -> np.ndarray:
+    """The transpose of the matrix whose rows the strips hold times ``y``: entries are added up over
+    their columns, those of small strips together."""
+    out, y = np.zeros((y.shape[1], n)), np.ascontiguousarray(y.T)
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def add():
+        own, idx, vals = (np.concatenate(k) for k in zip(*parts))
+        for total, column in zip(out, y):
+            total += np.bincount(idx, vals * column.take(own), n)
+        parts.clear()
+
+    held = 0
+    for rows, counts, idx, vals in _pieces(strips):
+        parts.append((np.repeat(rows, counts), idx, vals))
+        held += len(idx)
+        if held >= SCATTER:
+            add()
+            held = 0
+    if parts:
+        add()
+    return np.ascontiguousarray(out.T)
+
+
+def shard_count(tasks: int, width: int, n_rows: int, n_cols: int) -> int:
+    """Shards of a factor's columns: one a task, a multiple of it where a task would hold over ``HELD`` bytes."""
+    return max(1, min(width, tasks * max(1, -(-8 * width * (6 * n_cols + 2 * n_rows) // (HELD * tasks)))))
 
 
 def _sharded(a: Cells, factor: DataFrame, width: int, made: Sequence[str], fn: Callable[..., Sequence[np.ndarray]],
-             shards: int | None, out_rows: bool = False) -> DataFrame:
+             shards: int | None, out_rows: bool = False, used: list[DataFrame] | None = None, found: int = 0) -> DataFrame:
     """``key`` and the matrices ``fn(forward, back, matrix)`` makes of a factor's, each task for
-    one shard of the columns over all rows; it reads all strips of A from the shared folder."""
+    one shard of the columns over all rows; it reads all strips of A from the shared folder. With ``found``, the
+    factor's first columns go to every task as ``fn``'s fourth argument, and only the others come out. A table that is
+    of no use once the result is written joins ``used``."""
     spark = factor.sparkSession
-    shards = max(1, min(shards or spark.sparkContext.defaultParallelism, width))
-    cuts = np.linspace(0, width, shards + 1).astype(int).tolist()
+    shards = shards or shard_count(spark.sparkContext.defaultParallelism, width, a.n_rows, a.n_cols)
+    shards = max(1, min(shards, width - found))
+    cuts = np.linspace(found, width, shards + 1).astype(int).tolist()
     col_starts, col_sizes, n_rows, n_cols = _starts(a.col_sizes), a.col_sizes, sum(a.row_sizes.values()), sum(a.col_sizes.values())
     sizes = a.row_sizes if out_rows else a.col_sizes
     starts = _starts(sizes)
@@ -231,28 +267,31 @@ def _sharded(a: Cells, factor: DataFrame, width: int, made: Sequence[str], fn: C
                 for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([g], pa.int32()), batch.column(0).slice(i, 1),
-                         pa.array([np.ascontiguousarray(m[:, lo:hi]).tobytes()], pa.binary())], names=["shard", "block", "vals"])
+                         pa.array([np.hstack([m[:, :found], m[:, lo:hi]]).tobytes()], pa.binary())], names=["shard", "block", "vals"])
 
     sliced = written(factor.select("key", "m").mapInArrow(cut, "shard int, block int, vals binary"), "shards", "uncompressed")
+    if used is not None:
+        used.append(sliced)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strips: tuple[list, list] = ([], [])
+        strips: list = []
         shard = x = None
         for batch in batches:
             for i in range(batch.num_rows):
                 if shard is None:
                     shard = batch.column("id")[i].as_py()
-                    x = np.zeros((n_cols, cuts[shard + 1] - cuts[shard]))
+                    x = np.zeros((n_cols, found + cuts[shard + 1] - cuts[shard]))
                 side, block = batch.column("side")[i].as_py(), batch.column("block")[i].as_py()
                 raw = batch.column("vals")[i].as_buffer()
                 if side == 2:
                     x[col_starts[block]:col_starts[block] + col_sizes[block]] = _matrix(raw, x.shape[1])
                 else:
                     ints = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("degs", "at", "idx"))
-                    strips[side].append((*ints, np.frombuffer(raw)))
+                    strips.append((*ints, np.frombuffer(raw)))
         if shard is None:
             return
-        done = fn(lambda m: _times(strips[0], m, n_rows), lambda m: _times(strips[1], m, n_cols), x)
+        done = fn(lambda m: _times(strips, m, n_rows), lambda m: _back(strips, m, n_cols), *(
+            (np.ascontiguousarray(x[:, found:]), np.ascontiguousarray(x[:, :found])) if found else (x,)))
         for key, at in starts.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([key], pa.int32())]
@@ -276,16 +315,22 @@ def _sharded(a: Cells, factor: DataFrame, width: int, made: Sequence[str], fn: C
 
 
 def filtered(a: Cells, factor: DataFrame, width: int, turn: np.ndarray, half: float, degree: int,
-             shards: int | None = None) -> DataFrame:
+             shards: int | None = None, values: Sequence[float] = ()) -> DataFrame:
     """``key, m, im``: T_degree((A^T A - half) / half) of the turned factor, and A^T A of that;
-    written. T_n+1 = 2 (A^T A - half) / half T_n - T_n-1."""
+    written. T_n+1 = 2 (A^T A - half) / half T_n - T_n-1. With ``values`` (strips only), the first
+    columns are eigenvectors of these values: they stay, and are taken out of A^T A for the others."""
     w = turn.shape[1]
     turned = mapped(factor, ["m"], [width], ["m"], lambda m: [m @ turn])
 
-    def polynomial(forward, back, now):
+    n = len(values)
+    values = np.asarray(values, dtype=np.float64)[:, None]
+
+    def polynomial(forward, back, now, known=None):
         before = None
         for step in range(degree):
             up = back(forward(now))
+            if known is not None:
+                up -= known @ (values * (known.T @ now))
             up /= half
             up -= now
             if step:
@@ -295,21 +340,33 @@ def filtered(a: Cells, factor: DataFrame, width: int, turn: np.ndarray, half: fl
         return [now, back(forward(now))]
 
     if a.strips is not None:
-        return written(_sharded(a, turned, w, ["m", "im"], polynomial, shards), "filtered", "uncompressed")
+        used: list[DataFrame] = []
+        out = _sharded(a, turned, w, ["m", "im"], polynomial, shards, used=used, found=n)
+        if n:  # the known ones and their images, put before the others
+            images = mapped(factor, ["m", "im"], [width] * 2, ["km", "kim"], lambda m, im: [m @ turn[:, :n], im @ turn[:, :n]])
+            out = mapped(out.join(images, "key"), ["m", "im", "km", "kim"], [w - n, w - n, n, n], ["m", "im"],
+                         lambda m, im, km, kim: [np.hstack([km, m]), np.hstack([kim, im])])
+        out = written(out, "filtered", "uncompressed")
+        discarded(*used)
+        return out
     before, now = None, written(turned, "turned", "uncompressed")
     for step in range(degree):
         also = [(now, -2.0), (before, -1.0)] if step else [(now, -1.0)]
-        before, now = now, written(product(a, product(a, now, w), w, transposed=True, scale=(2 if step else 1) / half,
-                                           also=also), "filtered", "uncompressed")
+        old, before, now = before, now, written(product(a, product(a, now, w), w, transposed=True, scale=(2 if step else 1) / half,
+                                                        also=also), "filtered", "uncompressed")
+        discarded(*(t for t in (old,) if t is not None))
     image = product(a, product(a, now, w), w, transposed=True)
-    return written(now.join(image.withColumnRenamed("m", "im"), "key"), "filtered", "uncompressed")
+    out = written(now.join(image.withColumnRenamed("m", "im"), "key"), "filtered", "uncompressed")
+    discarded(*(t for t in (before, now) if t is not None))
+    return out
 
 
-def left_product(a: Cells, factor: DataFrame, width: int, shards: int | None = None) -> DataFrame:
+def left_product(a: Cells, factor: DataFrame, width: int, shards: int | None = None,
+                 used: list[DataFrame] | None = None) -> DataFrame:
     """``key, m``: A times a factor."""
     if a.strips is None:
         return product(a, factor, width)
-    return _sharded(a, factor, width, ["m"], lambda forward, back, m: [forward(m)], shards, out_rows=True)
+    return _sharded(a, factor, width, ["m"], lambda forward, back, m: [forward(m)], shards, out_rows=True, used=used)
 
 
 def mapped(factor: DataFrame, columns: Sequence[str], widths: Sequence[int], names: Sequence[str],

@@ -86,6 +86,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` made and nothing reads any more, and let Spark's
+    cleaner drop the shuffles they came from (it acts when the driver collects garbage)."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            if "/marquee-" in folder:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        sc._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application), so that
     tasks find it whatever folder the driver was started from."""

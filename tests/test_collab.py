@@ -254,3 +254,43 @@ def test_strips_multiply_like_the_matrix(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert inspect.signature(BL.cells).parameters["whole"].default == BL.WHOLE
+
+
+def test_a_matrix_lies_once_in_a_task_and_old_tables_go(spark):
+    """Strips hold rows only and multiply both ways; the columns of a task are bounded; a cycle's tables are deleted."""
+    import glob
+
+    import pyarrow as pa
+
+    from marquee.functions import blocks as BL
+    rng = np.random.default_rng(2)
+    a = np.where(rng.random((50, 3000)) < 0.2, rng.normal(size=(50, 3000)), 0.0)
+    r, c = np.nonzero(a)
+    t = BL._strip(pa.table({"side": pa.array([0] * len(r), pa.int32()), "block": pa.array([0] * len(r), pa.int32()),
+                            "own": r, "other": c, "vals": a[r, c]}))
+    strip = (*(np.frombuffer(t[k][0].as_py(), np.int32) for k in ("degs", "at", "idx")), np.frombuffer(t["vals"][0].as_py()))
+    y, most = rng.normal(size=(50, 3)), BL.SCATTER
+    try:
+        for BL.SCATTER in (7, 1000, most):
+            assert np.allclose(BL._back([strip, strip], y, 3000), 2 * a.T @ y)
+    finally:
+        BL.SCATTER = most
+    assert 8 * 125 * 8 * 10 ** 6 / BL.shard_count(12, 125, 10 ** 6, 10 ** 6) <= BL.HELD
+    _, df = _planted(spark, 10 * 0.8 ** np.arange(30))
+    made = BL.cells(df, "user_id", "item_id", "value", 16)
+    assert {r["side"] for r in made.strips.select("side").collect()} == {0}
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/marquee-*/*"))
+    CF.truncated_svd(df, k=8, width=12, block=16)
+    left = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/marquee-*/*")) - before
+    assert sorted(f.rpartition("/")[2] for f in left) == ["item_id-blocks", "items", "user_id-blocks", "users"]
+
+
+def test_large_singular_values_do_not_slow_the_others(spark, monkeypatch):
+    from marquee.functions import blocks as BL
+    calls, real = [], BL.filtered
+    monkeypatch.setattr(BL, "filtered", lambda *a, **kw: calls.append((a[5], len(kw.get("values", ())))) or real(*a, **kw))
+    spectrum = np.concatenate([[30.0, 25.0], np.linspace(10, 9, 28)])
+    a, df = _planted(spark, spectrum)
+    svd = CF.truncated_svd(df, k=8, width=12, block=16)
+    assert np.allclose(svd["sigma"], spectrum[:8], rtol=1e-9)
+    assert max(known for _, known in calls) == 2 and max(degree for degree, _ in calls) >= 16
