@@ -101,15 +101,19 @@ def tfidf_weights(tokens: DataFrame, vocab: DataFrame, n_docs: DataFrame) -> Dat
 
 def build_tfidf(items: DataFrame, language: str | None = "en", stop_words=None,
                 pattern: str = TOKEN_PATTERN, min_df: int = 2, max_df: float = 0.8,
-                max_features: int = 20000) -> dict[str, DataFrame]:
+                max_features: int = 20000, keep: bool = False) -> dict[str, DataFrame]:
     """P27 + P26 + T1-T3 in one place: the language subset, weighted docs,
-    tokens, vocabulary and weights (all lazy DataFrames)."""
+    tokens, vocabulary and weights (all lazy DataFrames; with ``keep`` tokens and weights are written)."""
     sub = items.where(F.col("original_language") == language) if language else items
     docs = weighted_document(sub)
     toks = tfidf_tokens(docs, stop_words, pattern)
+    if keep:
+        toks = written(toks, "tokens")  # texts are cut into words once, for the vocabulary and the weights
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     vocab = tfidf_vocab(toks, n_docs, min_df, max_df, max_features)
     weights = tfidf_weights(toks, vocab, n_docs)
+    if keep:
+        weights = written(weights, "weights")
     return {"docs": docs, "tokens": toks, "vocab": vocab, "weights": weights, "n_docs": n_docs}
 
 
@@ -183,31 +187,33 @@ def _every(blocks: int):
 
 
 def _similarities(weights: DataFrame, seeds: DataFrame, n: int | None, block_items: int = 4096,
-                  block_seeds: int = 1024) -> DataFrame:
+                  block_seeds: int = 1024, items: DataFrame | None = None) -> DataFrame:
     """(request_id, seed_id, item_id, sim > 0) of each distinct seed of (request_id, seed_id): with every
     item that shares a term, or per block of items the best ``n``. The vectors are written once; a
     group is one block of seeds with one block of items, each document's terms as one row. A seed
-    carries its requests, so no pair is shuffled."""
+    carries its requests, so no pair is shuffled. Of ``items`` (item_id) only, if given."""
     vec = _vectors(weights)
+    found = vec if items is None else written(
+        vec.join(items.select(F.col("item_id").cast("bigint").alias("id")), "id", "left_semi"), "found")
     requests = seeds.select(F.col("seed_id").cast("bigint").alias("id"), F.col("request_id").cast("bigint").alias("r")).groupBy(
         "id").agg(F.collect_set("r").alias("requests"), F.max(F.col("r").isNull()).alias("blank"))
     asked = written(vec.join(requests, "id"), "seeds")
     seeds_in = max(1, -(-asked.count() // block_seeds))
-    items_in = max(1, -(-vec.count() // block_items))
+    items_in = max(1, -(-found.count() // block_items))
     items_in = max(items_in, -(-16 // seeds_in))  # pairs enough for several tasks
     left = asked.select("id", "requests", "blank", "terms", "ws", _block("id", seeds_in).alias("sb"), _every(items_in).alias("ib"))
-    right = vec.select("id", "terms", "ws", _block("id", items_in).alias("ib"), _every(seeds_in).alias("sb"))
+    right = found.select("id", "terms", "ws", _block("id", items_in).alias("ib"), _every(seeds_in).alias("sb"))
     right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
     return left.groupBy("sb", "ib").cogroup(right.groupBy("sb", "ib")).applyInArrow(
         _cell(n), "request_id long, seed_id long, item_id long, sim double")
 
 
-def seed_scores(weights: DataFrame, seeds: DataFrame) -> DataFrame:
+def seed_scores(weights: DataFrame, seeds: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """T5: (request_id, seed_id, item_id, sim) for every item sharing a term
     with a seed, the seed itself excluded (its own slot is 0). Unknown seeds
-    produce nothing."""
+    produce nothing. With ``items`` (item_id), only these are compared with the seeds."""
     s = seeds.select("request_id", F.col("item_id").alias("seed_id")).distinct()
-    return _similarities(weights, s, None)
+    return _similarities(weights, s, None, items=items)
 
 
 def similar_items(weights: DataFrame, seeds: DataFrame, n: int = 10) -> DataFrame:

@@ -172,8 +172,13 @@ def _cf(spark, d):
     return CF.cf_scores(m["items"], liked_lists(spark, d), _catalog_ids(spark, d), m["mu"], m["k"])
 
 
+def _weights(spark, d):
+    """TF-IDF weights, for content scores and explanations (memoised per session and input)."""
+    return _cached(spark, ("tfidf", d), lambda: tfidf(spark, d, keep=True)["weights"])
+
+
 def _content(spark, d):
-    w = tfidf(spark, d)["weights"]
+    w = _weights(spark, d)
     return T.content_scores(w, liked_lists(spark, d), _catalog_ids(spark, d))
 
 
@@ -372,7 +377,8 @@ def q_hybrid_status(spark, d):
 
 
 def _explained(spark, d, recs, liked):
-    sims = T.seed_scores(tfidf(spark, d)["weights"], liked)
+    recs = written(recs.select("request_id", "item_id"), "recs")
+    sims = T.seed_scores(_weights(spark, d), liked, recs)  # of recommended items, not of every document
     used = liked.join(_content_index(spark, d).select(F.col("id").alias("item_id")), "item_id", "left_semi")
     return CF.explain_recs(recs, sims, used, view(spark, d, "doc").select("id", F.col("overview").alias("title")))
 
@@ -396,7 +402,7 @@ def full_rank_likes(spark, d):
 def _full_rank_hybrid(spark, d, alpha, content=None):
     m, liked = brand_model(spark, d), full_rank_likes(spark, d)
     if content is None:
-        content = T.content_scores(tfidf(spark, d)["weights"], liked, _catalog_ids(spark, d))
+        content = T.content_scores(_weights(spark, d), liked, _catalog_ids(spark, d))
     return CF.hybrid_topn(content, m["items"], liked, _catalog_ids(spark, d), m["mu"], m["k"], alpha, 20)
 
 
@@ -451,7 +457,7 @@ SELECT alpha, request_id, n_used, n_ignored, n_recs, content_has, cf_has,
 FROM hints"""))
 def q_hybrid_status_full_rank(spark, d):
     m, liked = brand_model(spark, d), full_rank_likes(spark, d)
-    content = written(T.content_scores(tfidf(spark, d)["weights"], liked, _catalog_ids(spark, d)), "content")
+    content = written(T.content_scores(_weights(spark, d), liked, _catalog_ids(spark, d)), "content")
     tops = written(_cf_tops(m["items"], liked, _catalog_ids(spark, d), m["mu"], m["k"]), "tops")
     cov = CF.seed_coverage(liked, _content_index(spark, d), m["items"].select(F.col("item_id").alias("id")))
     out = None

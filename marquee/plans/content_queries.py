@@ -19,8 +19,8 @@ _sw_sql = ", ".join("'" + w.replace("'", "''") + "'" for w in _sw)
 _PAT_SQL = r"[\p{L}\p{N}_]{2,}"
 
 
-def tfidf(spark, d, max_features=20000):
-    return T.build_tfidf(view(spark, d, "doc"), "en", max_features=max_features)
+def tfidf(spark, d, max_features=20000, keep=False):
+    return T.build_tfidf(view(spark, d, "doc"), "en", max_features=max_features, keep=keep)
 
 
 def seed_requests(spark, d):

@@ -201,3 +201,23 @@ def test_similarities_shuffle_no_pairs_and_sum_like_the_matrix(spark):
             raw[r, i] = raw.get((r, i), 0.0) + sim
     out = {(x.request_id, x.item_id): x.raw for x in T.content_scores(weights, seeds, catalog).collect()}
     assert out.keys() == raw.keys() and all(abs(out[k] - raw[k]) < 1e-12 for k in raw)
+
+
+def test_words_are_cut_once_and_seeds_meet_asked_items_only(spark):
+    """Kept TF-IDF weights read written tokens; with items, seed_scores gives the same rows for these and no others."""
+    from marquee.operators import content as T
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(i, " ".join(words[(i * k) % 6] for k in (1, 2, 3, 5)), "en") for i in range(40)] + [(40, None, "en")]
+    docs = spark.createDataFrame(rows, "id long, overview string, original_language string").selectExpr(
+        "*", "array('x') genres", "cast(array() as array<string>) keywords", "cast(null as string) director")
+    kept, lazy = (T.build_tfidf(docs, keep=keep)["weights"] for keep in (True, False))
+    assert "regexp_extract_all" in lazy._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in kept._jdf.queryExecution().analyzed().toString()
+    flat = lambda df: sorted((*r[:-1], round(r[-1], 9)) for r in df.collect())
+    assert flat(kept) == flat(lazy)
+    seeds = spark.createDataFrame([(1, 3), (1, 4), (2, 7)], "request_id long, item_id long")
+    asked = spark.createDataFrame([(1, 5), (2, 8), (2, 5), (None, 9), (1, 999)], "request_id long, item_id long")
+    every = T.seed_scores(kept, seeds)
+    some = T.seed_scores(kept, seeds, asked)
+    want = [r for r in flat(every.select("request_id", "seed_id", "item_id", "sim")) if r[2] in (5, 8, 9)]
+    assert want and flat(some.select("request_id", "seed_id", "item_id", "sim")) == want
