@@ -49,10 +49,11 @@ def _writer(tokenizer: str, prefix: str, end_id: int | None, shard_ids: int):
             return pa.RecordBatch.from_pydict(row, schema=_SHARD_TYPES)
 
         for batch in batches:
-            key, text = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                own = key.slice(at, 256).to_pylist()
-                for k, ids in zip(own, encoder.ids(text.slice(at, 256).to_pylist())):
+            key = batch.column(0)
+            for at, found, offsets in encoder.encode(batch.column(1)):
+                places = offsets.tolist()
+                for k, a, b in zip(key.slice(at, len(places) - 1).to_pylist(), places, places[1:]):
+                    ids = found[a:b].tobytes()
                     keys.append(k)
                     chunks.append(ids + end)
                     size += len(ids) + len(end)

@@ -2,6 +2,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,42 @@ def test_texts_without_spaces_are_not_kept():
     assert encoder.used < 5000 and len(encoder.first) + len(encoder.later) < 5
 
 
+@pytest.mark.parametrize("name,prefix", [("byte_bpe_50k.json", " "), ("word_bpe_49k.json", "")])
+def test_a_part_is_encoded_once_whatever_slice_it_is_in(name, prefix):
+    whole, plain = reference(tokenizer_file(name)), words.tokenizers_encoder(tokenizer_file(name), prefix)
+    asked = []
+    encoder = words.PartEncoder(lambda some: asked.extend(some) or plain.encode_many(some), prefix, folds=plain.folds,
+                                special=plain.special)
+    texts = [None, "", "One two. Three", "a  b \n c\n\nd\ne", " é\u0301 H\u0331 naïve Été ", "x<|endoftext|> 12,5 one", " "] * 40
+    for _ in range(2):
+        for at, ids, ends in encoder.encode(pa.array(texts + ["one TWO three " * 50])):
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])][:len(texts) - at] == [
+                whole(t or "") for t in texts[at:at + len(ends) - 1]]
+    assert len(asked) == len(set(asked)) < 40
+
+
+def test_single_words_go_to_the_model():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, path):
+            self.real, self.whole_way = Tokenizer.from_file(path), []
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, strings, **more):
+            self.whole_way += strings
+            return self.real.encode_batch_fast(strings, **more)
+
+    some = [" word", "Word", "wörd", " ÀÖØöøÿßx", " <|endoftext|>", "don't", "2", "日本", " İx", "a b"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tokenizer = Counted(tokenizer_file(name))
+        made = words._encode_many(tokenizer, ("<|endoftext|>",))(some)
+        assert made == [reference(tokenizer_file(name))(s) for s in some]
+        assert tokenizer.whole_way == some[4:]
+
+
 def test_mph_is_minimal_and_perfect():
     for n in (0, 1, 2, 1000, 50_000):
         hashes = token_store._key_hash(np.arange(n, dtype=np.int64) * 100, np.zeros(n, dtype=np.int32))
