@@ -173,14 +173,15 @@ def _pieces(tokenizer: str, prefix: str, end_id: int | None, capacity: int, with
         encoder = tokenizers_encoder(tokenizer, prefix)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
+            keys = batch.column(0)
+            for at, ids, offsets in encoder.encode(batch.column(1)):
                 out = []
-                for key, ids in zip(keys.slice(at, 256).to_pylist(), encoder.ids(texts.slice(at, 256).to_pylist())):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start:start + 4 * capacity]
-                        out.append((key, piece, start // 4, len(own) // 4, zlib.crc32(own), own))
+                ends = offsets.tolist()
+                for key, a, b in zip(keys.slice(at, len(ends) - 1).to_pylist(), ends, ends[1:]):
+                    whole = ids[a:b].tobytes() + end
+                    for piece, start in enumerate(range(0, len(whole), 4 * capacity)):
+                        own = whole[start:start + 4 * capacity]
+                        out.append((key, piece, start // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
                 names, kinds = (["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                                 [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
                 columns = list(zip(*out)) if out else [[] for _ in names]

@@ -117,3 +117,33 @@ def test_edge_rows(spark, make_docs, edge_texts):
     assert packing.pack(cut.where(F.lit(False)), capacity=16).count() == 0
     with pytest.raises(ValueError):
         packing.pack(cut, capacity=8)
+
+
+def test_pieces_of_a_column_with_nulls_and_long_texts(make_docs):
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(WORD)
+    texts = [None, "", " ", "One two. Three\nfour", "the word " * 30, "naïve É H\u0331", None] * 3
+    got = packing.pieces(make_docs(texts, list(range(len(texts))), parts=2), WORD, capacity=16, with_ids=True).collect()
+    found = defaultdict(bytes)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == len(found[r.doc_id]) // 4 and r.length == len(r.ids) // 4 <= 16 and r.ids_crc32 == zlib.crc32(r.ids)
+        found[r.doc_id] += r.ids
+    assert [found[i] for i in range(len(texts))] == [
+        np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+
+def test_a_batch_asks_the_encoder_for_columns(monkeypatch):
+    import pyarrow as pa
+
+    from marquee.llm import words
+    asked = []
+
+    class Encoder(words.PartEncoder):
+        def encode(self, texts):
+            asked.append(len(texts))
+            return super().encode(texts)
+
+    monkeypatch.setattr(words, "tokenizers_encoder", lambda path, prefix: Encoder(lambda some: [[7] for _ in some], prefix))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(["a b c"] * 700)], names=["k", "t"])
+    out = pa.Table.from_batches(packing._pieces("x", "", 1, 4096, False)(iter([batch])))
+    assert asked == [700] and out["length"].to_pylist() == [4] * 700  # one request a batch, not one every 256 rows
