@@ -10,10 +10,11 @@ components. Trees are traversed in pairs from the roots down: a pair of nodes go
 too different, if all below is in one component already, or if the largest possible overlap,
 from the two bitmaps and sizes, is less than the smallest that a link needs.
 
-*Which rows meet*: two sets that link share one of their first ``n - ceil(percent * n / 100) + 1``
-shingles under any order of all shingles. Ordered by how many sets have them (counted over all
-documents in a table of 2^20 counters, rarest first), such a prefix holds what is peculiar to a set. So a group
-is a shingle and the sets that have it in their prefix; groups of the same members count once.
+*Which rows meet*: the hashes' range is dealt into buckets, more of them than the shingles in which two sets that link
+can differ, so such sets hold the same shingles in at least one. How many that is depends on their sizes: a size
+class reaches to 100 / percent of its least size, a set that links lies in the same class or the next, and a set is dealt
+by the bounds of its own class and of the one below. So a group is a class, a bucket and its contents, and the sets that have
+it; sets that merely share some shingles do not meet, however many texts there are. Groups of the same members count once.
 
 The same join runs twice: over the groups with bitmaps alone, which leaves *candidates* (a
 spanning set of the pairs that the bound lets pass), and over the components of the
@@ -25,8 +26,7 @@ over cells of bounded size, many in each. A larger group is dealt over several c
 smallest class as a guest in all: what links to it is one component after the first pass, whatever
 the size of the group. In a second pass the rest of the group meets all of it, cell by cell; for a
 large group without links, such as texts of one template just below the threshold, this pass is quadratic. Pairs are
-never written, a cell gives a spanning set of its links. What reaches the driver is the counter table, whose size is
-a parameter; texts, sets and components never do.
+never written, a cell gives a spanning set of its links. Texts, sets and components never reach the driver.
 """
 
 from __future__ import annotations
@@ -47,39 +47,50 @@ FAN = 8
 WIDEST = 1 << 14  # bits of a bitmap; larger sets fill it more densely
 
 
-# ------------------------------------------------------------ sets, counts, prefixes
+# ------------------------------------------------------------ sets and buckets
 def _set_hash(s: np.ndarray, seed: int) -> int:
     with np.errstate(over="ignore"):
         return int(mix(mix(s, seed).sum(dtype=np.uint64) + np.uint64(len(s)), seed).astype(np.int64))
 
 
-def _counter(width: int, seed: int, bits: int):
-    """Sets and their hashes; at the end of a task how many classes it saw per counter."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # at most the rows of the task
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        names = ["key", "mark", "n", "h1", "h2", "slots", "counts"]
-        ints = pa.list_(pa.int64())
+def _hasher(width: int, seed: int):
+    """Sizes and hashes of the sets."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, marks, texts = (batch.column(i) for i in range(3))
             for row, data, offsets in text_slices(texts):
                 sets = shingle_sets(data, offsets, width)
-                h1 = [_set_hash(s, 300 + 2 * seed) for s in sets]
-                h2 = [_set_hash(s, 301 + 2 * seed) for s in sets]
-                new = [s for s, h in zip(sets, h1) if not (h in seen or seen.add(h))]
-                if new:
-                    counts += np.bincount((np.concatenate(new) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
-                nothing = pa.nulls(len(sets), ints)
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(row, len(sets)), marks.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), nothing, nothing], names=names)
-        used = np.flatnonzero(counts)
-        for start in range(0, len(used), 1 << 16):
-            part = used[start:start + (1 << 16)]
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part], ints), pa.array([counts[part]], ints)], names=names)
+                     pa.array([_set_hash(s, 300 + 2 * seed) for s in sets], pa.int64()),
+                     pa.array([_set_hash(s, 301 + 2 * seed) for s in sets], pa.int64())], names=["key", "mark", "n", "h1", "h2"])
+
+    return hashed
 
-    return count
+
+def _size_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """The class of size n and the one below, each with its number of buckets: one more than
+    the shingles in which two sets that link can differ, the smaller of them in that class."""
+    least, number, found = 1, 0, []
+    while least <= n:
+        if percent == 100 and least < n - 1:
+            least = number = n - 1  # every size is a class
+        largest = 100 * least // percent
+        differ = (100 - percent) * (largest + 100 * largest // percent) // (100 + percent)
+        found.append((number, differ + 1))
+        least, number = largest + 1, number + 1
+    return found[-2:]
+
+
+def _contents(s: np.ndarray, number: int, buckets: int, bits: int) -> np.ndarray:
+    """Hashes of the contents of a set's buckets, which are runs of 2^bits slots of the hashes' range."""
+    edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64(1 << bits) // np.uint64(buckets) << np.uint64(64 - bits)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(s) + 1, dtype=np.uint64)
+        np.cumsum(mix(s, 500), out=sums[1:])
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        place = mix(np.arange(buckets, dtype=np.uint64) + (np.uint64(number) << np.uint64(40)), 501)
+        return mix(sums[at[1:]] - sums[at[:-1]] + place, 502)
 
 
 def _bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -92,10 +103,10 @@ def _width(n: int) -> int:
     return min(WIDEST, max(64, 1 << (2 * n - 1).bit_length()))
 
 
-def _prefixer(width: int, seed: int, bits: int, percent: int, level):
-    """Prefix and bitmap of every class of a task, once."""
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+def _dealer(width: int, seed: int, bits: int, percent: int):
+    """Buckets and bitmap of every class of a task, once."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # at most the rows of the task
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
                 out: tuple[list, list, list, list] = ([], [], [], [])
@@ -105,16 +116,15 @@ def _prefixer(width: int, seed: int, bits: int, percent: int, level):
                         continue
                     seen.add(h)
                     n = len(s)
-                    own = level.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                    first = s[np.argsort(own, kind="stable")[:n - -(-percent * n // 100) + 1]]
-                    for column, x in zip(out, (h, n, first.view(np.int64), _bitmap(s, _width(n)).tobytes())):
+                    own = np.concatenate([_contents(s, *c, bits) for c in _size_classes(n, percent)])
+                    for column, x in zip(out, (h, n, own.view(np.int64), _bitmap(s, _width(n)).tobytes())):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                      pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                    names=["node", "n", "prefix", "data"])
+                    names=["node", "n", "buckets", "data"])
 
-    return prefix
+    return deal
 
 
 # ---------------------------------------------------------------------- the trees
@@ -365,40 +375,31 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     a null key are linked like others but lend no name: their component is named by its smallest key, and a component
     without any is null. Rows alike in key are one document when components are named. Other
     columns are ignored; texts may be of any length (a task holds the sets of one cell, or one longer set).
-    Shingles are 64-bit hashes. Cells hold at most about ``most_rows`` rows of a group, or ``most_shingles``.
+    Shingles are 64-bit hashes, ``bits`` of which deal them into buckets. Cells hold at most about ``most_rows`` rows of a group, or ``most_shingles``.
     """
-    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    counted = written(texts.mapInArrow(
-        _counter(width, seed, bits), "key long, mark long, n long, h1 long, h2 long, slots array<long>, counts array<long>"),
-        "counted")
-    rows = counted.where("slots IS NULL").select("key", "mark", "n", "h1", "h2")
+    rows = written(texts.mapInArrow(_hasher(width, seed), "key long, mark long, n long, h1 long, h2 long"), "hashed")
     classes = written(rows.where("n > 0").groupBy("h1").agg(
         F.min("key").alias("first"), F.min(F.struct("key", "mark")).alias("place"), F.min("n").alias("n"),
         F.min("h2").alias("lo"), F.max("h2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets of one 64-bit hash
         return linked_classes(docs, key_col, text_col, width, percent, most_rows, most_shingles, bits, seed + 1)
 
-    table = (counted.where("slots IS NOT NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("c"))
-             .groupBy("c.slots").agg(F.sum("c.counts").alias("n")).toArrow())  # at most 2^bits numbers
-    counts = np.zeros(1 << bits, dtype=np.int64)
-    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    level = spark.sparkContext.broadcast((8 * np.log2(np.maximum(counts, 1))).astype(np.int16))
-
-    prefixes = written(texts.select("text").mapInArrow(
-        _prefixer(width, seed, bits, percent, level), "node long, n long, prefix array<long>, data binary")
-        .dropDuplicates(["node"]), "prefixes")
-    held = prefixes.select(F.explode("prefix").alias("grp"), "node",
-                           F.least("n", F.lit(WIDEST // 2)).alias("weight"), "n")
-    met = held.groupBy("grp").agg(
+    dealt = written(texts.select("text").mapInArrow(
+        _dealer(width, seed, bits, percent), "node long, n long, buckets array<long>, data binary")
+        .dropDuplicates(["node"]), "dealt")
+    held = dealt.select(F.explode("buckets").alias("grp"), "node", F.least("n", F.lit(WIDEST // 2)).alias("weight"))
+    shared = held.groupBy("grp").count().where("count > 1").select("grp")  # few of all: the rest goes no further
+    met = written(held.join(shared, "grp"), "met")
+    groups = met.groupBy("grp").agg(
         F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"), F.sum("weight").alias("weight"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"),
-        F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s2")).where("members > 1")
-    groups = written(met.groupBy("members", "lead", "weight", "s1", "s2").agg(F.min("grp").alias("grp"))
-                     .select("grp", "lead", "members", "weight"), "met")  # groups of the same members once
-    bitmaps = prefixes.select("node", "n", "data")
-    found = _linked(held.select("grp", "node", "weight"), groups, lambda asked: asked.join(bitmaps, "node").select(
+        F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
+    groups = written(groups.groupBy("members", "lead", "weight", "s1", "s2").agg(F.min("grp").alias("grp"))
+                     .select("grp", "lead", "members", "weight"), "groups")  # groups of the same members once
+    bitmaps = dealt.select("node", "n", "data")
+    found = _linked(met, groups, lambda asked: asked.join(bitmaps, "node").select(
         *[c.split()[0] for c in REQUEST.split(", ")]), percent, False, most_rows, 8 * most_shingles, "candidates")
     near = written(found.join(classes.select(F.col("h1").alias("node"), F.col("n").alias("weight")), "node")
                    .select(F.col("root").alias("grp"), "node", "weight"), "near")

@@ -108,3 +108,30 @@ def test_query_matches_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     got = sorted((tuple(r) for r in op11_signature_join(spark, "/root/testdata/sf0.01").collect()), key=str)
     assert got == brute([r.text for r in rows], [r.doc_id for r in rows])
+
+
+def test_sets_that_link_share_a_bucket():
+    rng = np.random.default_rng(8)
+    for percent in (80, 90, 97, 100):
+        for _ in range(300):
+            both, more = int(rng.integers(1, 500)), rng.random()
+            apart = int(both * (100 - percent) / percent)  # the most that still links
+            extra = int(apart * more)
+            s = rng.permutation(np.unique(rng.integers(0, 1 << 64, both + apart, dtype=np.uint64)))
+            a, b = np.sort(np.append(s[:both], s[both:both + extra])), np.sort(np.append(s[:both], s[both + extra:]))
+            assert 100 * both >= percent * (both + apart)
+            for bits in (4, 20):
+                have = [np.concatenate([trees._contents(x, *c, bits) for c in trees._size_classes(len(x), percent)])
+                        for x in (a, b)]
+                assert len(np.intersect1d(*have))
+
+
+def test_sets_that_share_some_shingles_do_not_meet():
+    """Common shingles are in no bucket alone, so texts of one vocabulary make no groups."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(common, 300, replace=False), rng.integers(0, 1 << 64, 200, dtype=np.uint64)))
+            for _ in range(400)]
+    keys = np.concatenate([np.concatenate([trees._contents(s, *c, 20) for c in trees._size_classes(len(s), 90)]) for s in sets])
+    _, members = np.unique(keys, return_counts=True)
+    assert len(keys) > 20_000 and members[members > 1].sum() < 20
