@@ -21,6 +21,10 @@ spanning set of the pairs that the bound lets pass), and over the components of
 candidates with the full sets, where a pair that the trees let pass is compared exactly. No link is lost:
 all linked sets meet in a group, pass the bound, and so lie in one candidate component.
 
+What is shuffled: a row per bucket once, by its contents (a set comes from every task that has it; what is alone in
+its group goes no further), bitmaps of what met, and the texts of candidates. These are picked from all texts by a table of
+bits of bounded size that every task has, so texts that are no candidates stay where they are.
+
 Scale: equal sets are one class from the start, so copies are never compared. Small groups are dealt
 over cells of bounded size, many in each. A larger group is dealt over several cells with its
 smallest class as a guest in all: what links to it is one component after the first pass, whatever
@@ -35,7 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components
@@ -45,6 +49,7 @@ from marquee.session import written
 
 FAN = 8
 WIDEST = 1 << 14  # bits of a bitmap; larger sets fill it more densely
+PICKS = 1 << 17  # rows of 64 bits that pick texts: if they fill up, more texts than needed pass
 
 
 # ------------------------------------------------------------ sets and buckets
@@ -53,21 +58,6 @@ def _set_hash(s: np.ndarray, seed: int) -> int:
         return int(mix(mix(s, seed).sum(dtype=np.uint64) + np.uint64(len(s)), seed).astype(np.int64))
 
 
-def _hasher(width: int, seed: int):
-    """Sizes and hashes of the sets."""
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, marks, texts = (batch.column(i) for i in range(3))
-            for row, data, offsets in text_slices(texts):
-                sets = shingle_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(row, len(sets)), marks.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_set_hash(s, 300 + 2 * seed) for s in sets], pa.int64()),
-                     pa.array([_set_hash(s, 301 + 2 * seed) for s in sets], pa.int64())], names=["key", "mark", "n", "h1", "h2"])
-
-    return hashed
-
-
 def _size_classes(n: int, percent: int) -> list[tuple[int, int]]:
     """The class of size n and the one below, each with its number of buckets: one more than
     the shingles in which two sets that link can differ, the smaller of them in that class."""
@@ -103,26 +93,32 @@ def _width(n: int) -> int:
     return min(WIDEST, max(64, 1 << (2 * n - 1).bit_length()))
 
 
+DEALT = "key long, mark long, n long, h1 long, h2 long, buckets array<long>, data binary"
+
+
 def _dealer(width: int, seed: int, bits: int, percent: int):
-    """Buckets and bitmap of every class of a task, once."""
+    """Sizes and hashes of the sets; buckets and bitmap of every class of a task, once."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # at most the rows of the task
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for s in shingle_sets(data, offsets, width):
-                    h = _set_hash(s, 300 + 2 * seed)
-                    if not len(s) or h in seen:
-                        continue
-                    seen.add(h)
-                    n = len(s)
-                    own = np.concatenate([_contents(s, *c, bits) for c in _size_classes(n, percent)])
-                    for column, x in zip(out, (h, n, own.view(np.int64), _bitmap(s, _width(n)).tobytes())):
-                        column.append(x)
+            keys, marks, texts = (batch.column(i) for i in range(3))
+            for row, data, offsets in text_slices(texts):
+                sets = shingle_sets(data, offsets, width)
+                h1 = [_set_hash(s, 300 + 2 * seed) for s in sets]
+                out: tuple[list, list] = ([], [])
+                for s, h in zip(sets, h1):
+                    n, buckets, bitmap = len(s), None, None
+                    if n and h not in seen:
+                        seen.add(h)
+                        buckets = np.concatenate([_contents(s, *c, bits) for c in _size_classes(n, percent)]).view(np.int64)
+                        bitmap = _bitmap(s, _width(n)).tobytes()
+                    out[0].append(buckets)
+                    out[1].append(bitmap)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                     pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                    names=["node", "n", "buckets", "data"])
+                    [keys.slice(row, len(sets)), marks.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(h1, pa.int64()), pa.array([_set_hash(s, 301 + 2 * seed) for s in sets], pa.int64()),
+                     pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())],
+                    names=["key", "mark", "n", "h1", "h2", "buckets", "data"])
 
     return deal
 
@@ -364,6 +360,19 @@ def _setter(width: int, seed: int):
 REQUEST = "grp long, node long, root long, side int, cell long, a long, b long, n long, data binary"
 
 
+def _bits(rows: DataFrame) -> DataFrame:
+    """``rows`` with the place and the bit of their ``key, mark`` in a table of bits."""
+    pick = F.xxhash64("key", "mark")
+    nth = F.shiftright(pick, 17).bitwiseAND(F.lit(63)).cast("int")
+    return rows.select("*", F.pmod(pick, F.lit(PICKS)).alias("at"),
+                       F.call_function("shiftleft", F.lit(1).cast("long"), nth).alias("bit"))
+
+
+def _picked(texts: DataFrame, picks: DataFrame) -> DataFrame:
+    """All rows of ``texts`` whose bits are set in ``picks`` (at most ``PICKS`` rows), few others unless it is full."""
+    return _bits(texts).join(F.broadcast(picks), "at").where("bit & bits <> 0").select(*texts.columns)
+
+
 def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90,
                    most_rows: int = 1024, most_shingles: int = 200_000, bits: int = 20, seed: int = 0) -> DataFrame:
     """Per row of ``docs``: ``key, n_shingles, component_id``.
@@ -379,37 +388,36 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    rows = written(texts.mapInArrow(_hasher(width, seed), "key long, mark long, n long, h1 long, h2 long"), "hashed")
+    rows = written(texts.mapInArrow(_dealer(width, seed, bits, percent), DEALT), "dealt")
     classes = written(rows.where("n > 0").groupBy("h1").agg(
         F.min("key").alias("first"), F.min(F.struct("key", "mark")).alias("place"), F.min("n").alias("n"),
         F.min("h2").alias("lo"), F.max("h2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():  # two sets of one 64-bit hash
         return linked_classes(docs, key_col, text_col, width, percent, most_rows, most_shingles, bits, seed + 1)
 
-    dealt = written(texts.select("text").mapInArrow(
-        _dealer(width, seed, bits, percent), "node long, n long, buckets array<long>, data binary")
-        .dropDuplicates(["node"]), "dealt")
+    dealt = rows.where("buckets is not null").withColumnRenamed("h1", "node")
     held = dealt.select(F.explode("buckets").alias("grp"), "node", F.least("n", F.lit(WIDEST // 2)).alias("weight"))
-    shared = held.groupBy("grp").count().where("count > 1").select("grp")  # few of all: the rest goes no further
-    met = written(held.join(shared, "grp"), "met")
+    same = Window.partitionBy("grp")
+    met = held.select("*", F.min("node").over(same).alias("least"), F.max("node").over(same).alias("most")).where("least < most")
+    met = written(met.select("grp", "node", "weight").distinct(), "met")  # few of all: the rest goes no further
     groups = met.groupBy("grp").agg(
         F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"), F.sum("weight").alias("weight"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"),
         F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
     groups = written(groups.groupBy("members", "lead", "weight", "s1", "s2").agg(F.min("grp").alias("grp"))
                      .select("grp", "lead", "members", "weight"), "groups")  # groups of the same members once
-    bitmaps = dealt.select("node", "n", "data")
+    bitmaps = dealt.select("node", "n", "data").dropDuplicates(["node"])
     found = _linked(met, groups, lambda asked: asked.join(bitmaps, "node").select(
         *[c.split()[0] for c in REQUEST.split(", ")]), percent, False, most_rows, 8 * most_shingles, "candidates")
-    near = written(found.join(classes.select(F.col("h1").alias("node"), F.col("n").alias("weight")), "node")
-                   .select(F.col("root").alias("grp"), "node", "weight"), "near")
+    near = written(found.join(classes.select(F.col("h1").alias("node"), F.col("n").alias("weight"), "place.*"), "node")
+                   .select(F.col("root").alias("grp"), "node", "weight", "key", "mark"), "near")
+    picks = written(_bits(near).groupBy("at").agg(F.bit_or("bit").alias("bits")), "picks")
     sizes = near.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members"),
                                     F.sum("weight").alias("weight"))
 
     def with_sets(asked: DataFrame) -> DataFrame:
-        asked = asked.join(classes.select(F.col("h1").alias("node"), F.col("place.key").alias("_k"),
-                                          F.col("place.mark").alias("_m")), "node")
-        return (texts.join(asked, texts["mark"].eqNullSafe(asked["_m"]) & texts["key"].eqNullSafe(asked["_k"]))
+        asked = asked.join(near.select("node", F.col("key").alias("_k"), F.col("mark").alias("_m")), "node")
+        return (_picked(texts, picks).join(asked, F.col("mark").eqNullSafe(F.col("_m")) & F.col("key").eqNullSafe(F.col("_k")))
                 .select("grp", "node", "root", "side", "cell", "a", "b", "text").mapInArrow(_setter(width, seed), REQUEST))
 
     roots = _linked(near, sizes, with_sets, percent, True, most_rows, most_shingles, "exact")

@@ -135,3 +135,35 @@ def test_sets_that_share_some_shingles_do_not_meet():
     keys = np.concatenate([np.concatenate([trees._contents(s, *c, 20) for c in trees._size_classes(len(s), 90)]) for s in sets])
     _, members = np.unique(keys, return_counts=True)
     assert len(keys) > 20_000 and members[members > 1].sum() < 20
+
+
+def test_buckets_are_shuffled_once_and_only_texts_of_candidates(spark, make_docs, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40)) for _ in range(60)]
+    texts += [t + " one more" for t in texts[:9]]
+    texts *= 3  # copies in several tasks
+    plans, real, key = {}, trees.written, "spark.sql.autoBroadcastJoinThreshold"
+
+    def written(df, name, *a):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, *a)
+
+    monkeypatch.setattr(trees, "written", written)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert run(make_docs(texts, [*range(150), *[None] * 57], parts=5)) == brute(texts, [*range(150), *[None] * 57])
+    finally:
+        spark.conf.set(key, before)
+    assert plans["met"].count("Exchange hashpartitioning") == 1
+    assert plans["dealt"].count("Exchange hashpartitioning") == 0
+    assert "BroadcastHashJoin" in plans["exact-links"]  # the bits that pick texts
+
+
+def test_picked_texts_are_all_that_are_asked_for_and_few_others(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("key"), F.xxhash64("id").alias("mark"))
+    picks = lambda d: trees._bits(d).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    asked = rows.limit(500)
+    found = trees._picked(rows, picks(asked))
+    assert asked.exceptAll(found).count() == 0 and found.count() < 600
+    assert trees._picked(rows, picks(rows)).count() == 20_000
