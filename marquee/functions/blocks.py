@@ -7,9 +7,10 @@ with numpy inside the task and adds the cells' results up, at most ``FAN`` at a
 a bounded number of block matrices whatever the number of blocks. A matrix of bounded size (a
 checked number of entries) lies in *strips* of whole rows instead; every task reads them all
 as they lie in the shared folder and has some of the factor's columns, so that a polynomial of A^T A
-takes one pass, and its shuffles do not depend on the number of products. A task holds the strips once, for
-both directions, and so few of the factor's columns that these stay within ``HELD`` bytes. Everything that outlives a
-job is written to the shared folder; only matrices of the factor's width reach the driver.
+takes one pass, and its shuffles do not depend on the number of products. A plain product holds the strips once, in double
+precision, for both directions (12 bytes an entry); a polynomial holds rows and columns in single precision (16 bytes), since it
+only makes the correction of a factor. Beside them a task has so few of the factor's columns that these stay within ``HELD``
+bytes. Everything that outlives a job is written to the shared folder; only matrices of the factor's width reach the driver.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ FAN = 32
 PART = "key int, part long, m binary"
 
 
-#: Entries up to which every task may hold all of A (12 bytes each); beyond, products go cell by cell.
+#: Entries up to which every task may hold all of A (12 or 16 bytes each); beyond, products go cell by cell.
 WHOLE = 32_000_000
 #: Entries multiplied at a time.
 SCATTER = 1 << 20
 #: Bytes of a factor's columns, and of what is made of them, that a task holds beside the strips.
-HELD = 192 << 20
+HELD = 208 << 20
+#: Numbers gathered at a time for rows of the same length.
+GATHER = 1 << 17
 
 
 class Cells(NamedTuple):
@@ -47,6 +50,7 @@ class Cells(NamedTuple):
     col_blocks: int
     row_sizes: dict[int, int]  #: a number a block
     col_sizes: dict[int, int]
+    thin: DataFrame | None = None  #: strips of rows (side 0) and of columns (side 1), vals as float32
 
 
 def _keys(entries: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame, int, int]:
@@ -69,7 +73,7 @@ def _packed(table: pa.Table) -> pa.Table:
 STRIP = "side int, block int, degs binary, at binary, idx binary, vals binary"
 
 
-def _strip(table: pa.Table) -> pa.Table:
+def _strip(table: pa.Table, kind: str = "f8") -> pa.Table:
     """The rows of a block by their number of entries: ``degs`` pairs of that number and
     how many rows have it, ``at`` the rows, ``idx`` and ``vals`` their entries row after row."""
     own, other, vals = (table[c].to_numpy() for c in ("own", "other", "vals"))
@@ -82,7 +86,7 @@ def _strip(table: pa.Table) -> pa.Table:
     order = order[np.repeat(first[by] - np.cumsum(length) + length, length) + np.arange(len(own))]
     degs = np.stack(np.unique(length, return_counts=True), axis=1)
     raw = {"degs": degs.astype("i4"), "at": own[first[by]].astype("i4"), "idx": other[order].astype("i4"),
-           "vals": vals[order].astype("f8")}
+           "vals": vals[order].astype(kind)}
     return pa.table({"side": table["side"].slice(0, 1), "block": table["block"].slice(0, 1),
                      **{c: pa.array([x.tobytes()], pa.binary()) for c, x in raw.items()}})
 
@@ -112,11 +116,21 @@ def cells(entries: DataFrame, row: str, col: str, value: str, size: int = 4096,
         table = spark.createDataFrame(list(_starts(sizes).items()), f"{block} int, start int")
         placed = placed.join(F.broadcast(table), block).withColumn(at, F.col(at) + F.col("start")).drop("start")
     placed = written(placed, "placed")
-    own = placed.select(F.lit(0).alias("side"), F.col("rb").alias("block"), F.col("rows").alias("own"),
-                        F.col("cols").alias("other"), "vals")
-    strips = written(own.groupBy("side", "block").applyInArrow(_strip, STRIP), "strips")
+    own, other = (placed.select(F.lit(side).alias("side"), F.col(block).alias("block"), F.col(here).alias("own"),
+                                F.col(there).alias("other"), "vals")
+                  for side, block, here, there in ((0, "rb", "rows", "cols"), (1, "cb", "cols", "rows")))
+    strips = written(own.groupBy("side", "block").applyInArrow(lambda t: _strip(t), STRIP), "strips")
+    columns = other.groupBy("side", "block").applyInArrow(lambda t: _strip(t, "f4"), STRIP)
+    thin = written(strips.mapInArrow(_thinned, STRIP).unionByName(columns), "thin")
     discarded(placed)
-    return Cells(None, strips, row_keys, col_keys, n_rows, n_cols, rb, cb, row_sizes, col_sizes)
+    return Cells(None, strips, row_keys, col_keys, n_rows, n_cols, rb, cb, row_sizes, col_sizes, thin)
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("vals")
+        vals = [np.frombuffer(raw.as_buffer()).astype("f4").tobytes() for raw in batch.column(at)]
+        yield batch.set_column(at, "vals", pa.array(vals, pa.binary()))
 
 
 def _matrix(raw: bytes, width: int) -> np.ndarray:
@@ -208,13 +222,28 @@ def _pieces(strips: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray,
 
 
 def _times(strips: list[tuple[np.ndarray, ...]], x: np.ndarray, n: int) -> np.ndarray:
-    """The matrix whose rows the strips hold times ``x``."""
-    out, x = np.zeros((x.shape[1], n)), np.ascontiguousarray(x.T)
-    for rows, counts, idx, vals in _pieces(strips):
-        starts = np.cumsum(counts) - counts
-        for total, column in zip(out, x):
-            total[rows] += np.add.reduceat(vals * column.take(idx), starts)
-    return np.ascontiguousarray(out.T)
+    """The matrix whose rows the strips hold times ``x``: rows of the same number of entries together, some at a time."""
+    width = x.shape[1]
+    out = np.zeros((n, width), dtype=x.dtype)
+    most = max(1, GATHER // max(1, width))
+    for degs, at, idx, vals in strips:
+        row = entry = 0
+        for long, rows in degs.reshape(-1, 2).tolist():
+            stop = row + rows
+            if long > most:  # a row longer than a chunk
+                for row in range(row, stop):
+                    for lo in range(entry, entry + long, most):
+                        hi = min(lo + most, entry + long)
+                        out[at[row]] += vals[lo:hi] @ x.take(idx[lo:hi], axis=0)
+                    entry += long
+                row = stop
+            while row < stop:
+                some = min(max(1, most // long), stop - row)
+                cut = slice(entry, entry + some * long)
+                near = x.take(idx[cut], axis=0).reshape(some, long, width)
+                out[at[row:row + some]] += np.matmul(vals[cut].reshape(some, 1, long), near)[:, 0]
+                row, entry = row + some, cut.stop
+    return out
 
 
 def _back(strips: list[tuple[np.ndarray, ...]], y: np.ndarray, n: int) -> np.ndarray:
@@ -241,29 +270,37 @@ def _back(strips: list[tuple[np.ndarray, ...]], y: np.ndarray, n: int) -> np.nda
     return np.ascontiguousarray(out.T)
 
 
-def shard_count(tasks: int, width: int, n_rows: int, n_cols: int) -> int:
-    """Shards of a factor's columns: one a task, a multiple of it where a task would hold over ``HELD`` bytes."""
-    return max(1, min(width, tasks * max(1, -(-8 * width * (6 * n_cols + 2 * n_rows) // (HELD * tasks)))))
+def shard_count(tasks: int, width: int, n_rows: int, n_cols: int, held: int | None = None) -> int:
+    """Shards of a factor's columns: one a task, a multiple of it where a task would hold over ``HELD`` bytes
+    (``held``: bytes a column)."""
+    held = held or 8 * (6 * n_cols + 2 * n_rows)
+    return max(1, min(width, tasks * max(1, -(-width * held // (HELD * tasks)))))
 
 
 def _sharded(a: Cells, factor: DataFrame, width: int, made: Sequence[str], fn: Callable[..., Sequence[np.ndarray]],
-             shards: int | None, out_rows: bool = False, used: list[DataFrame] | None = None, found: int = 0) -> DataFrame:
+             shards: int | None, out_rows: bool = False, used: list[DataFrame] | None = None, found: int = 0,
+             single: bool = False, base: DataFrame | None = None,
+             put: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``key`` and the matrices ``fn(forward, back, matrix)`` makes of a factor's, each task for
     one shard of the columns over all rows; it reads all strips of A from the shared folder. With ``found``, the
-    factor's first columns go to every task as ``fn``'s fourth argument, and only the others come out. A table that is
-    of no use once the result is written joins ``used``."""
+    factor's first columns go to every task, and only the others come out. ``single``: in single precision, with
+    ``fn(forward, back, matrix, first columns or None, which columns)``. With ``base`` (key, m), ``m`` comes out as
+    ``put(base's matrix, the one made)``, or as it is beside ``made``. A table that is of no use once the result is written joins ``used``."""
     spark = factor.sparkSession
-    shards = shards or shard_count(spark.sparkContext.defaultParallelism, width, a.n_rows, a.n_cols)
+    n_rows, n_cols = sum(a.row_sizes.values()), sum(a.col_sizes.values())
+    held = 4 * (4 * n_cols + n_rows) if single else 8 * (3 * n_cols + 2 * n_rows)
+    shards = shards or shard_count(spark.sparkContext.defaultParallelism, width, a.n_rows, a.n_cols, held)
     shards = max(1, min(shards, width - found))
     cuts = np.linspace(found, width, shards + 1).astype(int).tolist()
-    col_starts, col_sizes, n_rows, n_cols = _starts(a.col_sizes), a.col_sizes, sum(a.row_sizes.values()), sum(a.col_sizes.values())
+    col_starts, col_sizes = _starts(a.col_sizes), a.col_sizes
     sizes = a.row_sizes if out_rows else a.col_sizes
     starts = _starts(sizes)
+    kind = np.float32 if single else np.float64
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                m = _matrix(batch.column(1)[i].as_buffer(), width)
+                m = _matrix(batch.column(1)[i].as_buffer(), width).astype(kind, copy=False)
                 for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([g], pa.int32()), batch.column(0).slice(i, 1),
@@ -274,81 +311,116 @@ def _sharded(a: Cells, factor: DataFrame, width: int, made: Sequence[str], fn: C
         used.append(sliced)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strips: list = []
+        strips: tuple[list, list] = ([], [])
         shard = x = None
         for batch in batches:
             for i in range(batch.num_rows):
                 if shard is None:
                     shard = batch.column("id")[i].as_py()
-                    x = np.zeros((n_cols, found + cuts[shard + 1] - cuts[shard]))
+                    x = np.zeros((n_cols, found + cuts[shard + 1] - cuts[shard]), dtype=kind)
                 side, block = batch.column("side")[i].as_py(), batch.column("block")[i].as_py()
                 raw = batch.column("vals")[i].as_buffer()
                 if side == 2:
-                    x[col_starts[block]:col_starts[block] + col_sizes[block]] = _matrix(raw, x.shape[1])
+                    x[col_starts[block]:col_starts[block] + col_sizes[block]] = np.frombuffer(raw, dtype=kind).reshape(-1, x.shape[1])
                 else:
                     ints = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("degs", "at", "idx"))
-                    strips.append((*ints, np.frombuffer(raw)))
+                    strips[side].append((*ints, np.frombuffer(raw, dtype=kind)))
         if shard is None:
             return
-        done = fn(lambda m: _times(strips, m, n_rows), lambda m: _back(strips, m, n_cols), *(
-            (np.ascontiguousarray(x[:, found:]), np.ascontiguousarray(x[:, :found])) if found else (x,)))
+        known = np.ascontiguousarray(x[:, :found]) if found else None
+        x = np.ascontiguousarray(x[:, found:])
+        if single:
+            done = fn(lambda m: _times(strips[0], m, n_rows), lambda m: _times(strips[1], m, n_cols), x, known,
+                      slice(cuts[shard], cuts[shard + 1]))
+        else:
+            done = fn(lambda m: _times(strips[0], m, n_rows), lambda m: _back(strips[0], m, n_cols), x)
         for key, at in starts.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([key], pa.int32())]
                 + [pa.array([m[at:at + sizes[key]].tobytes()], pa.binary()) for m in done], names=["shard", "key", *made])
 
+    based = base is not None
+    names = ["m", *made] if based and not put else [*made]
+
     def together(table: pa.Table) -> pa.Table:
         order = np.argsort(table["shard"].to_numpy()).tolist()
-        n = sizes[table["key"][0].as_py()]
-        return pa.table({"key": table["key"].slice(0, 1), **{c: pa.array([np.ascontiguousarray(np.concatenate(
-            [np.frombuffer(table[c][i].as_buffer()).reshape(n, -1) for i in order], axis=1)).tobytes()], pa.binary()) for c in made}})
+        n, out = sizes[table["key"][0].as_py()], {}
+        if based:
+            own = np.frombuffer(table[made[0]][order.pop(0)].as_buffer()).reshape(n, -1)
+            out["m"] = own
+        for c in made:
+            m = np.concatenate([np.frombuffer(table[c][i].as_buffer(), dtype=kind).reshape(n, -1) for i in order], axis=1)
+            out[c] = put(own, m) if put else m
+        return pa.table({"key": table["key"].slice(0, 1),
+                         **{c: pa.array([np.ascontiguousarray(out[c], dtype=np.float64).tobytes()], pa.binary()) for c in names}})
 
     none = F.lit(None).cast("binary")
-    feed = a.strips.withColumn("shard", F.lit(None).cast("int")).unionByName(sliced.select(
+    feed = (a.thin if single else a.strips).withColumn("shard", F.lit(None).cast("int")).unionByName(sliced.select(
         F.lit(2).alias("side"), "block", "shard", none.alias("degs"), none.alias("at"), none.alias("idx"), "vals"))
     tasks = spark.range(0, shards, 1, shards).select(F.col("id").cast("int").alias("id"))
     # a nested loop over partitions: every task reads the feed itself, nothing of it is shuffled or broadcast
     every = feed.coalesce(1).hint("shuffle_replicate_nl").join(tasks, F.col("shard").isNull() | (F.col("shard") == F.col("id")))
-    schema = "key int" + "".join(f", {n} binary" for n in made)
-    done = every.select("id", "side", "block", "degs", "at", "idx", "vals").mapInArrow(run, f"shard int, {schema}")
-    return done.groupBy("key").applyInArrow(together, schema)
+    binaries = lambda columns: "key int" + "".join(f", {n} binary" for n in columns)
+    done = every.select("id", "side", "block", "degs", "at", "idx", "vals").mapInArrow(run, f"shard int, {binaries(made)}")
+    if based:  # as the shard before all others, its matrix in the first column
+        done = done.unionByName(base.select(F.lit(-1).alias("shard"), "key", F.col("m").alias(made[0]),
+                                            *(none.alias(c) for c in made[1:])))
+    return done.groupBy("key").applyInArrow(together, binaries(names))
 
 
 def filtered(a: Cells, factor: DataFrame, width: int, turn: np.ndarray, half: float, degree: int,
-             shards: int | None = None, values: Sequence[float] = ()) -> DataFrame:
+             shards: int | None = None, values: Sequence[float] = (), theta: np.ndarray | None = None) -> DataFrame:
     """``key, m, im``: T_degree((A^T A - half) / half) of the turned factor, and A^T A of that;
     written. T_n+1 = 2 (A^T A - half) / half T_n - T_n-1. With ``values`` (strips only), the first
-    columns are eigenvectors of these values: they stay, and are taken out of A^T A for the others."""
-    w = turn.shape[1]
-    turned = mapped(factor, ["m"], [width], ["m"], lambda m: [m @ turn])
+    columns are eigenvectors of these values: they stay, and are taken out of A^T A for the others.
 
+    In strips every column x is divided by T_degree((theta - half) / half), its Ritz value ``theta`` being that of the turned
+    ``m, im``: T_n(B) x / T_n(t) = x + e_n, where e follows the same recurrence from 0, driven by the residual B x - t x.
+    So single precision is enough for e, whose error is small beside the residual; m and im are of double precision."""
+    w = turn.shape[1]
     n = len(values)
-    values = np.asarray(values, dtype=np.float64)[:, None]
-
-    def polynomial(forward, back, now, known=None):
-        before = None
-        for step in range(degree):
-            up = back(forward(now))
-            if known is not None:
-                up -= known @ (values * (known.T @ now))
-            up /= half
-            up -= now
-            if step:
-                up *= 2
-                up -= before
-            before, now = now, up
-        return [now, back(forward(now))]
-
     if a.strips is not None:
         used: list[DataFrame] = []
-        out = _sharded(a, turned, w, ["m", "im"], polynomial, shards, used=used, found=n)
-        if n:  # the known ones and their images, put before the others
-            images = mapped(factor, ["m", "im"], [width] * 2, ["km", "kim"], lambda m, im: [m @ turn[:, :n], im @ turn[:, :n]])
-            out = mapped(out.join(images, "key"), ["m", "im", "km", "kim"], [w - n, w - n, n, n], ["m", "im"],
-                         lambda m, im, km, kim: [np.hstack([km, m]), np.hstack([kim, im])])
+        now = mapped(factor, ["m"], [width], ["m"], lambda m: [m @ turn])
+        if degree:
+            ritz = np.asarray(theta, dtype=np.float64)
+            shift = np.maximum(ritz / half - 1.0, 1.0)
+            fixed = np.asarray(values, dtype=np.float32)[:, None]
+
+            def rest(m, im):
+                m, im = m @ turn, im @ turn
+                return [np.hstack([m[:, :n], (im[:, n:] - m[:, n:] * ritz[n:]) / half])]
+
+            def correction(forward, back, drive, known, at):
+                t = shift[at]
+                ratio, before, now = 1.0 / t, None, drive / t.astype(np.float32)  # ratio: T_j-1 / T_j of t
+                for _ in range(1, degree):
+                    up = back(forward(now))
+                    if known is not None:
+                        up -= known @ (fixed * (known.T @ now))
+                    up /= np.float32(half)
+                    up -= now
+                    up += drive
+                    after = 1.0 / (2.0 * t - ratio)
+                    up *= (2.0 * after).astype(np.float32)
+                    if before is not None:
+                        before *= (ratio * after).astype(np.float32)
+                        up -= before
+                    before, now, ratio = now, up, after
+                return [now]
+
+            def put(own, e):
+                return own + np.hstack([np.zeros((len(own), n)), e])
+
+            drive = mapped(factor, ["m", "im"], [width] * 2, ["m"], rest)
+            now = written(_sharded(a, drive, w, ["m"], correction, shards, used=used, found=n, single=True, base=now, put=put),
+                          "corrected", "uncompressed")
+            used.append(now)
+        out = _sharded(a, now, w, ["im"], lambda forward, back, m: [back(forward(m))], shards, used=used, base=now)
         out = written(out, "filtered", "uncompressed")
         discarded(*used)
         return out
+    turned = mapped(factor, ["m"], [width], ["m"], lambda m: [m @ turn])
     before, now = None, written(turned, "turned", "uncompressed")
     for step in range(degree):
         also = [(now, -2.0), (before, -1.0)] if step else [(now, -1.0)]

@@ -130,8 +130,9 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, wid
         known = 0  # far above the others, these would keep the degree low once they are found
         if a.strips is not None:
             known = int(np.argmax(np.append(rest > 0.1 * tol * theta[0], True)[:min(MOST_KNOWN, w // 4) + 1]))
-        last, both = both, BL.filtered(a, both, width, turn, half, _spread(theta[known:], 2 * half, min(degree, 4 << cycle)),
-                                       values=theta[:known])
+        reach = theta[known:] + rest.max()  # as far as the residual says that a value may still lie above
+        last, both = both, BL.filtered(a, both, width, turn, half, _spread(reach, 2 * half, min(degree, 4 << cycle)),
+                                       values=theta[:known], theta=theta)
         width = w
         discarded(last)
     else:
@@ -144,7 +145,7 @@ def truncated_svd(entries: DataFrame, k: int = K_FACTORS, tol: float = 1e-9, wid
     u = BL.mapped(BL.left_product(a, v, k, used=used), ["m"], [k], ["m"], lambda m: [m * inv])
     out = {"sigma": sigma, "users": written(BL.rows(u, a.row_keys, k), "users"),
            "items": written(BL.rows(v, a.col_keys, k), "items"), "k": k}
-    discarded(both, v, *used, *(t for t in (a.strips, a.cells) if t is not None))
+    discarded(both, v, *used, *(t for t in (a.strips, a.thin, a.cells) if t is not None))
     return out
 
 
