@@ -221,3 +221,25 @@ def test_words_are_cut_once_and_seeds_meet_asked_items_only(spark):
     some = T.seed_scores(kept, seeds, asked)
     want = [r for r in flat(every.select("request_id", "seed_id", "item_id", "sim")) if r[2] in (5, 8, 9)]
     assert want and flat(some.select("request_id", "seed_id", "item_id", "sim")) == want
+
+
+def test_similar_items_of_common_and_rare_terms(spark):
+    """Terms of most documents go through dense matrices, the others term by term: the same as a plain product; vectors
+    are sent about eight times whatever the size of the tables."""
+    rng = np.random.default_rng(6)
+    w = np.where(rng.random((60, 40)) < np.linspace(0.9, 0.02, 40), rng.random((60, 40)), 0.0)
+    w[30:40] = w[:10]  # equal documents: ties by id
+    rows = [(i, f"t{j}", float(w[i, j])) for i, j in zip(*(x.tolist() for x in np.nonzero(w)))]
+    weights = spark.createDataFrame(rows, "id long, term string, w double")
+    seeds = spark.createDataFrame([(i % 3, i) for i in range(0, 60, 2)], "request_id long, item_id long")
+    sims = w @ w.T
+    got = T.similar_items(weights, seeds, 5).collect()
+    for i in range(0, 60, 2):
+        want = [j for j in np.lexsort((np.arange(60), -np.round(sims[i], 9))) if j != i and sims[i, j] > 0][:5]
+        mine = sorted((r["rank"], r["item_id"], r["sim"]) for r in got if r["seed_id"] == i)
+        assert [j for _, j, _ in mine] == want and np.allclose([s for *_, s in mine], sims[i, want])
+    full = {(r["seed_id"], r["item_id"]): r["sim"] for r in T.seed_scores(weights, seeds).collect()}
+    assert full.keys() == {(i, j) for i in range(0, 60, 2) for j in range(60) if j != i and sims[i, j] > 0}
+    assert all(abs(full[i, j] - sims[i, j]) < 1e-12 for i, j in full)
+    for n in (10 ** 5, 2 * 10 ** 5):
+        assert -(-n // T._eighth(n, 4096, 32_768)) <= 8
