@@ -294,3 +294,60 @@ def test_large_singular_values_do_not_slow_the_others(spark, monkeypatch):
     svd = CF.truncated_svd(df, k=8, width=12, block=16)
     assert np.allclose(svd["sigma"], spectrum[:8], rtol=1e-9)
     assert max(known for _, known in calls) == 2 and max(degree for degree, _ in calls) >= 16
+
+
+def test_polynomial_as_a_correction_in_single_precision(spark):
+    """Against the recurrence in double precision, with and without a known vector; the correction is small, so is its error."""
+    from marquee.functions import blocks as BL
+    a, df = _planted(spark, np.linspace(10, 2, 30))
+    made = BL.cells(df, "user_id", "item_id", "value", 16)
+    assert {r["side"] for r in made.thin.select("side").collect()} == {0, 1}
+    assert BL._times([(np.array([2, 1], "i4"), np.array([0], "i4"), np.array([1, 0], "i4"), np.array([3.0, 4.0], "f4"))],
+                     np.ones((2, 3), "f4"), 1).dtype == np.float32
+    keys = {r["block"]: list(r["keys"]) for r in made.col_keys.collect()}
+    order = [k for b in sorted(keys) for k in keys[b]]
+    a = a[:, order]
+    rng = np.random.default_rng(4)
+    b = a.T @ a
+    vec = np.linalg.eigh(b)[1][:, ::-1]
+    x = np.linalg.qr(vec[:, :6] + np.hstack([np.zeros((40, 1)), 1e-3 * rng.normal(size=(40, 5))]))[0]
+    theta, turn = np.linalg.eigh(x.T @ b @ x)
+    theta, turn = theta[::-1], turn[:, ::-1]
+    cuts = np.cumsum([0] + [len(keys[k]) for k in sorted(keys)])
+    def flat(m):
+        return {k: np.ascontiguousarray(m[lo:hi]).tobytes() for k, lo, hi in zip(sorted(keys), cuts, cuts[1:])}
+    m, im = flat(x), flat(b @ x)
+    factor = spark.createDataFrame([(k, bytearray(m[k]), bytearray(im[k])) for k in sorted(keys)], "key int, m binary, im binary")
+    half, y = theta[-1] / 2, x @ turn
+    now, before = y, None
+    for step in range(6):
+        up = b @ now / half - now
+        before, now = now, 2 * up - before if step else up
+    want = now / np.cosh(6 * np.arccosh(np.maximum(theta / half - 1, 1)))
+    for values, near in (((), True), ((), False), (theta[:1], True)):
+        rows = {r["key"]: r for r in BL.filtered(made, factor, 6, turn, half, 6, values=values, theta=theta, near=near).collect()}
+        got, image = (np.vstack([np.frombuffer(rows[k][c]).reshape(-1, 6) for k in sorted(keys)]) for c in ("m", "im"))
+        first = len(values)
+        if first:  # stays, and is taken out of the others
+            assert np.allclose(got[:, 0], y[:, 0], atol=1e-12)
+        assert np.abs(got[:, first:] - want[:, first:]).max() < 1e-7
+        assert np.allclose(image, b @ got, atol=1e-9 if near else 1e-4)
+
+
+def test_degree_is_what_the_residual_needs():
+    assert CF._needed(232.3, 228.6, 5.0) < 30 < CF._needed(232.3, 228.6, 1e5)
+    assert CF._needed(1.0, 1.0, 1e5) > 10 ** 5  # no growth, no bound
+
+
+def test_best_by_single_precision_first():
+    """Scores closer than single precision tells apart, vectors of very different length, all limits."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 5)) * 10.0 ** rng.integers(-6, 2, (3000, 1))
+    v[1000:2000] = v[:1000] * (1 + 1e-8 * rng.integers(-1, 2, (1000, 1)))
+    q, off, ids = rng.normal(size=(20, 5)), rng.normal(size=20), np.arange(3000) * 3
+    for lo, hi in ((-np.inf, np.inf), (0.5, 5.0)):
+        row, at, best = CF._best(q, off, (np.zeros(0, "i8"), np.zeros(0, "i8")), ids, v, 7, lo, hi, thin=v.astype("f4"))
+        s = np.clip(q @ v.T + off[:, None], lo, hi)
+        for r in range(20):
+            want = np.lexsort((ids, -np.round(s[r], 9)))[:7]
+            assert at[row == r].tolist() == want.tolist() and np.allclose(best[row == r], s[r, want], atol=1e-12)
